@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, line_dedup, media
+from . import bpe, chat, line_dedup, media, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": bpe.op2_bpe,
         "op3_chat": chat.op3_chat,
+        "op4_packing": packing.op4_packing,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op10_media": media.op10_media,
     }
