@@ -34,22 +34,24 @@ def line_key(line: Column, min_chars: int) -> Column:
     return F.when(F.char_length(bare) >= min_chars, F.unhex(F.md5(lowered)))
 
 
-def with_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """docs with its lines and each line's key."""
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    return docs.withColumn("__lines", lines).withColumn("__keys", F.transform("__lines", lambda x: line_key(x, min_chars)))
-
-
 def keyed(docs: DataFrame, min_chars: int) -> DataFrame:
-    """A row (key, doc_id) for each document and different key."""
-    return with_lines(docs.select("doc_id", "text"), min_chars).select("doc_id", F.explode(F.array_distinct(F.filter("__keys", lambda k: k.isNotNull()))).alias("key"))
+    """A row (doc_id, print, at, key, first) for each line that has a key.
+
+    at: the line's place; first: whether it is the document's first line with the key; print: a hash of the whole
+    text, which tells rows with one doc_id apart.
+    """
+    keys = F.transform(F.split("text", "\n", -1), lambda x: line_key(x, min_chars))
+    # explode(array(...)) works the keys out once a row; a projection would be merged into what reads it
+    once = docs.select("doc_id", F.xxhash64("text").alias("print"), F.explode(F.array(keys)).alias("keys"))
+    marked = F.transform("keys", lambda k, i: F.struct(i.alias("at"), k.alias("key"), (F.array_position("keys", k) == i + 1).alias("first")))
+    return once.select("doc_id", "print", F.explode(marked).alias("line")).select("doc_id", "print", "line.*").filter(F.col("key").isNotNull())
 
 
 class LineRuns:
     """The levelled runs; add() takes a batch of documents, totals() gives the newest entry of each line."""
 
-    def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS, fanout: int = FANOUT):
-        self.space, self.min_chars, self.fanout = Workspace(spark, "lines"), min_chars, fanout
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+        self.space, self.fanout = Workspace(spark, "lines"), fanout
         self.levels: list[list[tuple[str, DataFrame]]] = [[]]
         self.generation = 0
 
@@ -63,10 +65,10 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append((name, run))
 
-    def add(self, docs: DataFrame) -> None:
-        """Merges a batch into the runs; compacts each level that has become full."""
+    def add(self, lines: DataFrame) -> None:
+        """Merges a batch of keyed() lines into the runs; compacts each level that has become full."""
         self.generation += 1
-        batch = keyed(docs, self.min_chars).groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        batch = lines.filter("first").groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
         if self._runs():
             known = self.totals().select("key", F.col("n_docs").alias("seen"), F.col("last_doc").alias("last_seen"))
             both = batch.join(known, "key", "left")
@@ -79,9 +81,9 @@ class LineRuns:
                 self._write(self._newest([run for _, run in old]), level + 1)
                 self.space.drop(*(name for name, _ in old))
 
-    def unseen(self, docs: DataFrame) -> DataFrame:
-        """The lines of a batch that no run has: (key, doc_id)."""
-        return reduce(lambda found, run: found.join(run.select("key"), "key", "left_anti"), self._runs(), keyed(docs, self.min_chars))
+    def unseen(self, lines: DataFrame) -> DataFrame:
+        """Those of a batch's keyed() lines that no run has."""
+        return reduce(lambda found, run: found.join(run.select("key"), "key", "left_anti"), self._runs(), lines)
 
     @staticmethod
     def _newest(runs: list[DataFrame]) -> DataFrame:
@@ -101,24 +103,26 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     Lines of at least min_chars code points that at least min_docs documents have stay only in the one with the
     largest doc_id. The counts come from LineRuns over all documents, fed in batches of whole input files.
     """
-    runs = LineRuns(docs.sparkSession, min_chars)
-    for batch in file_batches(docs, batches):
+    runs = LineRuns(docs.sparkSession)
+    batches = [runs.space.write(keyed(batch, min_chars), f"batch{i}") for i, batch in enumerate(file_batches(docs, batches))]
+    for batch in batches:
         runs.add(batch)
     repeated = runs.totals().filter(F.col("n_docs") >= min_docs).select("key", "last_doc")
-    lost = keyed(docs, min_chars).filter(F.col("doc_id").isNotNull()).join(repeated, "key").filter(F.col("doc_id") != F.col("last_doc"))
-    lost = lost.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("key").alias("__lost"))
+    lost = reduce(DataFrame.unionByName, batches).join(repeated, "key").filter(F.col("doc_id") != F.col("last_doc"))
+    lost = lost.groupBy(F.col("doc_id").alias("__doc"), F.col("print").alias("__print")).agg(F.collect_list("at").alias("__lost"))
     lost = runs.space.write(lost, "lost")
-    runs.space.drop(*(name for level in runs.levels for name, _ in level))
+    runs.space.drop(*(name for level in runs.levels for name, _ in level), *(f"batch{i}" for i in range(len(batches))))
     columns = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    joined = docs.join(lost, docs["doc_id"] == lost["__doc"], "left")
-    marked = with_lines(joined, min_chars)
-    # filter(): a lambda of two arguments gets the index too
-    kept = F.filter("__lines", lambda line, i: F.coalesce(~F.array_contains(F.col("__lost"), F.get(F.col("__keys"), i)), F.lit(True)))
-    return marked.withColumn("__kept", kept).select(
+    # a merge join at every size: the lost lines grow with the input, so they are never broadcast
+    joined = docs.join(lost.hint("merge"), (docs["doc_id"] == lost["__doc"]) & (F.xxhash64(docs["text"]) == lost["__print"]), "left")
+    lines = F.split("text", "\n", -1)
+    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("__lost", i)), "\n")
+    n_dropped = F.when(F.col("__lost").isNull(), F.lit(0)).otherwise(F.size("__lost")).cast("long")
+    return joined.select(
         *(docs[c] for c in columns),
-        F.array_join("__kept", "\n").alias("text"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"),
+        F.when(F.col("__lost").isNotNull(), left).otherwise(F.coalesce("text", F.lit(""))).alias("text"),
+        F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"),
+        n_dropped.alias("n_dropped"),
     )
 
 
