@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,15 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """mapInArrow, by workers that find this library where the driver does; elsewhere ship it with --py-files."""
+    environment, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    found = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in found:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *found])
+    return df.mapInArrow(function, schema)
+
+
 def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], dict | Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow: function turns each slice into a dict of columns (lists or arrays), or yields several."""
     fields = to_arrow_schema(_parse_datatype_string(schema))
@@ -39,6 +50,6 @@ def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], dict | Iterat
             for columns in [made] if isinstance(made, dict) else made:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip((columns[f.name] for f in fields), fields)], schema=fields)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 

@@ -19,7 +19,7 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .arrow import slices
+from .arrow import map_arrow, slices
 from .template import compile_template
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -122,7 +122,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
             columns = [pa.array([conv_id], pa.int64()), pa.array([text]), pa.array([[{"start": a, "end": b} for a, b in found]], spans)]
             yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "formatted", "loss_spans"])
 
-    return _in_order(conversations).mapInArrow(run, "conv_id long, formatted string, loss_spans array<struct<start: long, end: long>>")
+    return map_arrow(_in_order(conversations), run, "conv_id long, formatted string, loss_spans array<struct<start: long, end: long>>")
 
 
 COLUMNS = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -149,7 +149,7 @@ def read_back(conversations: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=COLUMNS)
 
-    return _in_order(conversations).mapInArrow(run, SCHEMA)
+    return map_arrow(_in_order(conversations), run, SCHEMA)
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

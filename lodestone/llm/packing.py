@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrow import map_slices, slices
+from .arrow import map_arrow, map_slices, slices
 from .bpe import SPLIT, VOCABULARY, byte_alphabet
 from .workspace import Workspace, documents
 
@@ -211,7 +211,7 @@ def _tokens(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "part", "place", "n_tokens", "ids"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    return chosen.mapInArrow(run, "doc_id long, source string, part int, place long, n_tokens long, ids binary")
+    return map_arrow(chosen, run, "doc_id long, source string, part int, place long, n_tokens long, ids binary")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, weights: dict[str, float] | None = None, queues: int = QUEUES) -> DataFrame:

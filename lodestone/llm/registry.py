@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, line_dedup, media, packing
+from . import bpe, chat, line_dedup, media, near_dup, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": bpe.op2_bpe,
         "op3_chat": chat.op3_chat,
         "op4_packing": packing.op4_packing,
+        "op5_minhash": near_dup.op5_minhash,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op10_media": media.op10_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.SQL}
+    return {
+        "op5_minhash": near_dup.SQL,
+        "op7_line_dedup": line_dedup.SQL,
+    }
