@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, line_dedup, media, near_dup, packing, suffix_dedup
+from . import bpe, chat, line_dedup, media, near_dup, packing, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat": chat.op3_chat,
         "op4_packing": packing.op4_packing,
         "op5_minhash": near_dup.op5_minhash,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op10_media": media.op10_media,
