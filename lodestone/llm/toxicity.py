@@ -35,7 +35,7 @@ from . import grammar
 from .arrow import map_slices
 from .workspace import Workspace, documents
 
-TRAINING_ROWS, ENTRIES, FOLDS = 20_000, 5_000, 5
+TRAINING_ROWS, ENTRIES, FOLDS, LEAST_WEIGHT = 20_000, 5_000, 5, 3.0
 SHORTEST, LONGEST, LEAST_DOCS = 3, 8, 3
 SEED_WEIGHT, RIDGE = 2.0, 1.0
 KEPT_WORDS = 500_000
@@ -130,7 +130,7 @@ def _entries(counts: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     ratio = 2 * (term(a, n * share) + term(b, m * share) + term(n - a, n * (1 - share)) + term(m - b, m * (1 - share)))
     scored = counts.select("entry", weight.alias("weight"), ratio.alias("ratio"))
     bar = 2 * math.log(max(2, scored.count()))
-    best = scored.filter((F.col("ratio") > bar) & (F.col("weight") > 1)).orderBy(F.desc("ratio"), "entry").limit(ENTRIES)
+    best = scored.filter((F.col("ratio") > bar) & (F.col("weight") > LEAST_WEIGHT)).orderBy(F.desc("ratio"), "entry").limit(ENTRIES)
     return {r.entry: r.weight for r in best.collect()}
 
 
