@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, line_dedup, media, near_dup, packing, suffix_dedup, toxicity
+from . import bpe, chat, line_dedup, media, near_dup, packing, suffix_dedup, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+        "op9_vectors": vectors.op9_vectors,
         "op10_media": media.op10_media,
     }
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_minhash": near_dup.SQL,
         "op7_line_dedup": line_dedup.SQL,
+        "op9_vectors": vectors.SQL,
     }
