@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, line_dedup, media, near_dup, packing, suffix_dedup, toxicity, vectors
+from . import bpe, chat, language_model, line_dedup, media, near_dup, packing, suffix_dedup, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pitman_yor": language_model.op1_pitman_yor,
         "op2_bpe": bpe.op2_bpe,
         "op3_chat": chat.op3_chat,
         "op4_packing": packing.op4_packing,
