@@ -6,11 +6,12 @@
 2. Eight bins are a band, and a band's eight bytes a bucket key. At a similarity of 0.85 a pair misses all 48 bands
    with a probability of 3e-7.
 3. In each bucket one member, by a hash of its own for each bucket, is compared with all others: a star.
-4. Links are confirmed on whole shingle sets. Then, in the buckets whose members aren't all connected yet, the
-   member with the most links so far is compared with all of other components, and at last all pairs of members from
-   different components. Members that are connected need no comparison, so no link that matters is lost and the
-   pairs stay near the number of links. Pairs whose sketches agree in under 60 % of the bins (0.85 lies over ten
-   standard deviations above) aren't compared in full.
+4. Links are confirmed on whole shingle sets. Pairs whose sketches agree in under 60 % of the bins (0.85 lies over
+   eight standard deviations above) aren't compared in full.
+5. In the buckets whose members aren't all connected yet, the member with the most links so far is compared with all
+   of other components. The members that still are outside their surroundings' largest component are a query set,
+   held against all members in blocks of bounded size. Members that are connected need no comparison, so no link
+   that matters is lost, and no pairs are listed.
 
 Defined results. A null, empty or blank text has an empty set, is linked with nothing and forms its own component.
 Rows without doc_id are linked with nothing and have no component; they are kept. Rows that share a doc_id are each
@@ -36,6 +37,8 @@ from .workspace import Workspace, documents
 WORDS, PERCENT = 5, 85
 BINS, ROWS = 384, 8
 SKETCH_SHARE = 0.6
+#: Members and queries that one task compares in the last step.
+BLOCK, QUERIES = 2000, 500
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,6 +140,62 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return map_slices(pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def _open(members: DataFrame, links: DataFrame, space: Workspace, label: str) -> DataFrame:
+    """Members of the buckets that links don't connect yet: (key, id, component, degree, top: the one with most links)."""
+    found = components(links, space, f"components{label}")
+    ends = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id")))
+    degrees = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    placed = members.join(found, "id", "left").join(degrees, "id", "left")
+    placed = placed.select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("degree", "id", "component")).alias("top"), F.count(F.lit(1)).alias("n"))
+    # the star has compared the two members of a bucket of two
+    return space.write(placed.join(spread.filter("low <> high AND n > 2").select("key", "top"), "key"), f"open{label}")
+
+
+def _remaining(open_: DataFrame, texts: DataFrame, percent: int, space: Workspace) -> DataFrame:
+    """Links between different components of buckets, found in blocks.
+
+    Buckets that share members form a region. In a region, the members outside its largest component are a query set
+    that is held against all members, a block of queries and a block of members a task; blocks are of bounded size.
+    A query gives one link to each component that it reaches.
+    """
+    regions = components(open_.select(F.col("top.id").alias("a"), F.col("id").alias("b")), space, "regions").withColumnRenamed("component", "region")
+    nodes = space.write(open_.select("id", "component").distinct().join(regions, "id"), "nodes")
+    parts = nodes.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy("region").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("main"))
+    split = nodes.join(parts, "region").select(
+        "region", "id", "component", (F.col("component") != F.col("main.component")).alias("asks"),
+        F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("main.n")) / QUERIES).cast("int").alias("query_blocks"),
+    )
+    place = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = split.filter("asks").select("region", "id", "component", F.lit(True).alias("query"), place("query_blocks", 1).alias("i"), upto("blocks").alias("j"))
+    rows = split.select("region", "id", "component", F.lit(False).alias("query"), upto("query_blocks").alias("i"), place("blocks", 2).alias("j"))
+    dealt = queries.unionByName(rows).join(texts.hint("merge"), "id").select("region", "i", "j", "id", "component", "query", "packed")
+
+    def run(table: pa.Table) -> pa.Table:
+        zip_ = zstandard.ZstdDecompressor()
+        ids, parts, query = (np.array(table.column(c).to_pylist()) for c in ("id", "component", "query"))
+        sets = [shingles(zip_.decompress(x)) for x in table.column("packed").to_pylist()]
+        rows = np.flatnonzero(~query)
+        sizes = np.array([len(sets[r]) for r in rows], np.int64)
+        whole = np.concatenate([sets[r] for r in rows]) if len(rows) else np.empty(0, np.uint64)
+        order = np.argsort(whole, kind="stable")
+        whole, owner = whole[order], np.repeat(np.arange(len(rows)), sizes)[order]
+        links = []
+        for q in np.flatnonzero(query):
+            low, high = np.searchsorted(whole, sets[q], "left"), np.searchsorted(whole, sets[q], "right")
+            width = high - low
+            spots = np.repeat(low - (np.cumsum(width) - width), width) + np.arange(width.sum())
+            both = np.bincount(owner[spots], minlength=len(rows))
+            near = rows[(100 * both >= percent * (len(sets[q]) + sizes - both)) & (parts[rows] != parts[q])]
+            _, first = np.unique(parts[near], return_index=True)
+            links += [(int(ids[q]), int(ids[r])) for r in near[first]]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return dealt.groupBy("region", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
@@ -158,30 +217,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     tested = space.write(_promising(_ordered(members.select(F.col("hub").alias("a"), F.col("id").alias("b"))), sketches), "pairs1")
     links = space.write(_confirmed(tested, texts, percent), "links1")
-    for step in (2, 3):
-        found = components(links, space, f"components{step}")
-        ends = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id")))
-        degrees = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-        placed = members.join(found, "id", "left").join(degrees, "id", "left")
-        placed = placed.select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("degree", "id", "component")).alias("top"), F.count(F.lit(1)).alias("n"))
-        # of two members both have been compared
-        spread = spread.filter("low <> high AND n > 2").select("key", "top")
-        open_ = space.write(placed.join(spread, "key"), f"open{step}")
-        if step == 2:
-            pairs = open_.filter("component <> top.component").select(F.col("top.id").alias("a"), F.col("id").alias("b"))
-        else:
-            one, two = open_.select("key", F.col("id").alias("a"), F.col("component").alias("c")), open_.select("key", F.col("id").alias("b"), F.col("component").alias("d"))
-            pairs = one.join(two, "key").filter("a < b AND c <> d").select("a", "b")
-        fresh = _ordered(pairs).join(tested, ["a", "b"], "left_anti")
-        fresh = space.write(_promising(fresh, sketches), f"pairs{step}")
-        links = links.unionByName(space.write(_confirmed(fresh, texts, percent), f"links{step}"))
-        tested = tested.unionByName(fresh)
+    open_ = _open(members, links, space, "2")
+    fresh = _ordered(open_.filter("component <> top.component").select(F.col("top.id").alias("a"), F.col("id").alias("b"))).join(tested, ["a", "b"], "left_anti")
+    fresh = space.write(_promising(fresh, sketches), "pairs2")
+    links = links.unionByName(space.write(_confirmed(fresh, texts, percent), "links2"))
+    links = links.unionByName(space.write(_remaining(_open(members, links, space, "3"), texts, percent, space), "links3"))
     found = components(links, space, "components")
     # every text of a class has its component; the smallest id of the class has one of its own where nothing is linked
     reached = classes.select("same", "id").join(found, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
     reached = space.write(reached, "reached")
-    space.drop("classes", "members", "sketches", "texts", "open2", "open3")
+    space.drop("classes", "members", "sketches", "texts", "open2", "open3", "nodes")
     out = signed.join(reached.hint("merge"), "same", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
