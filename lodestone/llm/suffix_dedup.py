@@ -94,10 +94,16 @@ def _with_print(docs: DataFrame) -> DataFrame:
 
 
 ANCHOR = "gram long, context long, doc_id long, print long, at int, low int, high int"
+#: What is known of an anchor: nothing; covered as a whole; to compare; both.
+NEW, COVERED, COMPARE, COMPARE_MANY = range(4)
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """Each anchor with the hash of its context, which is the bytes from at - low to at + high."""
+    """Each anchor with the hash of its context, which is the bytes from at - low to at + high.
+
+    Contexts that a slice has several times are covered without meeting others: one of them is dealt by its gram, the
+    rest anyhow, so that a very common passage isn't gathered in one task.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = text_bytes(batch.column("text"))
@@ -108,7 +114,14 @@ def _anchors(docs: DataFrame) -> DataFrame:
         context = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b], seed=s) for a, b, s in cuts), np.uint64, len(place))
         doc = np.searchsorted(ends, place, "right")
         rows = pa.array(doc)
+        order = np.lexsort((context, gram))
+        fresh = np.r_[True, (gram[order[1:]] != gram[order[:-1]]) | (context[order[1:]] != context[order[:-1]])][: len(order)]
+        several = (np.bincount(np.cumsum(fresh) - 1) > 1)[np.cumsum(fresh) - 1] if len(order) else fresh
+        kind = np.empty(len(order), np.int32)
+        kind[order] = np.where(several, np.where(fresh, COMPARE_MANY, COVERED), NEW)
         return {
+            "deal": np.where(kind == COVERED, _mixed(context + place.astype(np.uint64)), gram).view(np.int64),
+            "kind": kind,
             "gram": gram.view(np.int64),
             "context": context.view(np.int64),
             "doc_id": batch.column("doc_id").take(rows),
@@ -118,10 +131,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
             "high": (last + LENGTH - place).astype(np.int32),
         }
 
-    return map_slices(_with_print(docs), run, ANCHOR)
-
-
-COVERED, COMPARE, COMPARE_MANY = 1, 2, 3
+    return map_slices(_with_print(docs), run, f"deal long, kind int, {ANCHOR}")
 
 
 def _sorted_out(found: DataFrame) -> DataFrame:
@@ -140,23 +150,27 @@ def _sorted_out(found: DataFrame) -> DataFrame:
             yield from sort_out(held)
 
     def sort_out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        done = table.column("kind").to_numpy() == COVERED
+        yield from table.filter(pa.array(done)).combine_chunks().to_batches()
+        table = table.filter(pa.array(~done))
         if not table.num_rows:
             return
         gram, context = table.column("gram").to_numpy(), table.column("context").to_numpy()
         new_gram = np.r_[True, gram[1:] != gram[:-1]]
         new = new_gram | np.r_[True, context[1:] != context[:-1]]
         own = np.cumsum(new) - 1
-        many = np.bincount(own) > 1
+        many = (np.bincount(own) > 1) | (np.bincount(own, table.column("kind").to_numpy() == COMPARE_MANY) > 0)
         heads = np.flatnonzero(new)
         gram_of = (np.cumsum(new_gram) - 1)[heads]
         several = (np.bincount(gram_of) > 1)[gram_of]
         chosen = [(np.flatnonzero(many[own]), COVERED), (heads[several & ~many], COMPARE), (heads[several & many], COMPARE_MANY)]
         for rows, kind in chosen:
             if len(rows):
-                part = table.take(pa.array(rows)).append_column("kind", pa.array(np.full(len(rows), kind, np.int32)))
+                part = table.take(pa.array(rows)).set_column(0, "kind", pa.array(np.full(len(rows), kind, np.int32)))
                 yield from part.combine_chunks().to_batches()
 
-    return map_arrow(found.repartition("gram").sortWithinPartitions("gram", "context"), run, ANCHOR + ", kind int")
+    dealt = found.repartition("deal").drop("deal").sortWithinPartitions("gram", "context")
+    return map_arrow(dealt, run, f"kind int, {ANCHOR}")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
