@@ -88,9 +88,10 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return place[new], first[new], last[np.r_[new[1:], len(place)] - 1], gram[new]
 
 
-def _with_print(docs: DataFrame) -> DataFrame:
-    """(doc_id, print, text): print tells apart rows that share a doc_id."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), "text")
+def _with_print(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, print, text): print tells apart rows that share a doc_id; carried columns go into one struct."""
+    more = [F.struct(*(docs[c] for c in carried)).alias("carried")] if carried else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), "text", *more)
 
 
 ANCHOR = "gram long, context long, doc_id long, print long, at int, low int, high int"
@@ -173,20 +174,27 @@ def _sorted_out(found: DataFrame) -> DataFrame:
     return map_arrow(dealt, run, f"kind int, {ANCHOR}")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def _schema(df: DataFrame, *more: str) -> str:
+    own = f"carried {df.schema['carried'].dataType.simpleString()}" if "carried" in df.columns else None
+    return ", ".join(["doc_id long, print long", *([own] if own else []), *more])
+
+
+def _packed(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """Texts compressed before they are shuffled."""
+    given = _with_print(docs, carried)
 
     def run(batch: pa.RecordBatch) -> dict:
         zip_ = zstandard.ZstdCompressor(level=1)
-        return {"doc_id": batch.column("doc_id"), "print": batch.column("print"), "packed": [zip_.compress(t) for t in text_bytes(batch.column("text"))]}
+        same = {c: batch.column(c) for c in batch.schema.names if c != "text"}
+        return same | {"packed": [zip_.compress(t) for t in text_bytes(batch.column("text"))]}
 
-    return map_slices(_with_print(docs), run, "doc_id long, print long, packed binary")
+    return map_slices(given, run, _schema(given, "packed binary"))
 
 
-def _joined(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+def _joined(docs: DataFrame, lists: DataFrame, how: str, carried: tuple[str, ...] = ()) -> DataFrame:
     """Packed texts with the lists of their (doc_id, print); a merge join, as both sides grow with the corpus."""
     lists = lists.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), "list").hint("merge")
-    return _packed(docs).join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), how)
+    return _packed(docs, carried).join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), how)
 
 
 SUFFIX = "lead binary, gram long, doc_id long, print long, at int, low int, bytes binary, many boolean"
@@ -355,26 +363,40 @@ def cut_out(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """(doc_id, kept, n_bytes, n_removed, n_spans): each text's remaining bytes."""
+def remove_repeats(docs: DataFrame, crowded: int = CROWDED, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kept, n_bytes, n_removed, n_spans): each text's remaining bytes; carried columns in a struct `carried`."""
+    space = Workspace(docs.sparkSession, "suffix")
+    lists = covers(docs, space, crowded).groupBy("doc_id", "print").agg(F.collect_list(F.struct("begin", "end")).alias("list"))
+    joined = _joined(docs, lists, "left", carried).drop("d", "p")
 
     def run(batch: pa.RecordBatch) -> dict:
         zip_ = zstandard.ZstdDecompressor()
         texts = [zip_.decompress(x) for x in batch.column("packed").to_pylist()]
         made = [cut_out(t, [(x["begin"], x["end"]) for x in spans or ()]) for t, spans in zip(texts, batch.column("list").to_pylist())]
-        return {
-            "doc_id": batch.column("doc_id"),
-            "print": batch.column("print"),
+        same = {c: batch.column(c) for c in batch.schema.names if c not in ("packed", "list")}
+        return same | {
             "kept": [m[0] for m in made],
             "n_bytes": [len(t) for t in texts],
             "n_removed": [len(t) - len(m[0]) for t, m in zip(texts, made)],
             "n_spans": [m[1] for m in made],
         }
 
-    space = Workspace(docs.sparkSession, "suffix")
-    lists = covers(docs, space, crowded).groupBy("doc_id", "print").agg(F.collect_list(F.struct("begin", "end")).alias("list"))
-    joined = _joined(docs, lists, "left").select("doc_id", "print", "packed", "list")
-    return map_slices(joined, run, "doc_id long, print long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return map_slices(joined, run, _schema(joined, "kept binary, n_bytes long, n_removed long, n_spans long"))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with repeated byte strings cut out of text; parts of characters at the cuts go too."""
+    carried = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = remove_repeats(docs, carried=carried).select("doc_id", "kept", *(["carried"] if carried else []))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        same = {c: batch.column(c) for c in batch.schema.names if c != "kept"}
+        return same | {"text": [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]}
+
+    fields = ["doc_id long", *([f"carried {cut.schema['carried'].dataType.simpleString()}"] if carried else []), "text string"]
+    made = map_slices(cut, run, ", ".join(fields))
+    place = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col("carried").getField(c) for c in carried}
+    return made.select(*(place[c].alias(c) for c in docs.columns))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
