@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from lodestone.session import let_workers_import
+
 _TOKEN = re.compile(r"\s*(?:([A-Za-z_]\w*)|(\{\d+(?:,\d*)?\}|[*+?])(\??)|([()|]))")
 
 
@@ -192,4 +194,5 @@ def match_recognize(df: DataFrame, partition_by: Sequence[str], order_by: Sequen
             out = out.append_column(name, pa.array(values, kind))
         return out.cast(fields)
 
+    let_workers_import(df.sparkSession)
     return df.withColumns(marks).groupBy(*partition_by).applyInArrow(run, schema)

@@ -1,5 +1,8 @@
 """Session defaults shared by tests, the benchmark and scripts."""
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +24,11 @@ def session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "6
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Makes Python workers look for this library where the driver has it; on a cluster ship it with --py-files."""
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    found = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in found:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *found])
