@@ -31,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
     return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
         "op5_minhash": near_dup.SQL,
         "op7_line_dedup": line_dedup.SQL,
+        "op8_suffix_dedup": suffix_dedup.SQL,
         "op9_vectors": vectors.SQL,
     }

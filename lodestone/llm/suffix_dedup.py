@@ -402,3 +402,22 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(documents(spark, sf_dir))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+starts AS (SELECT doc_id, unnest(range(length(x) // 2 - 199)) AS i, x FROM bytes WHERE length(x) >= 400),
+hashed AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS k FROM starts),
+repeated AS (SELECT k FROM hashed GROUP BY k HAVING count(*) > 1),
+covered AS (SELECT doc_id, i FROM hashed SEMI JOIN repeated USING (k)),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM covered),
+numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, a AS z, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, a AS q FROM runs
+  UNION ALL SELECT doc_id, length(x) // 2, coalesce(max(b), 0), length(x) // 2 FROM bytes LEFT JOIN runs USING (doc_id) GROUP BY doc_id, x),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * p + 1, 2 * (q - p)), '' ORDER BY z, p) AS y FROM pieces JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, (length(x) - length(y)) // 2 AS n_removed,
+       (SELECT count(*) FROM runs r WHERE r.doc_id = b.doc_id) AS n_spans, sha256(unhex(y)) AS kept_sha256
+FROM bytes b JOIN kept USING (doc_id)
+"""
