@@ -161,11 +161,8 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        import tokenizers
 
-        self.library = tokenizers.Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocabulary, alphabet = spec["model"]["vocab"], byte_alphabet()
@@ -180,6 +177,16 @@ class Encoder:
             specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
 
+    @functools.cached_property
+    def library(self):
+        """Loaded where it is needed only: its tables are large."""
+        import tokenizers
+
+        made = tokenizers.Tokenizer.from_file(self.path)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     def encode(self, text: str) -> np.ndarray:
         if self.fast is not None:
             try:

@@ -38,7 +38,10 @@ from .workspace import Workspace, documents
 TRAINING_ROWS, ENTRIES, FOLDS, LEAST_WEIGHT = 20_000, 5_000, 5, 3.0
 SHORTEST, LONGEST, LEAST_DOCS = 3, 8, 3
 SEED_WEIGHT, RIDGE = 2.0, 1.0
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
+#: Texts counted at once, in bytes; their word beginnings take many times as much.
+COUNTED_BYTES = 1 << 20
+_NOTHING = (grammar.OTHER, 0.0)
 # Seed words in four languages.
 SEEDS = {
     grammar.INSULT: "idiot moron stupid imbecile scum worthless loser pathetic dumb trottel dummkopf abschaum idiota estúpido imbécil escoria connard crétin ordure",
@@ -74,7 +77,7 @@ class Lexicon:
             seed = self.seeds.get(word)
             if seed in (grammar.INSULT, grammar.THREAT):
                 weight = max(weight, SEED_WEIGHT)
-            found = (seed or (grammar.INSULT if weight else grammar.OTHER), weight)
+            found = (seed or grammar.INSULT, weight) if seed or weight else _NOTHING
             if len(self.known) >= KEPT_WORDS:
                 self.known.clear()
             self.known[word] = found
@@ -107,11 +110,15 @@ def _count_words(docs: DataFrame) -> DataFrame:
         for doc_id, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))):
             words = {t for t in _WORD.findall((text or "").lower()) if t not in _STOPS}
             counts["toxic" if toxic else "clean", _half(doc_id)].update({k for w in words for k in beginnings(w)})
-        rows = [(k, half, counts["toxic", half][k], counts["clean", half][k]) for half in (0, 1) for k in counts["toxic", half].keys() | counts["clean", half].keys()]
-        columns = list(zip(*rows)) or [()] * 4
-        return dict(zip(("entry", "half", "toxic", "clean"), map(list, columns)))
-
-    return map_slices(docs, run, "entry string, half int, toxic long, clean long")
+        found = [(half, list(counts["toxic", half].keys() | counts["clean", half].keys())) for half in (0, 1)]
+        return {
+            "entry": [k for _, keys in found for k in keys],
+            "half": [half for half, keys in found for _ in keys],
+            "toxic": [counts["toxic", half][k] for half, keys in found for k in keys],
+            "clean": [counts["clean", half][k] for half, keys in found for k in keys],
+        }
+
+    return map_slices(docs, run, "entry string, half int, toxic long, clean long", COUNTED_BYTES)
 
 
 def _half(doc_id: int) -> int:
