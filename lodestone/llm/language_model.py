@@ -24,16 +24,17 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import seating
-from .arrow import map_arrow, slices, text_bytes
+from .arrow import map_arrow, release_memory, slices, text_bytes
 from .workspace import Workspace, documents
 
 WORDS, CLASSES, CHAINS, FOLDS = 1024, 512, 3, 10
-BLOCK_BYTES, MOST_WORDS = 24 << 20, 400_000
+BLOCK_BYTES, PACKED_BYTES, MOST_WORDS = 24 << 20, 2 << 20, 400_000
 #: The end of a text; no word holds white space.
 END = b"\n"
 ADDED = 0.1
@@ -64,25 +65,28 @@ def hashes_of(words) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """(block, doc_id, text): blocks of up to BLOCK_BYTES of text, within partitions."""
+    """(block, doc_id, packed): compressed texts in blocks of up to BLOCK_BYTES of text, within partitions."""
 
     def run(batches):
-        part, size, number = TaskContext.get().partitionId(), 0, 0
+        part, size, number, zip_ = TaskContext.get().partitionId(), 0, 0, zstandard.ZstdCompressor(level=3)
         for batch in slices(batches):
             if size and size + batch.nbytes > BLOCK_BYTES:
                 size, number = 0, number + 1
             size += batch.nbytes
             block = pa.array(np.full(batch.num_rows, part << 20 | number, np.int64))
-            yield pa.RecordBatch.from_arrays([block, batch.column("doc_id"), batch.column("text")], names=["block", "doc_id", "text"])
+            packed = pa.array([zip_.compress(t) for t in text_bytes(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([block, batch.column("doc_id"), packed], names=["block", "doc_id", "packed"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return map_arrow(chosen, run, "block long, doc_id long, text string")
+    return map_arrow(chosen, run, "block long, doc_id long, packed binary")
 
 
 def _rows(batches):
     """(block, doc_id, text) of each row."""
+    zip_ = zstandard.ZstdDecompressor()
     for batch in slices(batches):
-        yield from zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")))
+        for block, doc_id, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "packed"))):
+            yield block, doc_id, zip_.decompress(packed)
 
 
 def _word_counts(blocks: DataFrame) -> DataFrame:
@@ -206,9 +210,10 @@ def score_documents(docs: DataFrame, words: int = WORDS, chains: int = CHAINS) -
         order = np.argsort(word)
         word, seen = word[order], seen[order]
         ids, out = [], defaultdict(list)
-        for batch in slices(table.to_batches()):
+        zip_ = zstandard.ZstdDecompressor()
+        for batch in slices(table.to_batches(), PACKED_BYTES):
             numbers = numbered()
-            texts = [np.array(list(map(numbers.__getitem__, tokens(t))), np.int32) for t in text_bytes(batch.column("text"))]
+            texts = [np.array(list(map(numbers.__getitem__, tokens(zip_.decompress(t)))), np.int32) for t in batch.column("packed").to_pylist()]
             own = list(numbers)
             hashed = hashes_of(own)
             at = np.minimum(np.searchsorted(word, hashed), len(word) - 1)
@@ -235,9 +240,10 @@ def score_documents(docs: DataFrame, words: int = WORDS, chains: int = CHAINS) -
             out["base_score"].append(np.add.reduceat(base[flat], starts))
             out["score"].append(np.add.reduceat(score, starts))
         columns = {k: np.concatenate(v) for k, v in out.items()}
+        release_memory()
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": [held_out(i) for i in ids], "n_tokens": columns["n_tokens"], "n_known": columns["n_known"], "train_tokens": np.full(len(ids), total), "base_score": columns["base_score"], "score": columns["score"]})
 
-    own = parts.select("block", "word").distinct().join(counts.select("word", "c").hint("merge"), "word", "left")
+    own = parts.select("block", "word").join(counts.select("word", "c").hint("merge"), "word", "left")
     own = own.select("block", "word", F.coalesce("c", F.lit(0)).alias("c"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(run, schema)
