@@ -6,13 +6,16 @@
 2. Each task builds adjacency lists from the nearest neighbours in it, pruned robustly: a neighbour is dropped if one
    that was chosen before is closer to it, by a factor, than the node is. A node's lists from all its shards are
    united.
-3. Each task searches the united graph for all its nodes at once, greedily from the medoids of its clusters; the search expands on
-   from every vector within the range, plus a margin, until it finds none that is new.
+3. Each task searches the united graph, with its edges in both directions, for all its nodes at once: greedily from
+   the node itself, the medoids of its clusters and an entry point of each part of the graph that has no medoid (the
+   nearest neighbours of a large group can all lie in it). The search expands on from every vector within the range,
+   plus a margin, until it finds none that is new.
 4. What is found is verified in double precision. A pair that shares several tasks counts in the first of them.
    Of the links a task gives, each node keeps its number and one edge towards its component, so that the output
    grows with the nodes and not with the pairs.
 5. An audit holds AUDITED nodes against all others in blocks. If the recall is under the target, the overlap doubles
-   and all is done again, at last with every shard.
+   and all is done again. Where the overlap would reach every shard, all nodes are compared exactly instead, a pair of
+   blocks a task.
 
 Defined results. Vectors that are null, empty, zero or hold null or non-finite components are linked with nothing.
 Vectors of another length than the commonest are compared with their own kind. Rows without vec_id count as vectors
@@ -104,14 +107,54 @@ def neighbour_lists(x: np.ndarray, degree: int = DEGREE, slack: float = SLACK) -
     return chosen
 
 
-def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, bar: float) -> np.ndarray:
-    """For each query (a row number), which rows it has met with a cosine of at least bar; by expanding greedily from medoids."""
-    n = len(x)
+def _lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row number that each of n rows reaches over the edges (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def both_ways(n: int, owner: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, targets): the neighbours of row i over the edges in both directions are targets[starts[i] : starts[i + 1]]."""
+    edges = np.unique(np.concatenate([owner * n + target, target * n + owner]))
+    return np.searchsorted(edges, np.arange(n + 1) * n), edges % n
+
+
+def entry_points(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The medoids, and of each part of the graph without one the row nearest to the part's mean."""
     medoids = np.unique((fit_centroids(x, MEDOIDS, 3) @ x.T).argmax(axis=1))
+    starts, targets = graph
+    part = _lowest(len(x), np.repeat(np.arange(len(x)), np.diff(starts)), targets)
+    sums = np.zeros_like(x)
+    np.add.at(sums, part, x)
+    order = np.lexsort((-np.einsum("nd,nd->n", x, sums[part]), part))
+    parts, first = np.unique(part[order], return_index=True)
+    return np.concatenate([medoids, order[first][~np.isin(parts, part[medoids])]])
+
+
+def range_search(x: np.ndarray, graph: np.ndarray | tuple[np.ndarray, np.ndarray], queries: np.ndarray, bar: float, entries: np.ndarray | None = None) -> np.ndarray:
+    """For each query (a row number), which rows it has met with a cosine of at least bar; by expanding greedily from itself and the entry points.
+
+    graph: neighbours by place, -1 where there is none, or what both_ways gives.
+    """
+    n = len(x)
+    if isinstance(graph, np.ndarray):
+        owner, place = np.nonzero(graph >= 0)
+        graph = both_ways(n, owner, graph[owner, place])
+    starts, neighbours = graph
+    entries = entry_points(x, graph) if entries is None else entries
     met = np.full((len(queries), n), -2, np.float32)
-    met[:, medoids] = x[queries] @ x[medoids].T
+    met[:, entries] = x[queries] @ x[entries].T
+    met[np.arange(len(queries)), queries] = 1
     fresh = np.zeros((len(queries), n), bool)
-    fresh[:, medoids] = True
+    fresh[:, entries] = True
+    fresh[np.arange(len(queries)), queries] = True
     spent = np.zeros(len(queries), np.int64)
     live = np.arange(len(queries))
     while len(live):
@@ -128,10 +171,8 @@ def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, bar: flo
         q, nodes = live[rows], top[rows, spots]
         fresh[q, nodes] = False
         spent += np.bincount(q, minlength=len(spent))
-        targets = graph[nodes]
-        q, targets = np.repeat(q, targets.shape[1]), targets.ravel()
-        new = targets >= 0
-        q, targets = q[new], targets[new]
+        count = starts[nodes + 1] - starts[nodes]
+        q, targets = np.repeat(q, count), neighbours[np.repeat(starts[nodes] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
         new = met[q, targets] == -2
         pairs = np.unique(q[new] * n + targets[new])
         q, targets = pairs // n, pairs % n
@@ -144,24 +185,23 @@ def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, bar: flo
 
 
 def _task_links(ids, copies, shards, block, x, links, i, j, shard, cosine):
-    """(number of links, edge) of a task's nodes; links: united neighbours by id."""
+    """(number of links, edge) of a task's nodes; links: united neighbours by id, None to compare all with all."""
     n = len(ids)
-    order = np.argsort(ids)
-    flat = np.concatenate([np.asarray(v, np.int64) for v in links]) if n else np.empty(0, np.int64)
-    owner = np.repeat(np.arange(n), [len(v) for v in links])
-    at = np.minimum(np.searchsorted(ids[order], flat), n - 1)
-    inside = ids[order][at] == flat
-    owner, target = owner[inside], order[at[inside]]
-    count = np.bincount(owner, minlength=n)
-    graph = np.full((n, max(1, count.max(initial=1))), -1)
-    graph[owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)] = target
     small = x.astype(np.float32)
-    total, root = np.zeros(n, np.int64), np.arange(n)
+    if links is not None:
+        order = np.argsort(ids)
+        flat = np.concatenate([np.asarray(v, np.int64) for v in links]) if n else np.empty(0, np.int64)
+        owner = np.repeat(np.arange(n), [len(v) for v in links])
+        at = np.minimum(np.searchsorted(ids[order], flat), n - 1)
+        inside = ids[order][at] == flat
+        graph = both_ways(n, owner[inside], order[at[inside]])
+        entries = entry_points(small, graph)
+    total = np.zeros(n, np.int64)
     edges = []
     found = np.zeros((n, n), bool)
     for a in range(0, n, QUERIES_AT_ONCE):
         queries = np.arange(a, min(n, a + QUERIES_AT_ONCE))
-        found[queries] = range_search(small, graph, queries, cosine - 1e-5)
+        found[queries] = small[queries] @ small.T >= cosine - 1e-5 if links is None else range_search(small, graph, queries, cosine - 1e-5, entries)
     found |= found.T
     np.fill_diagonal(found, False)
     if i != j:
@@ -182,15 +222,7 @@ def _task_links(ids, copies, shards, block, x, links, i, j, shard, cosine):
     a, b = (np.concatenate(v) for v in zip(*edges)) if edges else (np.empty(0, np.int64),) * 2
     np.add.at(total, a, copies[b])
     np.add.at(total, b, copies[a])
-    while True:
-        low = root.copy()
-        np.minimum.at(low, a, root[b])
-        np.minimum.at(low, b, root[a])
-        low = low[low]
-        if (low == root).all():
-            break
-        root = low
-    return total, ids[root]
+    return total, ids[_lowest(n, a, b)]
 
 
 def _dealt(nodes: DataFrame, centres: dict[int, np.ndarray], overlap: int, space: Workspace) -> DataFrame:
@@ -218,7 +250,7 @@ def _dealt(nodes: DataFrame, centres: dict[int, np.ndarray], overlap: int, space
 
 
 def _linked(dealt: DataFrame, space: Workspace, overlap: int, cosine: float) -> DataFrame:
-    """(node, n, root) for each node and task."""
+    """(node, n, root) for each node and task; an overlap of 0 compares all nodes of a task."""
     matrix = lambda column: np.frombuffer(b"".join(column.to_pylist())).reshape(len(column), -1)
 
     def build(table: pa.Table) -> pa.Table:
@@ -227,18 +259,20 @@ def _linked(dealt: DataFrame, space: Workspace, overlap: int, cosine: float) ->
         return pa.table({"node": pa.array(ids), "near": pa.array([ids[r[r >= 0]] for r in lists], pa.list_(pa.int64()))})
 
     keys = ["shard", "i", "j"]
-    lists = dealt.groupBy(*keys).applyInArrow(build, "node long, near array<long>")
-    united = space.write(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), f"graph{overlap}")
+    if overlap:
+        lists = dealt.groupBy(*keys).applyInArrow(build, "node long, near array<long>")
+        united = space.write(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), f"graph{overlap}")
 
     def search(table: pa.Table) -> pa.Table:
         column = lambda c: table.column(c).to_numpy()
         ids = column("node")
         shards = np.array(table.column("shards").to_pylist(), np.int64)
         i, j, shard = (int(table.column(c)[0].as_py()) for c in ("i", "j", "shard"))
-        n, root = _task_links(ids, column("copies"), shards, column("block"), matrix(table.column("unit")), table.column("near").to_pylist(), i, j, shard, cosine)
+        near = table.column("near").to_pylist() if overlap else None
+        n, root = _task_links(ids, column("copies"), shards, column("block"), matrix(table.column("unit")), near, i, j, shard, cosine)
         return pa.table({"node": pa.array(ids), "n": pa.array(n), "root": pa.array(root)})
 
-    return dealt.join(united, "node").groupBy(*keys).applyInArrow(search, "node long, n long, root long")
+    return (dealt.join(united, "node") if overlap else dealt).groupBy(*keys).applyInArrow(search, "node long, n long, root long")
 
 
 def audit(nodes: DataFrame, counts: DataFrame, size: int, cosine: float) -> tuple[int, int]:
@@ -273,20 +307,25 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP
     sample = nodes.filter(F.col("size") == size).orderBy(F.xxhash64("node", F.lit(3))).limit(SAMPLE).select("unit").collect()
     shards = int(min(MOST_SHARDS, max(1, common["k"] * overlap // SHARD_ROWS)))
     centres = {size: fit_centroids(np.array([np.frombuffer(bytes(r.unit)) for r in sample]), shards)}
+    used = []
     while True:
-        found = space.write(_linked(_dealt(nodes, centres, overlap, space), space, overlap, cosine), f"found{overlap}")
+        used.append(overlap)
+        # without centres all nodes of a size are one shard
+        found = space.write(_linked(_dealt(nodes, centres if overlap else {}, overlap, space), space, overlap, cosine), f"found{overlap}")
         counts = found.groupBy("node").agg(F.sum("n").alias("n"))
+        if not overlap:
+            break
         got, there = audit(nodes, counts, size, cosine)
-        if got >= target * there or overlap >= len(centres[size]):
+        if got >= target * there:
             break
-        overlap *= 2
+        overlap = 2 * overlap if 2 * overlap < len(centres[size]) else 0
     # a node's component is named by the smallest vec_id in it
     reach = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), space, "reach")
     whole = nodes.join(reach.select(F.col("id").alias("node"), "component"), "node", "left").join(counts, "node", "left")
     whole = space.write(whole.select("node", "low", F.coalesce("component", "node").alias("part"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "whole")
     names = whole.groupBy("part").agg(F.min("low").alias("component_id"))
     whole = space.write(whole.join(names, "part").select("node", "n_links", "component_id"), "named")
-    space.drop("nodes", "whole", *(f"{t}{o}" for t in ("placed", "graph", "found") for o in (overlap, overlap // 2)))
+    space.drop("nodes", "whole", *(f"{t}{o}" for t in ("placed", "graph", "found") for o in used))
     out = units.withColumn("node", F.when(F.col("unit").isNotNull(), F.xxhash64("unit"))).join(whole.hint("merge"), "node", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

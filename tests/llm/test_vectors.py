@@ -55,6 +55,40 @@ def test_search_reaches_what_is_in_range():
     assert (found & ~want).sum() == 0 and found.sum() >= 0.98 * want.sum()
 
 
+def groups(n, size, dim, noise, seed=3):
+    rng = np.random.default_rng(seed)
+    x = np.repeat(rng.normal(size=(n, dim)), size, axis=0)
+    return x + noise * rng.normal(size=x.shape)
+
+
+def test_search_enters_groups_wider_than_the_lists():
+    """40 groups of 70, whose 64 nearest never leave them: more groups than medoids."""
+    x = groups(40, 70, 64, 0.05)
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    found = vectors.range_search(x, vectors.neighbour_lists(x), np.arange(len(x)), 0.9)
+    assert (found == (x @ x.T >= 0.9)).all()
+
+
+def test_parts_of_a_group_that_lists_do_not_join():
+    """20 groups of two clumps of 80 each; a clump's lists stay in it, but the clumps are linked."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(np.repeat(rng.normal(size=(20, 64)), 2, axis=0) + 0.2 * rng.normal(size=(40, 64)), 80, axis=0)
+    x += 0.01 * rng.normal(size=x.shape)
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    found, want = vectors.range_search(x, vectors.neighbour_lists(x), np.arange(len(x)), 0.9), x @ x.T >= 0.9
+    assert want.sum() > 1.5 * len(x) * 80 and (found == want).all()
+
+
+@pytest.mark.parametrize("target", [0.98, 1.1])
+def test_large_groups_are_whole(spark, monkeypatch, target):
+    """Every group of 70 is linked throughout; also by the exact comparison, which an audit that can't pass leads to."""
+    monkeypatch.setattr(vectors, "MOST_ROWS", 4096 if target < 1 else 500)
+    x = groups(30, 70, 64, 0.05)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(frame, target=target).collect()}
+    assert found == {i: (69, i // 70 * 70) for i in range(len(x))}
+
+
 def test_odd_rows(spark):
     rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.1]), (2, None)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
