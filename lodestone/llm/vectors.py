@@ -10,9 +10,11 @@
    the node itself, the medoids of its clusters and an entry point of each part of the graph that has no medoid (the
    nearest neighbours of a large group can all lie in it). The search expands on from every vector within the range,
    plus a margin, until it finds none that is new.
-4. What is found is verified in double precision. A pair that shares several tasks counts in the first of them.
-   Of the links a task gives, each node keeps its number and one edge towards its component, so that the output
-   grows with the nodes and not with the pairs.
+4. What is found is verified in double precision. A pair that shares several shards counts in the first of them; of
+   all the links a task gives, each node keeps their number, one edge towards its component and a signed sum of hashes
+   that is zero over all tasks if they found the same, so that the output grows with the nodes and not with the pairs.
+   Nodes with another sum are held exactly against all nodes of their shards, so that no link is lost that any task
+   has found.
 5. An audit holds AUDITED nodes against all others in blocks. If the recall is under the target, the overlap doubles
    and all is done again. Where the overlap would reach every shard, all nodes are compared exactly instead, a pair of
    blocks a task.
@@ -38,6 +40,7 @@ SAMPLE, SHARD_ROWS, MOST_ROWS, MOST_SHARDS = 20_000, 1_500, 4_096, 4_096
 NEAREST, DEGREE, SLACK = 64, 32, 1.2
 MEDOIDS, BEAM, MARGIN, AT_A_TIME = 16, 40, 0.1, 8
 AUDITED, QUERIES_AT_ONCE = 200, 1_024
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def unit(values: list | None) -> np.ndarray | None:
@@ -184,9 +187,14 @@ def range_search(x: np.ndarray, graph: np.ndarray | tuple[np.ndarray, np.ndarray
     return met >= bar
 
 
-def _task_links(ids, copies, shards, block, x, links, i, j, shard, cosine):
-    """(number of links, edge) of a task's nodes; links: united neighbours by id, None to compare all with all."""
+def _task_links(ids, copies, shards, block, x, links, i, j, shard, cosine, asks=None):
+    """(number of links, edge, check) of a task's nodes; links: united neighbours by id, None to compare exactly.
+
+    asks: the nodes whose links are looked for, all if None. check: the first shard of a pair adds the pair's hash for
+    each other shard of both, and each other takes it away.
+    """
     n = len(ids)
+    asking = np.arange(n) if asks is None else np.flatnonzero(asks)
     small = x.astype(np.float32)
     if links is not None:
         order = np.argsort(ids)
@@ -196,11 +204,11 @@ def _task_links(ids, copies, shards, block, x, links, i, j, shard, cosine):
         inside = ids[order][at] == flat
         graph = both_ways(n, owner[inside], order[at[inside]])
         entries = entry_points(small, graph)
-    total = np.zeros(n, np.int64)
-    edges = []
+    total, check = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    edges, own = [], []
     found = np.zeros((n, n), bool)
-    for a in range(0, n, QUERIES_AT_ONCE):
-        queries = np.arange(a, min(n, a + QUERIES_AT_ONCE))
+    for a in range(0, len(asking), QUERIES_AT_ONCE):
+        queries = asking[a : a + QUERIES_AT_ONCE]
         found[queries] = small[queries] @ small.T >= cosine - 1e-5 if links is None else range_search(small, graph, queries, cosine - 1e-5, entries)
     found |= found.T
     np.fill_diagonal(found, False)
@@ -217,12 +225,18 @@ def _task_links(ids, copies, shards, block, x, links, i, j, shard, cosine):
         # the first shard that both are in
         same = (shards[a][:, :, None] == shards[b][:, None, :]).any(axis=2)
         first = np.where(same, shards[a], np.iinfo(np.int64).max).min(axis=1)
-        true &= first == shard
-        edges.append((a[true], b[true]))
+        hashed = ((ids[a] ^ ids[b]).view(np.uint64) * _MULTIPLIER >> np.uint64(28)).view(np.int64)
+        hashed = np.where(first == shard, hashed * (same.sum(axis=1) - 1), -hashed)[true]
+        a, b, first = a[true], b[true], first[true]
+        np.add.at(check, a, hashed)
+        np.add.at(check, b, hashed)
+        edges.append((a, b))
+        own.append(first == shard)
     a, b = (np.concatenate(v) for v in zip(*edges)) if edges else (np.empty(0, np.int64),) * 2
-    np.add.at(total, a, copies[b])
-    np.add.at(total, b, copies[a])
-    return total, ids[_lowest(n, a, b)]
+    mine = np.concatenate(own) if own else np.empty(0, bool)
+    np.add.at(total, a[mine], copies[b[mine]])
+    np.add.at(total, b[mine], copies[a[mine]])
+    return total, ids[_lowest(n, a, b)], check
 
 
 def _dealt(nodes: DataFrame, centres: dict[int, np.ndarray], overlap: int, space: Workspace) -> DataFrame:
@@ -249,8 +263,11 @@ def _dealt(nodes: DataFrame, centres: dict[int, np.ndarray], overlap: int, space
     return each.select("shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "unit", "shards")
 
 
+LINKED = "node long, n long, root long, check long"
+
+
 def _linked(dealt: DataFrame, space: Workspace, overlap: int, cosine: float) -> DataFrame:
-    """(node, n, root) for each node and task; an overlap of 0 compares all nodes of a task."""
+    """(node, n, root, check) for each node and task; an overlap of 0 compares all nodes of a task."""
     matrix = lambda column: np.frombuffer(b"".join(column.to_pylist())).reshape(len(column), -1)
 
     def build(table: pa.Table) -> pa.Table:
@@ -263,16 +280,38 @@ def _linked(dealt: DataFrame, space: Workspace, overlap: int, cosine: float) ->
         lists = dealt.groupBy(*keys).applyInArrow(build, "node long, near array<long>")
         united = space.write(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), f"graph{overlap}")
 
+    search = _searching(cosine, bool(overlap))
+    return (dealt.join(united, "node") if overlap else dealt).groupBy(*keys).applyInArrow(search, LINKED)
+
+
+def _searching(cosine: float, by_graph: bool):
     def search(table: pa.Table) -> pa.Table:
         column = lambda c: table.column(c).to_numpy()
         ids = column("node")
+        asks = column("asks") if "asks" in table.column_names else None
         shards = np.array(table.column("shards").to_pylist(), np.int64)
+        x = np.frombuffer(b"".join(table.column("unit").to_pylist())).reshape(len(ids), -1)
+        near = table.column("near").to_pylist() if by_graph else None
         i, j, shard = (int(table.column(c)[0].as_py()) for c in ("i", "j", "shard"))
-        near = table.column("near").to_pylist() if overlap else None
-        n, root = _task_links(ids, column("copies"), shards, column("block"), matrix(table.column("unit")), near, i, j, shard, cosine)
-        return pa.table({"node": pa.array(ids), "n": pa.array(n), "root": pa.array(root)})
+        n, root, check = _task_links(ids, column("copies"), shards, column("block"), x, near, i, j, shard, cosine, asks)
+        if asks is not None:
+            n = np.where(asks, n, 0)
+        return pa.table({"node": pa.array(ids), "n": pa.array(n), "root": pa.array(root), "check": pa.array(check)})
+
+    return search
 
-    return (dealt.join(united, "node") if overlap else dealt).groupBy(*keys).applyInArrow(search, "node long, n long, root long")
+
+def _agreed(found: DataFrame, dealt: DataFrame, space: Workspace, overlap: int, cosine: float) -> DataFrame:
+    """found, with the nodes whose tasks differ counted anew by exact comparison in their shards."""
+    differ = space.write(found.groupBy("node").agg(F.sum("check").alias("check")).filter("check <> 0").select("node"), f"differ{overlap}")
+    asked = differ.withColumn("asks", F.lit(True))
+    # only tasks with such a node
+    keys = ["shard", "i", "j"]
+    tasks = dealt.select(*keys, "node").join(differ, "node", "left_semi").select(*keys).distinct()
+    again = dealt.join(tasks, keys, "left_semi").join(asked, "node", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    again = again.groupBy(*keys).applyInArrow(_searching(cosine, False), LINKED)
+    first = found.join(asked, "node", "left").select("node", F.when(F.col("asks"), 0).otherwise(F.col("n")).alias("n"), "root", "check")
+    return space.write(first.unionByName(again.filter("n > 0 OR node <> root")), f"agreed{overlap}")
 
 
 def audit(nodes: DataFrame, counts: DataFrame, size: int, cosine: float) -> tuple[int, int]:
@@ -311,7 +350,10 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP
     while True:
         used.append(overlap)
         # without centres all nodes of a size are one shard
-        found = space.write(_linked(_dealt(nodes, centres if overlap else {}, overlap, space), space, overlap, cosine), f"found{overlap}")
+        dealt = _dealt(nodes, centres if overlap else {}, overlap, space)
+        found = space.write(_linked(dealt, space, overlap, cosine), f"found{overlap}")
+        if overlap:
+            found = _agreed(found, dealt, space, overlap, cosine)
         counts = found.groupBy("node").agg(F.sum("n").alias("n"))
         if not overlap:
             break
@@ -325,7 +367,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP
     whole = space.write(whole.select("node", "low", F.coalesce("component", "node").alias("part"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "whole")
     names = whole.groupBy("part").agg(F.min("low").alias("component_id"))
     whole = space.write(whole.join(names, "part").select("node", "n_links", "component_id"), "named")
-    space.drop("nodes", "whole", *(f"{t}{o}" for t in ("placed", "graph", "found") for o in used))
+    space.drop("nodes", "whole", *(f"{t}{o}" for t in ("placed", "graph", "found", "differ", "agreed") for o in used))
     out = units.withColumn("node", F.when(F.col("unit").isNotNull(), F.xxhash64("unit"))).join(whole.hint("merge"), "node", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

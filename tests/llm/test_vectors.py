@@ -89,6 +89,23 @@ def test_large_groups_are_whole(spark, monkeypatch, target):
     assert found == {i: (69, i // 70 * 70) for i in range(len(x))}
 
 
+def test_links_that_only_a_later_shard_finds(spark):
+    """All nodes are in the shards 0 and 1; the search of shard 0 finds nothing."""
+    x = groups(3, 4, 16, 0.05)
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    ids, n = np.arange(100, 112), len(x)
+    shards, ones = np.tile([0, 1], (n, 1)), np.ones(n, np.int64)
+    rows = [(s, 0, 0, 0, int(i), 1, v.tobytes(), [0, 1]) for s in (0, 1) for i, v in zip(ids, x)]
+    dealt = spark.createDataFrame(rows, "shard long, i int, j int, block int, node long, copies long, unit binary, shards array<long>")
+    total, root, check = vectors._task_links(ids, ones, shards, ones, x, None, 0, 0, 1, 0.9)
+    assert not total.any() and root.tolist() == np.repeat([100, 104, 108], 4).tolist() and check.all()
+    found = [(int(i), 0, int(i), 0) for i in ids] + [tuple(map(int, r)) for r in zip(ids, total, root, check)]
+    agreed = vectors._agreed(spark.createDataFrame(found, vectors.LINKED), dealt, vectors.Workspace(spark, "test"), 2, 0.9)
+    assert sorted(map(tuple, agreed.groupBy("node").sum("n").collect())) == [(i, 3) for i in ids]
+    both = vectors._task_links(ids, ones, shards, ones, x, None, 0, 0, 0, 0.9)
+    assert (both[0] == 3).all() and not (both[2] + check).any()
+
+
 def test_odd_rows(spark):
     rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.1]), (2, None)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
