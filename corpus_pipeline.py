@@ -22,6 +22,9 @@ from lodestone.llm.suffix_dedup import without_repeats
 from lodestone.llm.toxicity import score, train
 from lodestone.llm.workspace import Workspace, documents
 
+#: Shingle similarity of near-duplicates in a corpus, in per cent; the query op5_minhash has its own.
+PERCENT = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -42,7 +45,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_duplicates(docs, PERCENT).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 

@@ -4,7 +4,7 @@
    smallest hash. Every empty bin copies a filled bin: the first in a random order of bins of its own, the same for
    all texts (optimal densification). Texts with equal sets are one class, represented by the smallest doc_id.
 2. Eight bins are a band, and a band's eight bytes a bucket key. At a similarity of 0.85 a pair misses all 48 bands
-   with a probability of 3e-7.
+   with a probability of 3e-7. For lower thresholds six bins are a band: at 0.80 a pair misses all 64 with 4e-9.
 3. In each bucket one member, by a hash of its own for each bucket, is compared with all others: a star.
 4. Links are confirmed on whole shingle sets. Pairs whose sketches agree in under 60 % of the bins (0.85 lies over
    eight standard deviations above) aren't compared in full.
@@ -35,7 +35,7 @@ from .components import components
 from .workspace import Workspace, documents
 
 WORDS, PERCENT = 5, 85
-BINS, ROWS = 384, 8
+BINS, ROWS, LOW_ROWS = 384, 8, 6
 SKETCH_SHARE = 0.6
 #: Members and queries that one task compares in the last step.
 BLOCK, QUERIES = 2000, 500
@@ -97,12 +97,13 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, same binary, sketch binary")
 
 
-def buckets(classes: DataFrame) -> DataFrame:
-    """(key, id) of each class and band."""
-    salt = _mixed(np.arange(1, BINS // ROWS + 1, dtype=np.uint64))
+def buckets(classes: DataFrame, rows: int = ROWS) -> DataFrame:
+    """(key, id) of each class and band of `rows` bins, eight at most."""
+    salt = _mixed(np.arange(1, BINS // rows + 1, dtype=np.uint64))
 
     def run(batch: pa.RecordBatch) -> dict:
-        bands = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u8").reshape(batch.num_rows, -1)
+        cut = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1, rows)
+        bands = np.pad(cut, ((0, 0), (0, 0), (0, 8 - rows))).view("<u8")[:, :, 0]
         ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), bands.shape[1])
         return {"key": _mixed(bands ^ salt).view(np.int64).ravel(), "id": ids}
 
@@ -206,7 +207,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = space.write(signatures(docs), "signed")
     classes = signed.filter(F.col("same").isNotNull() & F.col("doc_id").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"))
     classes = space.write(classes, "classes")
-    every = buckets(classes)
+    every = buckets(classes, ROWS if percent >= PERCENT else LOW_ROWS)
     stars = every.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("order"), "id")).alias("hub"), F.count(F.lit(1)).alias("n"))
     stars = stars.filter("n > 1").select("key", F.col("hub.id").alias("hub"))
     members = space.write(every.join(stars, "key"), "members")

@@ -83,3 +83,16 @@ def test_each_stage_against_brute_force(spark, tmp_path):
         assert sum(p.length for p in pieces if p.doc_id == d) == n
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, whole.select("doc_id", "length").groupBy("doc_id").sum("length").collect())) == sorted((d, sum(p.length for p in pieces if p.doc_id == d)) for d in ids)
+
+
+def test_near_dedup_at_eighty_percent(spark):
+    """Pairs with similarities of 86/106 (0.81) and 81/111 (0.73), against brute force at 80."""
+    rng, rows = random.Random(4), []
+    for i in range(40):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+        other = [f"x{k}" if k in ((30, 60) if i % 2 else (20, 50, 80)) else w for k, w in enumerate(words)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(96)} for d, t in rows}
+    gone = {b for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert len(gone) == 20 and {r.doc_id for r in kept.collect()} == sets.keys() - gone
