@@ -48,6 +48,43 @@ def test_moves_sample_the_posterior():
     assert abs(np.mean(mean[10:]) - exact) < 0.02
 
 
+def test_cells_of_many_customers():
+    """Tables of a cell of 20,000 customers beside 4,000 other tables, against the exact distribution."""
+    d, low, c, others, most = 0.5, 0.1, 20_000, 4_000, 1_500
+    log_s, t = np.full(most + 1, -np.inf), np.arange(most + 1)
+    log_s[0] = 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for n in range(1, c + 1):
+            seated = n - 1 - d * t
+            stay = np.where((t < n) & (seated > 0), log_s + np.log(np.maximum(seated, 1e-300)), -np.inf)
+            stay[1:] = np.logaddexp(stay[1:], log_s[:-1])
+            log_s = stay
+    log_p = log_s + t * np.log(low) + np.r_[0, np.cumsum(np.log(seating.STRENGTH + d * (others + t[:-1])))]
+    p = np.exp(log_p - log_p.max())
+    exact = (t * p).sum() / p.sum()
+    rng, mean = np.random.default_rng(7), []
+    level = seating.Level(1, np.zeros(others + 1, np.int64), np.arange(others + 1), d)
+    level.seat(np.r_[c, np.ones(others, np.int64)])
+    for _ in range(60):
+        level.moves(np.full(others + 1, low), rng, 8)
+        mean.append(level.t[0])
+    assert abs(np.mean(mean[14:]) - exact) < 0.03 * exact
+
+
+def test_a_restaurant_of_many_customers():
+    """100 restaurants of one dish that alone is served, 10^5 customers each: the expected tables in closed form."""
+    d, c, rooms = 0.5, 100_000, 100
+    log_k = math.lgamma(1 + c + d) + math.lgamma(2) - math.log(d) - math.lgamma(1 + c) - math.lgamma(1 + d)
+    exact = math.exp(log_k) - 1 / d
+    rng, mean = np.random.default_rng(8), []
+    level = seating.Level(rooms, np.arange(rooms), np.zeros(rooms, np.int64), d)
+    level.begin(np.full(rooms, c), np.ones(rooms), rng)
+    for _ in range(40):
+        level.moves(np.ones(rooms), rng, 8)
+        mean.append(level.t.mean())
+    assert abs(np.mean(mean) - exact) < 0.15 * exact
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     context, dish = np.divmod(np.unique(rng.integers(0, 12 * 9, 70)), 9)
