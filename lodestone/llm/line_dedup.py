@@ -1,14 +1,15 @@
 """Line deduplication over levelled sorted runs of line hashes, all in DataFrame operations.
 
-A run is a Parquet table sorted by line hash within hash partitions; each entry has the number of documents seen
-with the line so far and the largest of their ids. A batch of documents is merged against the runs: lines that the
-runs lack (the anti-join's side) get a first entry, the others an entry with totals brought up to date, which
-replaces the older one as it is of a later generation. `fanout` runs of a level are compacted into one of the next.
-
-Defined results. A null or empty text is one empty line. A row counts as one document; a line that a document
-repeats counts once, and all its repetitions go or stay together. A row without doc_id counts as a document but
-keeps all its lines. Rows that share a doc_id are several documents, and all of them keep the lines for which this
-id is the largest. Other columns are carried along, whatever their names.
+A run is a table bucketed and sorted by line hash; each entry has the number of documents seen with the line and the
+largest of their ids. Documents come in batches by a hash of doc_id, whatever files they are in, so that a document
+is in one batch. Each batch is merge-joined with the runs: the lines that no run has (the anti-join's side) are the
+fresh entries of its own run, the others are updates that its table carries beside them. `fanout` tables of a level
+are compacted into one of the next. All these merges join buckets with buckets: a batch is shuffled, never a run.
+
+Defined results. A null or empty text is one empty line. Documents are distinct doc_ids: rows that share one are one
+document, and a line that a document repeats counts once; all its repetitions go or stay together, and all rows with
+the largest doc_id of a line keep it. Rows without doc_id count as no document and keep all their lines. Of an empty
+table nothing comes. Other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, documents, file_batches
+from .workspace import Workspace, documents
 
 #: The bytes 0x20 and 0x09-0x0D, which count as white space.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MIN_CHARS, MIN_DOCS, FANOUT, BATCHES = 40, 5, 4, 4
+MIN_CHARS, MIN_DOCS, FANOUT, BATCHES = 40, 5, 2, 3
 
 
 def line_key(line: Column, min_chars: int) -> Column:
@@ -35,94 +36,121 @@ def line_key(line: Column, min_chars: int) -> Column:
 
 
 def keyed(docs: DataFrame, min_chars: int) -> DataFrame:
-    """A row (doc_id, print, at, key, first) for each line that has a key.
+    """A row (doc_id, print, at, key) for each line that has a key, of rows with doc_id.
 
-    at: the line's place; first: whether it is the document's first line with the key; print: a hash of the whole
-    text, which tells rows with one doc_id apart.
+    at: the line's place; print: a hash of the whole text, which tells rows with one doc_id apart.
     """
     keys = F.transform(F.split("text", "\n", -1), lambda x: line_key(x, min_chars))
     # explode(array(...)) works the keys out once a row; a projection would be merged into what reads it
-    once = docs.select("doc_id", F.xxhash64("text").alias("print"), F.explode(F.array(keys)).alias("keys"))
-    marked = F.transform("keys", lambda k, i: F.struct(i.alias("at"), k.alias("key"), (F.array_position("keys", k) == i + 1).alias("first")))
-    return once.select("doc_id", "print", F.explode(marked).alias("line")).select("doc_id", "print", "line.*").filter(F.col("key").isNotNull())
+    once = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("print"), F.explode(F.array(keys)).alias("keys"))
+    return once.select("doc_id", "print", F.posexplode("keys").alias("at", "key")).filter(F.col("key").isNotNull())
 
 
 class LineRuns:
-    """The levelled runs; add() takes a batch of documents, totals() gives the newest entry of each line."""
+    """The levelled runs; add() merges a batch of keyed() lines, totals() has the sums of each line.
+
+    A table has the entries of a run and, not fresh, updates of lines that other runs have. Documents must not be
+    spread over batches: each batch counts the documents it has.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.space, self.fanout = Workspace(spark, "lines"), fanout
-        self.levels: list[list[tuple[str, DataFrame]]] = [[]]
-        self.generation = 0
+        self.levels: list[list[DataFrame]] = [[]]
+        self.written = 0
 
-    def _runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for _, run in level]
+    def tables(self) -> list[DataFrame]:
+        return [table for level in self.levels for table in level]
 
-    def _write(self, entries: DataFrame, level: int) -> None:
-        name = f"level{level}-{self.generation}"
-        run = self.space.write(entries.repartition("key").sortWithinPartitions("key"), name)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append((name, run))
+    def _write(self, entries: DataFrame) -> DataFrame:
+        self.written += 1
+        return self.space.write_bucketed(entries.select("key", "n_docs", "last_doc", "fresh"), f"run{self.written}", "key")
 
     def add(self, lines: DataFrame) -> None:
-        """Merges a batch of keyed() lines into the runs; compacts each level that has become full."""
-        self.generation += 1
-        batch = lines.filter("first").groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        if self._runs():
-            known = self.totals().select("key", F.col("n_docs").alias("seen"), F.col("last_doc").alias("last_seen"))
-            both = batch.join(known, "key", "left")
-            # no counterpart in the runs: a new line; otherwise the entry replaces theirs
-            batch = both.select("key", (F.col("n_docs") + F.coalesce("seen", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "last_seen").alias("last_doc"))
-        self._write(batch.withColumn("generation", F.lit(self.generation)), 0)
+        """Merges a batch into the runs; compacts each level that has become full."""
+        # count_distinct first meets the lines of a document, so that a very common line is many small groups
+        batch = lines.groupBy("key").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        self.levels[0].append(self._write(self.marked(batch)))
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
-                old, self.levels[level] = self.levels[level], []
-                self._write(self._newest([run for _, run in old]), level + 1)
-                self.space.drop(*(name for name, _ in old))
+                self._compact(level)
 
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """Those of a batch's keyed() lines that no run has."""
-        return reduce(lambda found, run: found.join(run.select("key"), "key", "left_anti"), self._runs(), lines)
+    def marked(self, batch: DataFrame) -> DataFrame:
+        """batch, with `fresh`: whether no run has the line; a merge join with each run, whose unmatched side it is."""
+        flags = []
+        for i, run in enumerate(self.tables()):
+            flags.append(f"in{i}")
+            batch = batch.join(run.filter("fresh").select("key", F.lit(True).alias(flags[-1])).hint("merge"), "key", "left")
+        return batch.withColumn("fresh", F.coalesce(*flags, F.lit(False)) == F.lit(False)).drop(*flags)
 
     @staticmethod
-    def _newest(runs: list[DataFrame]) -> DataFrame:
-        every = reduce(DataFrame.unionByName, runs)
-        if len(runs) == 1:
-            return every
-        newest = F.max_by(F.struct("n_docs", "last_doc"), "generation").alias("entry")
-        return every.groupBy("key").agg(newest, F.max("generation").alias("generation")).select("key", "entry.n_docs", "entry.last_doc", "generation")
+    def _merged(tables: list[DataFrame]) -> DataFrame:
+        """The fresh entries, each brought up to date; their keys differ, so that nothing needs grouping."""
+        merged = []
+        for run in tables:
+            entries = run.filter("fresh").drop("fresh")
+            for other in tables:
+                if other is not run:
+                    update = other.filter("NOT fresh").select("key", F.col("n_docs").alias("more"), F.col("last_doc").alias("later"))
+                    entries = entries.join(update.hint("merge"), "key", "left")
+                    entries = entries.select("key", (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "later").alias("last_doc"))
+            merged.append(entries)
+        return reduce(DataFrame.unionByName, merged)
+
+    def _compact(self, level: int) -> None:
+        """One table of all of the level's; updates of lines that other levels have stay updates."""
+        old, others = self.levels[level], [run for run in self.tables() if not any(run is x for x in self.levels[level])]
+        entries = self._merged(old).withColumn("fresh", F.lit(True))
+        if others:
+            strays = []
+            for update in (table.filter("NOT fresh") for table in old):
+                for run in old:
+                    update = update.join(run.filter("fresh").select("key").hint("merge"), "key", "left_anti")
+                strays.append(update.drop("fresh"))
+            summed = reduce(DataFrame.unionByName, strays).repartition("key").groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+            entries = entries.unionByName(summed.withColumn("fresh", F.lit(False)))
+        if len(self.levels) == level + 1:
+            self.levels.append([])
+        self.levels[level + 1].append(self._write(entries))
+        self.levels[level] = []
+        self.space.drop_table(*old)
 
     def totals(self) -> DataFrame:
-        return self._newest(self._runs())
+        return self._merged(self.tables())
+
+    def drop(self) -> None:
+        self.space.drop_table(*self.tables())
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """docs, with text's repeated lines dropped, and columns n_lines and n_dropped.
 
     Lines of at least min_chars code points that at least min_docs documents have stay only in the one with the
-    largest doc_id. The counts come from LineRuns over all documents, fed in batches of whole input files.
+    largest doc_id. The counts come from LineRuns over all documents, fed in `batches` batches.
     """
     runs = LineRuns(docs.sparkSession)
-    batches = [runs.space.write(keyed(batch, min_chars), f"batch{i}") for i, batch in enumerate(file_batches(docs, batches))]
-    for batch in batches:
-        runs.add(batch)
+    dealt = keyed(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    lines = runs.space.write(dealt, "lines", "batch")
+    for i in range(batches):
+        runs.add(lines.filter(F.col("batch") == i).select("key", "doc_id"))
     repeated = runs.totals().filter(F.col("n_docs") >= min_docs).select("key", "last_doc")
-    lost = reduce(DataFrame.unionByName, batches).join(repeated, "key").filter(F.col("doc_id") != F.col("last_doc"))
-    lost = lost.groupBy(F.col("doc_id").alias("__doc"), F.col("print").alias("__print")).agg(F.collect_list("at").alias("__lost"))
+    lost = lines.join(repeated.hint("merge"), "key").filter(F.col("doc_id") != F.col("last_doc"))
+    # rows that are alike in id and text lose the same places
+    lost = lost.groupBy(F.col("doc_id").alias("__doc"), F.col("print").alias("__print")).agg(F.collect_set("at").alias("__lost"))
     lost = runs.space.write(lost, "lost")
-    runs.space.drop(*(name for level in runs.levels for name, _ in level), *(f"batch{i}" for i in range(len(batches))))
+    runs.drop()
+    runs.space.drop("lines")
     columns = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     # a merge join at every size: the lost lines grow with the input, so they are never broadcast
     joined = docs.join(lost.hint("merge"), (docs["doc_id"] == lost["__doc"]) & (F.xxhash64(docs["text"]) == lost["__print"]), "left")
-    lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("__lost", i)), "\n")
-    n_dropped = F.when(F.col("__lost").isNull(), F.lit(0)).otherwise(F.size("__lost")).cast("long")
-    return joined.select(
-        *(docs[c] for c in columns),
+    # explode(array(...)) splits once a row; places are kept or lost by hash, so that long texts take linear time
+    split = joined.select(*(docs[c].alias(f"__{i}") for i, c in enumerate(columns)), "text", "__lost", F.explode(F.array(F.split(F.coalesce("text", F.lit("")), "\n", -1))).alias("__lines"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__lost")
+    left = F.array_join(F.transform(places, lambda i: F.get("__lines", i)), "\n")
+    return split.select(
+        *(F.col(f"__{i}").alias(c) for i, c in enumerate(columns)),
         F.when(F.col("__lost").isNotNull(), left).otherwise(F.coalesce("text", F.lit(""))).alias("text"),
-        F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"),
-        n_dropped.alias("n_dropped"),
+        F.size("__lines").cast("long").alias("n_lines"),
+        F.when(F.col("__lost").isNull(), F.lit(0)).otherwise(F.size("__lost")).cast("long").alias("n_dropped"),
     )
 
 

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine), a new local one."""
+    """The folder of spark.checkpoint.dir; where it is unset and all runs in one process (tests), a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lodestone-')}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -31,16 +34,45 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/lodestone-{label}-{uuid.uuid4().hex}"
+        self.bucketed: dict[int, tuple[str, str]] = {}
+        self.held: list[DataFrame] = []
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path, before = f"{self.root}/{name}", self.spark.conf.get(CLEANUP)
+    def _clean(self, save: Callable[[], None]) -> None:
+        before = self.spark.conf.get(CLEANUP)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            save()
         finally:
             self.spark.conf.set(CLEANUP, before)
+
+    def write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Writes a table, in a folder for each value of the columns `by`, and reads it back."""
+        path = f"{self.root}/{name}"
+        self._clean(lambda: df.write.option("compression", "zstd").partitionBy(*by).parquet(path))
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """The same, bucketed and sorted by `key`: joins and groupings by it need no exchange.
+
+        The bucketing is known to the session's catalogue; the files are in the workspace as all others.
+        """
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"lodestone_{uuid.uuid4().hex}"
+        dealt = df.repartition(buckets, key).sortWithinPartitions(key)
+        saved = dealt.write.option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(buckets, key).sortBy(key)
+        self._clean(lambda: saved.saveAsTable(table, format="parquet"))
+        made = self.spark.table(table)
+        self.bucketed[id(made)] = (table, name)
+        self.held.append(made)
+        return made
+
+    def drop_table(self, *tables: DataFrame) -> None:
+        """Drops bucketed tables."""
+        for made in tables:
+            table, name = self.bucketed.pop(id(made))
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            self.drop(name)
+
     def drop(self, *names: str) -> None:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -49,13 +81,3 @@ class Workspace:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def file_batches(docs: DataFrame, most: int) -> list[DataFrame]:
-    """docs as up to `most` DataFrames of whole input files; docs itself where it isn't a plain Parquet scan."""
-    spark, files = docs.sparkSession, sorted(docs.inputFiles())
-    plain = docs._jdf.queryExecution().analyzed().nodeName().startswith("LogicalRelation") or docs._jdf.queryExecution().analyzed().nodeName() == "Relation"
-    if len(files) < 2 or not plain:
-        return [docs]
-    size = -(-len(files) // most)
-    return [spark.read.schema(docs.schema).parquet(*files[i : i + size]) for i in range(0, len(files), size)]
