@@ -20,9 +20,9 @@ def components(edges: DataFrame, space: Workspace, label: str) -> DataFrame:
         step += 1
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = both.join(low.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        small = large.join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         small = small.unionByName(low.select("a", F.col("low").alias("b"))).filter("a <> b").distinct()
         done = space.write(small, f"{label}-{step}")
         space.drop(f"{label}-{step - 1}")

@@ -10,12 +10,17 @@
    eight standard deviations above) aren't compared in full.
 5. In the buckets whose members aren't all connected yet, the member with the most links so far is compared with all
    of other components. The members that still are outside their surroundings' largest component are a query set,
-   held against all members in blocks of bounded size. Members that are connected need no comparison, so no link
-   that matters is lost, and no pairs are listed.
+   held against all members in blocks of bounded size: first by sketches alone, then, with texts, those rows of a
+   block that have a promising counterpart in another component. Members that are connected need no comparison, so no
+   link that matters is lost, and no pairs are listed.
+
+A class has a number of its own, so that rows that share a doc_id are each placed by their own text; a component is
+named by the smallest doc_id of its classes at the end.
 
 Defined results. A null, empty or blank text has an empty set, is linked with nothing and forms its own component.
-Rows without doc_id are linked with nothing and have no component; they are kept. Rows that share a doc_id are each
-placed by their own text. Columns other than doc_id and text are not looked at.
+Rows without doc_id are linked with nothing and have no component; they are kept. Rows that share a doc_id but not a
+text can be of different components; a row is kept if its doc_id is its component's. Columns other than doc_id and
+text are not looked at, whatever their names. Of an empty table nothing comes.
 """
 
 from __future__ import annotations
@@ -37,8 +42,8 @@ from .workspace import Workspace, documents
 WORDS, PERCENT = 5, 85
 BINS, ROWS, LOW_ROWS = 384, 8, 6
 SKETCH_SHARE = 0.6
-#: Members and queries that one task compares in the last step.
-BLOCK, QUERIES = 2000, 500
+#: Members, queries and shingles of either that one task compares in the last step.
+BLOCK, QUERIES, BLOCK_SHINGLES = 2000, 500, 4_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,18 +88,23 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, same, sketch): same is a 128-bit hash of the set; both null where the set is empty."""
+    """(doc_id, print, n_shingles, same, sketch): same is a 128-bit hash of the set; both null where the set is empty.
+
+    print: a hash of the text, which tells rows with one doc_id apart.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t) for t in text_bytes(batch.column("text"))]
         return {
             "doc_id": batch.column("doc_id"),
+            "print": batch.column("print"),
             "n_shingles": [len(s) for s in sets],
             "same": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
             "sketch": [sketch(s) if len(s) else None for s in sets],
         }
 
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, same binary, sketch binary")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), "text")
+    return map_slices(chosen, run, "doc_id long, print long, n_shingles long, same binary, sketch binary")
 
 
 def buckets(classes: DataFrame, rows: int = ROWS) -> DataFrame:
@@ -141,42 +151,64 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return map_slices(pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def _open(members: DataFrame, links: DataFrame, space: Workspace, label: str) -> DataFrame:
+def _open(members: DataFrame, links: DataFrame, found: DataFrame, space: Workspace, label: str) -> DataFrame:
     """Members of the buckets that links don't connect yet: (key, id, component, degree, top: the one with most links)."""
-    found = components(links, space, f"components{label}")
     ends = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id")))
     degrees = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    placed = members.join(found, "id", "left").join(degrees, "id", "left")
+    placed = members.join(found.hint("merge"), "id", "left").join(degrees.hint("merge"), "id", "left")
     placed = placed.select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
     spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("degree", "id", "component")).alias("top"), F.count(F.lit(1)).alias("n"))
     # the star has compared the two members of a bucket of two
-    return space.write(placed.join(spread.filter("low <> high AND n > 2").select("key", "top"), "key"), f"open{label}")
+    return space.write(placed.join(spread.filter("low <> high AND n > 2").select("key", "top").hint("merge"), "key"), f"open{label}")
 
 
-def _remaining(open_: DataFrame, texts: DataFrame, percent: int, space: Workspace) -> DataFrame:
-    """Links between different components of buckets, found in blocks.
+def _dealt(open_: DataFrame, sketches: DataFrame, space: Workspace) -> DataFrame:
+    """(region, i, j, id, component, query): queries and members of the tasks (region, i, j).
 
     Buckets that share members form a region. In a region, the members outside its largest component are a query set
-    that is held against all members, a block of queries and a block of members a task; blocks are of bounded size.
-    A query gives one link to each component that it reaches.
+    that is held against all members, a block of queries and a block of members a task.
     """
     regions = components(open_.select(F.col("top.id").alias("a"), F.col("id").alias("b")), space, "regions").withColumnRenamed("component", "region")
-    nodes = space.write(open_.select("id", "component").distinct().join(regions, "id"), "nodes")
-    parts = nodes.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
-    parts = parts.groupBy("region").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("main"))
-    split = nodes.join(parts, "region").select(
+    nodes = open_.select("id", "component").distinct().join(regions.hint("merge"), "id").join(sketches.select("id", "size").hint("merge"), "id")
+    nodes = space.write(nodes, "nodes")
+    parts = nodes.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    parts = parts.groupBy("region").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "component")).alias("main"))
+    blocks = lambda n, s, most: F.greatest(F.ceil(n / most), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    split = nodes.join(parts.hint("merge"), "region").select(
         "region", "id", "component", (F.col("component") != F.col("main.component")).alias("asks"),
-        F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("main.n")) / QUERIES).cast("int").alias("query_blocks"),
+        blocks(F.col("n"), F.col("s"), BLOCK).alias("blocks"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s"), QUERIES).alias("query_blocks"),
     )
     place = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     queries = split.filter("asks").select("region", "id", "component", F.lit(True).alias("query"), place("query_blocks", 1).alias("i"), upto("blocks").alias("j"))
-    rows = split.select("region", "id", "component", F.lit(False).alias("query"), upto("query_blocks").alias("i"), place("blocks", 2).alias("j"))
-    dealt = queries.unionByName(rows).join(texts.hint("merge"), "id").select("region", "i", "j", "id", "component", "query", "packed")
+    rows = split.filter("query_blocks > 0").select("region", "id", "component", F.lit(False).alias("query"), upto("query_blocks").alias("i"), place("blocks", 2).alias("j"))
+    return queries.unionByName(rows).select("region", "i", "j", "id", "component", "query")
+
+
+def _near_blocks(dealt: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those rows of each task whose sketches agree in enough bins with a counterpart's of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts, query = (table.column(c).to_numpy(zero_copy_only=False) for c in ("component", "query"))
+        cut = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        rows, wanted = np.flatnonzero(~query), np.zeros(table.num_rows, bool)
+        held, held_parts = cut[rows], parts[rows]
+        for q in np.flatnonzero(query):
+            near = ((held == cut[q]).mean(axis=1) >= SKETCH_SHARE) & (held_parts != parts[q])
+            wanted[q] = near.any()
+            wanted[rows[near]] = True
+        return table.drop_columns(["sketch"]).filter(pa.array(wanted))
+
+    keyed = dealt.join(sketches.select("id", "sketch").hint("merge"), "id").select("region", "i", "j", "id", "component", "query", "sketch")
+    return keyed.groupBy("region", "i", "j").applyInArrow(run, "region long, i int, j int, id long, component long, query boolean")
+
+
+def _block_links(near: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the tasks' queries, one to each component that a query reaches in a task."""
 
     def run(table: pa.Table) -> pa.Table:
         zip_ = zstandard.ZstdDecompressor()
-        ids, parts, query = (np.array(table.column(c).to_pylist()) for c in ("id", "component", "query"))
+        ids, parts, query = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "query"))
         sets = [shingles(zip_.decompress(x)) for x in table.column("packed").to_pylist()]
         rows = np.flatnonzero(~query)
         sizes = np.array([len(sets[r]) for r in rows], np.int64)
@@ -194,7 +226,19 @@ def _remaining(open_: DataFrame, texts: DataFrame, percent: int, space: Workspac
             links += [(int(ids[q]), int(ids[r])) for r in near[first]]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return dealt.groupBy("region", "i", "j").applyInArrow(run, "a long, b long")
+    keyed = near.join(texts.hint("merge"), "id").select("region", "i", "j", "id", "component", "query", "packed")
+    return keyed.groupBy("region", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _extended(found: DataFrame, links: DataFrame, space: Workspace, label: str) -> DataFrame:
+    """The components found, joined by more links; only components that these touch are looked at."""
+    part = lambda end: found.select(F.col("id").alias(end), F.col("component").alias(f"part_{end}")).hint("merge")
+    ends = links.join(part("a"), "a", "left").join(part("b"), "b", "left")
+    joined = components(ends.select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")), space, label)
+    moved = joined.select(F.col("id").alias("component"), F.col("component").alias("onto")).hint("merge")
+    old = found.join(moved, "component", "left").select("id", F.coalesce("onto", "component").alias("component"))
+    new = joined.join(found.select("id").hint("merge"), "id", "left_anti")
+    return space.write(old.unionByName(new), f"{label}-all")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -205,40 +249,51 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents (doc_id, text)."""
     space = Workspace(docs.sparkSession, "near")
     signed = space.write(signatures(docs), "signed")
-    classes = signed.filter(F.col("same").isNotNull() & F.col("doc_id").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"))
-    classes = space.write(classes, "classes")
+    alike = signed.filter(F.col("same").isNotNull() & F.col("doc_id").isNotNull()).groupBy("same")
+    classes = alike.agg(F.min(F.struct("doc_id", "print")).alias("first"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size"))
+    # numbered as they are written: whoever reads the table sees the same numbers
+    classes = space.write(classes.select(F.monotonically_increasing_id().alias("id"), "same", "first.*", "sketch", "size"), "classes")
     every = buckets(classes, ROWS if percent >= PERCENT else LOW_ROWS)
     stars = every.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("order"), "id")).alias("hub"), F.count(F.lit(1)).alias("n"))
     stars = stars.filter("n > 1").select("key", F.col("hub.id").alias("hub"))
     members = space.write(every.join(stars, "key"), "members")
     wanted = members.select("id").distinct()
-    sketches = space.write(classes.join(wanted.hint("merge"), "id", "left_semi").select("id", "sketch"), "sketches")
-    packed = _packed(docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["id"], "left_semi"))
-    texts = space.write(packed, "texts")
+    sketches = space.write(classes.join(wanted.hint("merge"), "id", "left_semi").select("id", "doc_id", "print", "sketch", "size"), "sketches")
+    texts = space.write(_packed(docs, sketches.select("id", "doc_id", "print")), "texts")
 
     tested = space.write(_promising(_ordered(members.select(F.col("hub").alias("a"), F.col("id").alias("b"))), sketches), "pairs1")
     links = space.write(_confirmed(tested, texts, percent), "links1")
-    open_ = _open(members, links, space, "2")
-    fresh = _ordered(open_.filter("component <> top.component").select(F.col("top.id").alias("a"), F.col("id").alias("b"))).join(tested, ["a", "b"], "left_anti")
+    found = space.write(components(links, space, "parts1"), "parts1-all")
+    open_ = _open(members, links, found, space, "2")
+    fresh = _ordered(open_.filter("component <> top.component").select(F.col("top.id").alias("a"), F.col("id").alias("b"))).join(tested.hint("merge"), ["a", "b"], "left_anti")
     fresh = space.write(_promising(fresh, sketches), "pairs2")
-    links = links.unionByName(space.write(_confirmed(fresh, texts, percent), "links2"))
-    links = links.unionByName(space.write(_remaining(_open(members, links, space, "3"), texts, percent, space), "links3"))
-    found = components(links, space, "components")
-    # every text of a class has its component; the smallest id of the class has one of its own where nothing is linked
-    reached = classes.select("same", "id").join(found, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
+    more = space.write(_confirmed(fresh, texts, percent), "links2")
+    found = _extended(found, more, space, "parts2")
+    dealt = _dealt(_open(members, links.unionByName(more), found, space, "3"), sketches, space)
+    last = _block_links(space.write(_near_blocks(dealt, sketches), "near"), texts, percent)
+    found = _extended(found, space.write(last, "links3"), space, "parts3")
+    # every text of a class has its component, named by the smallest doc_id of all its classes
+    reached = classes.select("same", "id", "doc_id").join(found.hint("merge"), "id", "left").select("same", "doc_id", F.coalesce("component", "id").alias("component"))
     reached = space.write(reached, "reached")
-    space.drop("classes", "members", "sketches", "texts", "open2", "open3", "nodes")
+    names = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    reached = space.write(reached.join(names.hint("merge"), "component").select("same", "component_id"), "named")
+    space.drop("classes", "members", "sketches", "texts", "open2", "open3", "nodes", "near", "reached", *(f"parts{i}-all" for i in (1, 2, 3)))
     out = signed.join(reached.hint("merge"), "same", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, packed): the texts of classes (id, doc_id, print)."""
+
     def run(batch: pa.RecordBatch) -> dict:
         zip_ = zstandard.ZstdCompressor(level=1)
-        return {"id": batch.column("doc_id"), "packed": [zip_.compress(t) for t in text_bytes(batch.column("text"))]}
+        return {"id": batch.column("id"), "packed": [zip_.compress(t) for t in text_bytes(batch.column("text"))]}
 
-    return map_slices(docs.select("doc_id", "text"), run, "id long, packed binary")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), "text")
+    # rows that are alike in id and text are one; they lie together after the join
+    found = chosen.join(wanted.hint("merge"), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
+    return map_slices(found.select("id", "text"), run, "id long, packed binary")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,38 @@ def test_odd_rows(spark):
     assert near_dup.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_one_id_with_two_texts(spark):
+    """Each row is linked by its own text, whatever other rows have its doc_id."""
+    one, two = (" ".join(f"{x}{i}" for i in range(300)) for x in "pq")
+    for rows, want in (
+        ([(1, one), (5, one), (5, two), (7, two + " z")], [(1, 1), (5, 1), (5, 5), (7, 5)]),
+        ([(5, one), (5, two), (7, one + " z"), (9, two + " z")], [(5, 5), (5, 5), (7, 5), (9, 5)]),
+    ):
+        found = near_dup.near_duplicates(spark.createDataFrame(rows + rows[:2], "doc_id long, text string")).collect()
+        assert sorted({(r.doc_id, r.component_id) for r in found}) == sorted(set(want)) and len(found) == len(rows) + 2
+
+
+def test_blocks_find_what_stars_miss(spark):
+    """Groups without a common centre, in blocks smaller than they are, at both thresholds."""
+    rng, rows = random.Random(11), []
+    for g in range(3):
+        text = [f"g{g}w{i}" for i in range(200)]
+        for step in range(40):
+            # each is near the ones right before it alone
+            text = list(text)
+            for _ in range(2):
+                text[rng.randrange(200)] = f"n{rng.randrange(10**9)}"
+            rows.append((1000 * g + step, " ".join(text)))
+    rng.shuffle(rows)
+    near_dup.BLOCK, near_dup.QUERIES, before = 12, 5, (near_dup.BLOCK, near_dup.QUERIES)
+    try:
+        for percent in (85, 80):
+            found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()
+            assert {r.doc_id: r.component_id for r in found} == {d: c for d, (_, c) in brute(rows, percent).items()}
+    finally:
+        near_dup.BLOCK, near_dup.QUERIES = before
+
+
 def test_sketches_agree_as_sets_do():
     rng = np.random.default_rng(1)
     for n in (30, 300, 3000):
