@@ -90,9 +90,9 @@ class Tables:
 
     moves: list[dict[str, tuple[int, int]]]
 
-    def labels(self, symbols: Iterable[str]) -> list[tuple[int, int]]:
-        """(place, label) of the events of a clause."""
-        state, found = 0, []
+    def labels(self, symbols: Iterable[str], told: bool = False) -> list[tuple[int, int]]:
+        """(place, label) of the events of a clause; told: it goes on with what somebody is quoted to have said."""
+        state, found = (self.moves[0][REPORT][0] if told else 0), []
         for i, symbol in enumerate(symbols):
             state, label = self.moves[state][symbol]
             if label >= 0:

@@ -74,3 +74,37 @@ def test_no_labels(spark):
     found = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.train(docs, tags)).collect()}
     assert found == {1: 1, 2: 0}
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), tags)).collect() == []
+
+
+def said(text, learned=None, threats=frozenset()):
+    lexicon = toxicity.Lexicon(learned or {}, threats)
+    x = lexicon.features(toxicity.tokens(text))
+    return {grammar.LABELS[k] for k in np.flatnonzero(x)}
+
+
+def test_clauses():
+    assert said("You idiot.") == {"D-plain"}
+    assert said('He said: "You idiot."') == said("He said you idiot") == {"D-reported"}
+    assert said('She wrote, “Go away. You idiot. You moron!” Then it rained.') == {"D-reported"}
+    assert said('She wrote "nice". You idiot.') == {"D-plain"}
+    assert said("Today: you idiot") == {"D-plain"}
+    assert said("You isn\u2019t stupid") == said("You isn't stupid") == {"D-negated"}
+    # one event a word: aimed when its target follows, whatever comes after
+    assert said("idiot, I mean you you") == {"D-plain"}
+    assert np.isclose(toxicity.Lexicon({}).features(toxicity.tokens("idiot you")).sum(), np.log1p(toxicity.SEED_WEIGHT))
+    assert said("i will zork you", {"zork": 4.0}, frozenset({"zork"})) == {"T-plain"}
+
+
+def test_learned_threats(spark):
+    rows = [(i, f"I will zork you soon number{i}.") for i in range(40)] + [(100 + i, f"You are such a grubble word{i}.") for i in range(40)]
+    rows += [(200 + i, f"The weather is fine today and you can go out {i}.") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(d, int(d < 200)) for d, _ in rows], "doc_id long, toxic int"))
+    assert "zork" in model.threats and "grubble" in model.entries and "grubble" not in model.threats
+
+
+def test_very_long_text(spark):
+    text = "Nice words go on. " * 60_000 + "You idiot. " * 3
+    docs = spark.createDataFrame([(1, text), (2, "Nice words go on.")], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))).collect()}
+    assert found[1] > found[2]
