@@ -1,25 +1,33 @@
 """Language-model scores of documents under a hierarchical Pitman-Yor model, beside an add-0.1 unigram base.
 
-Tokens are words and one end. The WORDS most frequent words, the end among them, are symbols of their own; every
-other word belongs to one of CLASSES classes by its last three bytes. seating.py models symbols after the previous
-symbol. Within a class, a rest model spreads the class's probability over its words by a Pitman-Yor seating with one
-table a word: (c - d) / (theta + n) for a word seen c times, (theta + d * v) / (theta + n) for unseen ones together.
-All unseen words are one outcome, as in the base, so over the training words and that outcome probabilities sum to 1.
-The alphabet bounds what is broadcast, (WORDS + CLASSES + 1) squared numbers, at any size of the corpus.
-
-1. Texts are written as blocks of bounded size. 2. Each block's different words are counted and summed by word hash:
-counts of every word over all training documents. 3. Pairs of symbols are counted over all training documents.
-4. Each chain samples seatings in a task of its own; their predictive probabilities are averaged. 5. Each block meets
-the counts of its own words in a cogroup, so that no vocabulary is ever held whole, and its texts are scored.
+Tokens are words and one end; a token's context is the word before it. Every word of the training documents is a dish,
+and every one that another follows has a restaurant of its own, so that the model grows with the corpus. seating.py
+has the restaurants: contexts, their classes (by the last three bytes of the context word, within a bucket of
+contexts) and the root, where each word has one table: (c - d) / (theta + n) for a word with c customers, and
+(theta + d * v) / (theta + n) for all unseen words together. These are one outcome, as in the base, so over the
+training words and that outcome probabilities sum to 1.
+
+All data are sent as messages of packed arrays. 1. Blocks of documents become arrays of word numbers; each block sends
+its words and counts to buckets of words, by hash. 2. Each block sends its pairs (context, word) to buckets of
+contexts, which sum them to cells; contexts of very many tokens are split by word. 3. Buckets of contexts send the
+numbers of their tables to the buckets of words, which answer with the root's probabilities, then sample seatings by
+Gibbs sweeps, and send their tables again. 4. With the root that these give they sample anew, average the predictive
+probabilities over samples, and answer each block's pairs. 5. Each block adds up its documents' tokens.
+
+The numbers of blocks and of buckets follow the input, and a bucket's size stays the same. The driver has sums and the
+list of split contexts, at most 2^17.
 
 Defined results. A null or empty text is an end. Rows without doc_id are scored and never learned from. Repeated
-rows are learned from each time. Words are known by 64-bit hashes. Columns other than doc_id and text are left alone.
+rows are learned from each time. A very long text is a block of its own. Words are known by 64-bit hashes. Without
+training tokens all words are the unseen one, with a score of 0. Of an empty table nothing comes. Columns other than
+doc_id and text are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +41,15 @@ from . import seating
 from .arrow import map_arrow, release_memory, slices, text_bytes
 from .workspace import Workspace, documents
 
-WORDS, CLASSES, CHAINS, FOLDS = 1024, 512, 3, 10
-BLOCK_BYTES, PACKED_BYTES, MOST_WORDS = 24 << 20, 2 << 20, 400_000
-#: The end of a text; no word holds white space.
-END = b"\n"
-ADDED = 0.1
+FOLDS, CLASSES, ADDED = 10, 512, 0.1
+#: Bytes of text in a block and, of the whole corpus, to a bucket; training tokens from which a context is split.
+BLOCK_BYTES, BUCKET_BYTES, SPLIT_TOKENS, MOST_SPLIT = 8 << 20, 16 << 20, 500_000, 1 << 17
+#: The end of a text, and what stands before its first word; no word holds white space.
+END, BEGINNING = b"\n", b"\t"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+MESSAGE = "place long, kind int, origin long, n long, x double, body binary"
+BLOCK, WORDS, COUNTS, PAIRS, CELLS, TABLES, PRIOR, KNOWN, SHARES = range(9)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -53,200 +65,397 @@ def word_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % CLASSES
 
 
-def numbered() -> defaultdict:
-    """A dictionary that numbers its keys as they come."""
-    numbers: defaultdict = defaultdict()
-    numbers.default_factory = numbers.__len__
-    return numbers
-
-
 def hashes_of(words) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64).view(np.int64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64)
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """(block, doc_id, packed): compressed texts in blocks of up to BLOCK_BYTES of text, within partitions."""
+def packed(*arrays: np.ndarray) -> bytes:
+    """The arrays, compressed; unpacked() gives them back."""
+    head = [f"{a.dtype.str}:{len(a)}" for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(",".join(head).encode() + b"\n" + b"".join(a.tobytes() for a in arrays))
 
-    def run(batches):
-        part, size, number, zip_ = TaskContext.get().partitionId(), 0, 0, zstandard.ZstdCompressor(level=3)
-        for batch in slices(batches):
-            if size and size + batch.nbytes > BLOCK_BYTES:
-                size, number = 0, number + 1
-            size += batch.nbytes
-            block = pa.array(np.full(batch.num_rows, part << 20 | number, np.int64))
-            packed = pa.array([zip_.compress(t) for t in text_bytes(batch.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([block, batch.column("doc_id"), packed], names=["block", "doc_id", "packed"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return map_arrow(chosen, run, "block long, doc_id long, packed binary")
+def unpacked(body: bytes) -> list[np.ndarray]:
+    whole = zstandard.ZstdDecompressor().decompress(body)
+    at, out = whole.index(b"\n") + 1, []
+    for spec in whole[: at - 1].decode().split(","):
+        kind, _, n = spec.partition(":")
+        out.append(np.frombuffer(whole, kind, int(n), at))
+        at += out[-1].nbytes
+    return out
 
 
-def _rows(batches):
-    """(block, doc_id, text) of each row."""
-    zip_ = zstandard.ZstdDecompressor()
-    for batch in slices(batches):
-        for block, doc_id, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "packed"))):
-            yield block, doc_id, zip_.decompress(packed)
+def bucket_of(hashed: np.ndarray, buckets: int) -> np.ndarray:
+    """Ascending with the hash."""
+    return ((hashed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _word_counts(blocks: DataFrame) -> DataFrame:
-    """(block, word, class, n): each block's different words, with n occurrences in training documents; parts may repeat."""
+def ranges(hashed: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, end) of each bucket with some of the ascending hashes."""
+    own = bucket_of(hashed, buckets)
+    heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
+    return zip(own[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(own)])
 
-    def run(batches):
-        numbers, train, last = numbered(), [], None
-        for block, doc_id, text in _rows(batches):
-            if len(numbers) > MOST_WORDS or block != last and last is not None:
-                yield counted(last, numbers, train)
-                numbers, train = numbered(), []
-            last = block
-            ids = np.array(list(map(numbers.__getitem__, tokens(text))), np.int32)
-            if not held_out(doc_id):
-                train.append(ids)
-        if numbers:
-            yield counted(last, numbers, train)
 
-    def counted(block, numbers, train):
-        n = np.bincount(np.concatenate(train), minlength=len(numbers)) if train else np.zeros(len(numbers), np.int64)
-        columns = [np.full(len(numbers), block), hashes_of(numbers), np.fromiter(map(word_class, numbers), np.int32), n.astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "word", "class", "n"])
+def message(place: int, kind: int, origin: int, *arrays: np.ndarray, n: int = 0, x: float = 0.0) -> tuple:
+    return place, kind, origin, n, x, packed(*arrays)
 
-    return map_arrow(blocks, run, "block long, word long, class int, n long")
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary())
+    columns = zip(*rows) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["place", "kind", "origin", "n", "x", "body"])
 
-class Alphabet:
-    """Symbols: 0 .. WORDS - 1 the frequent words, then the classes; contexts have one more, the beginning."""
 
-    def __init__(self, frequent: np.ndarray, class_of: np.ndarray):
-        order = np.argsort(frequent)
-        self.sorted, self.order, self.class_of = frequent[order], order, class_of
-        self.words = len(frequent)
-        self.symbols, self.beginning = self.words + CLASSES, self.words + CLASSES
+def _messages(df: DataFrame, function) -> DataFrame:
+    """Each message's answers, by mapInArrow; function takes (place, kind, origin, arrays)."""
 
-    def symbols_of(self, words: list[bytes], hashed: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.sorted, hashed), self.words - 1)
-        return np.where(self.sorted[at] == hashed, self.order[at], self.words + np.fromiter(map(word_class, words), np.int64, len(words)))
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                place, kind, origin, body = (batch.column(c)[i].as_py() for c in ("place", "kind", "origin", "body"))
+                yield _batch(function(place, kind, origin, unpacked(body)))
 
+    return map_arrow(df, run, MESSAGE)
 
-def _pair_counts(blocks: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """(cell, n): training tokens by context and symbol, cell = context * symbols + symbol."""
-    width = alphabet.symbols
 
-    def run(batches):
-        cells = np.zeros((width + 1) * width, np.int64)
-        numbers, held, size = numbered(), [], 0
-
-        def count() -> None:
-            known = list(numbers)
-            symbol = alphabet.symbols_of(known, hashes_of(known))
-            flat = symbol[np.concatenate(held)]
-            before = np.r_[alphabet.beginning, flat[:-1]]
-            before[np.cumsum([0, *map(len, held[:-1])])] = alphabet.beginning
-            np.add(cells, np.bincount(before * width + flat, minlength=len(cells)), out=cells)
-
-        for _, doc_id, text in _rows(batches):
-            if held_out(doc_id):
-                continue
-            held.append(np.array(list(map(numbers.__getitem__, tokens(text))), np.int32))
-            size += len(held[-1])
-            if size > 1 << 20:
-                count()
-                held, size = [], 0
-                if len(numbers) > MOST_WORDS:
-                    numbers.clear()
-        if held:
-            count()
-        found = np.flatnonzero(cells)
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(cells[found])], names=["cell", "n"])
-
-    return map_arrow(blocks, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def _averaged(cells: DataFrame, alphabet: Alphabet, chains: int) -> np.ndarray:
-    """P(symbol | context) over all chains; a chain is one task and holds the cells, which the alphabet bounds."""
-    words, width, class_of = alphabet.words, alphabet.symbols, alphabet.class_of
+def _gathered(df: DataFrame, function, schema: str = MESSAGE) -> DataFrame:
+    """The answers of all messages to a place together; function takes (place, (kind, origin) and body, in order)."""
 
     def run(table: pa.Table) -> pa.Table:
-        chain, cell, n = (table.column(c).to_numpy() for c in ("chain", "cell", "n"))
-        order = np.argsort(cell)
-        found = seating.sample(cell[order] // width, cell[order] % width, n[order], words, CLASSES + 1, class_of, width, int(chain[0]))
-        return pa.table({"context": np.arange(len(found)), "p": [row.astype("<f8").tobytes() for row in found]})
+        kinds, origins, body = table.column("kind").to_pylist(), table.column("origin").to_pylist(), table.column("body")
+        order = sorted(range(len(kinds)), key=lambda i: (kinds[i], origins[i]))
+        found = function(table.column("place")[0].as_py(), ((kinds[i], origins[i], body[i].as_py()) for i in order))
+        release_memory()
+        return found if isinstance(found, pa.Table) else pa.Table.from_batches([_batch(found)])
 
-    dealt = cells.withColumn("chain", F.explode(F.array(*(F.lit(i) for i in range(chains)))))
-    total = np.zeros((width + 1, width))
-    for row in dealt.groupBy("chain").applyInArrow(run, "context long, p binary").toLocalIterator():
-        total[row.context] += np.frombuffer(bytes(row.p), "<f8")
-    return total / chains
+    return df.groupBy("place").applyInArrow(run, schema)
 
 
-def score_documents(docs: DataFrame, words: int = WORDS, chains: int = CHAINS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of documents (doc_id, text)."""
-    spark = docs.sparkSession
-    space = Workspace(spark, "model")
-    blocks = space.write(_blocks(docs), "blocks")
-    parts = space.write(_word_counts(blocks), "parts")
-    counts = space.write(parts.groupBy("word", F.col("class")).agg(F.sum("n").alias("c")).filter("c > 0"), "counts")
-    end = int(hashes_of([END])[0])
-    top = counts.filter(F.col("word") != end).orderBy(F.desc("c"), "word").limit(words - 1).select("word", "class").collect()
-    frequent = np.array([end, *(r.word for r in top)], np.int64)
-    alphabet = Alphabet(frequent, np.array([word_class(END), *(r["class"] for r in top)], np.int64))
-    sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("c") == 1, 1)).alias("one"), F.sum(F.when(F.col("c") == 2, 1)).alias("two")).first()
-    total, kinds, one, two = (int(x or 0) for x in sums)
-    rare = counts.join(F.broadcast(spark.createDataFrame([(int(w),) for w in frequent], "word long")), "word", "left_anti")
-    sizes = {r["class"]: (r.n, r.v) for r in rare.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    customers, different = (np.array([sizes.get(k, (0, 0))[i] for k in range(CLASSES)], float) for i in (0, 1))
-    d = min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
-    unseen = (seating.STRENGTH + d * different) / (seating.STRENGTH + customers)
-    cells = space.write(_pair_counts(blocks, alphabet), "cells")
-    p = _averaged(cells, alphabet, chains) if total else np.full((alphabet.symbols + 1, alphabet.symbols), 1 / alphabet.symbols)
-    log_p = np.log10(p).astype(np.float32)
-    log_unseen = np.log10(p[:, alphabet.words :] @ unseen)
-    # (symbols + 1) * symbols numbers of four bytes: under 10 MB for the usual alphabet
-    shared = spark.sparkContext.broadcast((alphabet, log_p, log_unseen))
-
-    def run(table: pa.Table, known: pa.Table) -> pa.Table:
-        alphabet, log_p, log_unseen = shared.value
-        word, seen = known.column("word").to_numpy(), known.column("c").to_numpy()
-        order = np.argsort(word)
-        word, seen = word[order], seen[order]
-        ids, out = [], defaultdict(list)
-        zip_ = zstandard.ZstdDecompressor()
-        for batch in slices(table.to_batches(), PACKED_BYTES):
-            numbers = numbered()
-            texts = [np.array(list(map(numbers.__getitem__, tokens(zip_.decompress(t)))), np.int32) for t in batch.column("packed").to_pylist()]
-            own = list(numbers)
-            hashed = hashes_of(own)
-            at = np.minimum(np.searchsorted(word, hashed), len(word) - 1)
-            if not (word[at] == hashed).all():
-                raise RuntimeError("a block's words changed between two reads")
-            c = seen[at].astype(np.float64)
-            symbol = alphabet.symbols_of(own, hashed)
-            kind = symbol - alphabet.words
-            rest = np.zeros(len(own))
-            inner = (kind >= 0) & (c > 0)
-            rest[inner] = np.log10((c[inner] - d) / (seating.STRENGTH + customers[kind[inner]]))
-            base = np.log10((c + ADDED) / (total + ADDED * (kinds + 1)))
-            lengths = np.array([len(t) for t in texts])
-            starts = np.cumsum(lengths) - lengths
-            flat = np.concatenate(texts)
-            symbols = symbol[flat]
-            before = np.r_[alphabet.beginning, symbols[:-1]]
-            before[starts] = alphabet.beginning
-            new = c[flat] == 0
-            score = np.where(new, log_unseen[before], log_p[before, symbols] + rest[flat])
-            ids += batch.column("doc_id").to_pylist()
-            out["n_tokens"].append(lengths)
-            out["n_known"].append(np.add.reduceat((~new).astype(np.int64), starts))
-            out["base_score"].append(np.add.reduceat(base[flat], starts))
-            out["score"].append(np.add.reduceat(score, starts))
-        columns = {k: np.concatenate(v) for k, v in out.items()}
-        release_memory()
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": [held_out(i) for i in ids], "n_tokens": columns["n_tokens"], "n_known": columns["n_known"], "train_tokens": np.full(len(ids), total), "base_score": columns["base_score"], "score": columns["score"]})
+def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
+    """BLOCK messages: texts as word numbers, words by hash; WORDS: each block's words and their training counts."""
+
+    def run(batches):
+        part, number, size, ids, texts = TaskContext.get().partitionId(), 0, 0, [], []
+        words: defaultdict = defaultdict()
+        words.default_factory = words.__len__
+
+        def flush() -> pa.RecordBatch:
+            hashed = hashes_of(words)
+            order = np.argsort(hashed)
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            flat, lengths = rank[np.concatenate(texts)], np.array([len(t) for t in texts], np.int32)
+            train = np.repeat([not held_out(i) for i in ids], lengths)
+            count = np.bincount(flat[train], minlength=len(order)).astype(np.uint32)
+            hashed, kinds = hashed[order], np.fromiter(map(word_class, words), np.int16)[order]
+            known = np.array([i is not None for i in ids])
+            block = part << 24 | number
+            rows = [message(block, BLOCK, 0, np.array([i or 0 for i in ids], np.int64), known, lengths, flat, hashed, kinds)]
+            rows += [message(b, WORDS, block, hashed[i:j], count[i:j]) for b, i, j in ranges(hashed, buckets)]
+            return _batch(rows)
+
+        for batch in slices(batches):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))):
+                if size and size + len(text) > BLOCK_BYTES:
+                    yield flush()
+                    number, size, ids, texts = number + 1, 0, [], []
+                    words.clear()
+                size += len(text) + 1
+                ids.append(doc_id)
+                texts.append(np.array(list(map(words.__getitem__, tokens(text))), np.int32))
+        if texts:
+            yield flush()
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, MESSAGE)
+
+
+def part_names(context: int, part: np.ndarray) -> np.ndarray:
+    """The hashes that parts of a split context go by."""
+    return (np.array([context], np.uint64) ^ (part.astype(np.uint64) + np.uint64(1)) * _ODD) * _ODD
+
+
+class Pairs:
+    """The different pairs of a block, by context and word; split contexts have a hash for each part."""
+
+    def __init__(self, arrays: list[np.ndarray], split: dict[int, int]):
+        ids, known, lengths, flat, hashed, kinds = arrays
+        starts = np.cumsum(lengths) - lengths
+        # the beginning is a word of its own, after the others
+        width = len(hashed) + 1
+        before = np.r_[len(hashed), flat[:-1]].astype(np.int64) if len(flat) else flat.astype(np.int64)
+        before[starts] = len(hashed)
+        train = np.repeat([k and not held_out(int(i)) for i, k in zip(ids, known)], lengths)
+        pair, place = np.unique(before * width + flat, return_inverse=True)
+        count = np.bincount(place[train], minlength=len(pair))
+        context, word = np.divmod(pair, width)
+        context_hash = np.append(hashed, hashes_of([BEGINNING]))
+        room, kind = context_hash[context], np.append(kinds, word_class(BEGINNING))[context].astype(np.int16)
+        many = np.flatnonzero(np.isin(context_hash, np.array(list(split), np.uint64))) if split else []
+        for c in many:
+            own = slice(*np.searchsorted(context, [c, c + 1]))
+            part = bucket_of(hashed[word[own]] * _ODD, split[int(context_hash[c])])
+            room[own] = part_names(int(context_hash[c]), part)
+            kind[own] = seating.SPLIT
+        # words are numbered by hash, so within a context this is the words' order
+        order = np.lexsort((word, room))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.place = rank[place]
+        self.word, self.count, self.hashed = word[order], count[order].astype(np.uint32), hashed
+        room, kind = room[order], kind[order]
+        self.heads = np.flatnonzero(np.r_[True, room[1:] != room[:-1]]) if len(room) else np.empty(0, np.int64)
+        self.rooms, self.kinds = room[self.heads], kind[self.heads]
+        self.runs = np.diff(np.r_[self.heads, len(room)]).astype(np.uint32)
+
+
+def _pairs(blocks: DataFrame, buckets: int, split: dict[int, int]) -> DataFrame:
+    def run(block, kind, origin, arrays):
+        own = Pairs(arrays, split)
+        ends = np.append(own.heads, len(own.word))
+        rows = []
+        for b, i, j in ranges(own.rooms, buckets):
+            pairs = slice(ends[i], ends[j])
+            rows.append(message(b, PAIRS, block, own.rooms[i:j], own.kinds[i:j], own.runs[i:j], own.hashed[own.word[pairs]], own.count[pairs]))
+        return rows
+
+    return _messages(blocks, run)
+
+
+def _counts(words: DataFrame) -> DataFrame:
+    """COUNTS: a bucket's training words, by hash, and their counts; n: tokens, x: words."""
+
+    def run(place, messages):
+        words, counts = zip(*(unpacked(body) for _, _, body in messages))
+        kinds, at = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.bincount(at, np.concatenate(counts), len(kinds)).astype(np.int64)
+        kinds, total = kinds[total > 0], total[total > 0]
+        return [message(place, COUNTS, 0, kinds, total, n=int(total.sum()), x=float(len(kinds)))]
+
+    return _gathered(words, run)
+
+
+def _split(counts: DataFrame, total: int) -> dict[int, int]:
+    """The contexts to split and their parts; the beginning is as frequent as the end."""
+    bar = max(SPLIT_TOKENS, total // MOST_SPLIT)
 
-    own = parts.select("block", "word").join(counts.select("word", "c").hint("merge"), "word", "left")
-    own = own.select("block", "word", F.coalesce("c", F.lit(0)).alias("c"))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(run, schema)
+    def run(batches):
+        for batch in batches:
+            for body in batch.column("body"):
+                words, count = unpacked(body.as_py())
+                large = count >= bar
+                yield pa.RecordBatch.from_arrays([pa.array(words[large].view(np.int64)), pa.array(count[large])], names=["word", "c"])
+
+    found = {r.word & (2**64 - 1): -(-r.c // bar) for r in map_arrow(counts.select("body"), run, "word long, c long").collect()}
+    end, begin = (int(hashes_of([w])[0]) for w in (END, BEGINNING))
+    return found | ({begin: found[end]} if end in found else {})
+
+
+def _cells(pairs: DataFrame, buckets: int) -> DataFrame:
+    """CELLS: a bucket's contexts and the training counts of their words; TABLES: a table for each class and word."""
+
+    def run(place, messages):
+        parts = [unpacked(body) for _, _, body in messages]
+        rooms, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+        kinds = np.concatenate([p[1] for p in parts])[first]
+        room, word, count = [], [], []
+        for own, _, runs, words, n in parts:
+            seen = n > 0
+            room.append(np.repeat(np.searchsorted(rooms, own), runs)[seen])
+            word.append(words[seen])
+            count.append(n[seen])
+        del parts
+        room, word, count = (np.concatenate(v) for v in (room, word, count))
+        dishes, word = np.unique(word, return_inverse=True)
+        key, at = np.unique(room * max(1, len(dishes)) + word, return_inverse=True)
+        total = np.bincount(at, count, len(key)).astype(np.int64)
+        room, dish = np.divmod(key, max(1, len(dishes)))
+        used, room = np.unique(room, return_inverse=True)
+        bodies = rooms[used], kinds[used], np.bincount(room, minlength=len(used)).astype(np.uint32), dishes, dish.astype(np.int32), total
+        made = seating.Restaurants(_bucket(bodies, {}))
+        return [message(place, CELLS, 0, *bodies), *_tables(place, made, dishes, buckets)]
+
+    return _gathered(pairs, run)
+
+
+def _bucket(arrays: list[np.ndarray], whole: dict[int, tuple[int, int]]) -> seating.Bucket:
+    """whole: customers and cells in all parts of each split context, by part."""
+    rooms, kinds, runs, dishes, dish, count = arrays
+    room = np.repeat(np.arange(len(rooms)), runs)
+    customers, cells = np.bincount(room, count, len(rooms)), np.asarray(runs, float)
+    scale = np.ones(len(rooms))
+    for i in np.flatnonzero(kinds == seating.SPLIT):
+        if (known := whole.get(int(rooms[i]))) is not None:
+            customers[i], scale[i] = known[0], known[1] / cells[i]
+    return seating.Bucket(room, dish.astype(np.int64), count, kinds.astype(np.int64), customers, scale, len(dishes))
+
+
+def _tables(place: int, made: seating.Restaurants, dishes: np.ndarray, buckets: int) -> list[tuple]:
+    """TABLES messages to the buckets of words; need: words that can move, whose probabilities are asked for."""
+    up = made.sent_up()
+    need = np.bincount(made.bucket.dish, made.bucket.count, len(dishes)) > 1
+    return [message(b, TABLES, place, dishes[i:j], up[i:j], need[i:j], n=int(up[i:j].sum())) for b, i, j in ranges(dishes, buckets)]
+
+
+def _wholes(cells: DataFrame, split: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """Customers and cells of each split context in all its parts, by part; there are few."""
+    if not split:
+        return {}
+
+    def run(batches):
+        for batch in batches:
+            for body in batch.column("body"):
+                rooms, kinds, runs, _, _, count = unpacked(body.as_py())
+                runs, own = runs.astype(np.int64), kinds == seating.SPLIT
+                customers = np.add.reduceat(count, np.cumsum(runs) - runs) if len(runs) else count
+                yield pa.RecordBatch.from_arrays([pa.array(rooms[own].view(np.int64)), pa.array(customers[own]), pa.array(runs[own])], names=["room", "c", "cells"])
+
+    found = {r.room & (2**64 - 1): (r.c, r.cells) for r in map_arrow(cells.select("body"), run, "room long, c long, cells long").collect()}
+    out = {}
+    for word, parts in split.items():
+        names = part_names(word, np.arange(parts)).tolist()
+        sums = [sum(x) for x in zip(*(found[n] for n in names if n in found))]
+        out |= {n: tuple(sums) for n in names if n in found}
+    return out
+
+
+def _root(messages: DataFrame, customers: int) -> DataFrame:
+    """PRIOR: the root's probabilities of the words that TABLES ask for; KNOWN: counts and probabilities of a block's words; x: discounts."""
+
+    def run(place, messages):
+        words, count, up, asked, blocks, rows = np.empty(0, np.uint64), np.empty(0, np.int64), None, [], [], []
+        for kind, origin, body in messages:
+            arrays = unpacked(body)
+            if kind == WORDS:
+                blocks.append((origin, body))
+            elif kind == COUNTS:
+                words, count = arrays
+                up = np.zeros(len(words), np.int64)
+            else:
+                at = np.searchsorted(words, arrays[0])
+                up[at] += arrays[1]
+                asked.append((origin, at[arrays[2]]))
+        if up is None:
+            up = np.zeros(0, np.int64)
+        d = seating.discount(up)
+        p = (up - d) / (seating.STRENGTH + customers)
+        for origin, at in asked:
+            rows.append(message(origin, PRIOR, place, p[at].astype(np.float32)))
+        for origin, body in blocks:
+            own = unpacked(body)[0]
+            at = seating._found(words, own)
+            rows.append(message(origin, KNOWN, place, np.append(count, 0)[at], np.append(p, 0)[at].astype(np.float32)))
+        # kept apart from the answers: what all words' tables leave to unseen ones
+        rows.append(message(-1, COUNTS, place, x=d * len(words)))
+        return rows
+
+    return _gathered(messages, run)
+
+
+def _opened(messages) -> tuple[list[np.ndarray], np.ndarray, Iterator]:
+    """Cells, P(dish | root) and the rest of the messages to a bucket of contexts."""
+    cells, prior, rest = None, [], []
+    for kind, origin, body in messages:
+        if kind == CELLS:
+            cells = unpacked(body)
+        elif kind == PRIOR:
+            prior.append(unpacked(body)[0])
+        else:
+            rest.append((origin, body))
+    if cells is None:
+        none = np.empty(0, np.int64)
+        cells = [none.astype(np.uint64), none.astype(np.int16), none.astype(np.uint32), none.astype(np.uint64), none.astype(np.int32), none]
+    need = np.bincount(cells[4], cells[5], len(cells[3])) > 1
+    p = np.zeros(len(need))
+    p[need] = np.concatenate(prior) if prior else 0.0
+    return cells, p, rest
+
+
+def _resampled(messages: DataFrame, buckets: int, whole: dict) -> DataFrame:
+    """TABLES of the contexts' buckets after Gibbs sweeps."""
+
+    def run(place, messages):
+        cells, prior, _ = _opened(messages)
+        made = seating.Restaurants(_bucket(cells, whole))
+        made.sweeps(prior, place)
+        return _tables(place, made, cells[3], buckets)
+
+    return _gathered(messages, run)
+
+
+def _answers(messages: DataFrame, whole: dict) -> DataFrame:
+    """SHARES: averaged probabilities of each block's pairs, as share + rest * P(word | root)."""
+
+    def run(place, messages):
+        cells, prior, asked = _opened(messages)
+        rooms, _, _, dishes, _, _ = cells
+        made = seating.Restaurants(_bucket(cells, whole))
+        kept = made.sweeps(prior, place + (1 << 40), seating.KEPT)
+        rows = []
+        for origin, body in asked:
+            own, kinds, runs, words, _ = unpacked(body)
+            share, rest = made.shares(kept, seating._found(rooms, own), kinds.astype(np.int64), seating._found(dishes, words), np.repeat(np.arange(len(own)), runs))
+            rows.append(message(origin, SHARES, place, share.astype(np.float32), rest.astype(np.float32)))
+        return rows
+
+    return _gathered(messages, run)
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scores(messages: DataFrame, split: dict[int, int], total: int, kinds: int, unseen: float) -> DataFrame:
+    def run(place, messages):
+        known, shares, arrays = [], [], None
+        for kind, _, body in messages:
+            if kind == BLOCK:
+                arrays = unpacked(body)
+            else:
+                (known if kind == KNOWN else shares).append(unpacked(body))
+        count, prior = (np.concatenate(v) for v in zip(*known))
+        share, rest = (np.concatenate(v).astype(np.float64) for v in zip(*shares))
+        ids, has_id, lengths, flat, _, _ = arrays
+        own = Pairs(arrays, split)
+        prior = np.where(count > 0, prior, unseen)
+        score = np.log10(share + np.repeat(rest, own.runs) * prior[own.word])
+        base = np.log10((count + ADDED) / (total + ADDED * (kinds + 1)))
+        starts = np.cumsum(lengths) - lengths
+        return pa.table({
+            "doc_id": pa.array(ids, mask=~has_id),
+            "held_out": [not k or held_out(int(i)) for i, k in zip(ids, has_id)],
+            "n_tokens": lengths.astype(np.int64),
+            "n_known": np.add.reduceat((count > 0)[flat].astype(np.int64), starts),
+            "train_tokens": np.full(len(ids), total),
+            "base_score": np.add.reduceat(base[flat], starts),
+            "score": np.add.reduceat(score[own.place], starts),
+        })
+
+    return _gathered(messages, run, SCORED)
+
+
+def score_documents(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of documents (doc_id, text)."""
+    space = Workspace(docs.sparkSession, "model")
+    buckets = max(1, -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
+    read = space.write(_blocks(docs, buckets), "read", "kind")
+    blocks, words = read.filter(F.col("kind") == BLOCK), read.filter(F.col("kind") == WORDS)
+    counts = space.write(_counts(words), "counts")
+    total, kinds = (int(v or 0) for v in counts.agg(F.sum("n"), F.sum("x")).first())
+    split = _split(counts, total)
+    pairs = space.write(_pairs(blocks, buckets, split), "pairs")
+    made = space.write(_cells(pairs, buckets), "cells", "kind")
+    cells, tables = made.filter(F.col("kind") == CELLS), made.filter(F.col("kind") == TABLES)
+    whole = _wholes(cells, split)
+    sums = lambda sent: int(sent.agg(F.sum("n")).first()[0] or 0)
+    prior = space.write(_root(counts.unionByName(tables), sums(tables)).filter("place >= 0"), "prior1")
+    tables = space.write(_resampled(cells.unionByName(prior), buckets, whole), "tables")
+    customers = sums(tables)
+    root = space.write(_root(counts.unionByName(tables).unionByName(words), customers), "root", "kind")
+    left = root.filter(F.col("kind") == COUNTS).agg(F.sum("x")).first()[0] or 0.0
+    shares = space.write(_answers(cells.unionByName(root.filter(F.col("kind") == PRIOR)).unionByName(pairs), whole), "shares")
+    space.drop("pairs", "cells", "prior1", "tables", "counts")
+    unseen = (seating.STRENGTH + left) / (seating.STRENGTH + customers)
+    return _scores(blocks.unionByName(root.filter(F.col("kind") == KNOWN)).unionByName(shares), split, total, kinds, unseen)
 
 
 def perplexity(scored: DataFrame) -> float:

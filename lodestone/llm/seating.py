@@ -1,26 +1,32 @@
-"""Hierarchical Pitman-Yor model over a bounded alphabet, by Gibbs sampling of Chinese-restaurant seatings.
+"""Hierarchical Pitman-Yor restaurants of one bucket of contexts, by Gibbs sampling of Chinese-restaurant seatings.
 
-Level 2 has a restaurant for each context word of the alphabet, level 1 one for each context class; the words of a
-class share their class's restaurant as parent, and the classes share the root. A customer of a restaurant is a token
-after that context, or a table of a child; of a cell (restaurant, dish) the state is its customers c and tables t.
+Level 2 has a restaurant for each context, level 1 one for each class of contexts; the contexts of a class share its
+restaurant as parent, and all classes, of all buckets, share the root, where each word has one table. A customer of a
+restaurant is a token after that context, or a table of a child; of a cell (restaurant, dish) the state is its
+customers c and tables t. The root's probabilities are given: the buckets' tables are brought together outside.
 
 A Gibbs move takes a customer of a cell out and seats it anew, given all else: it was alone at its table with the
 probability U(c, t), a ratio of generalised Stirling numbers (for many customers by a saddle point), and it opens
 a new table in proportion to (theta + d * tables) * P(dish | parent), or joins one in proportion to c - 1 - d * t.
-All cells of a level move at once, as in approximate distributed Gibbs sampling; a sweep goes from the leaves to the
-root, and what children's tables send on is carried up each time. A cell of many customers makes c / STEP moves at a time, their
-outcomes binomial, so that a sweep moves a share of the customers of every cell; sweeps start from customers seated in
-order, by growing groups, and go on until the numbers of tables have settled. Predictive probabilities are averaged over samples.
+All cells of a level move at once, as in approximate distributed Gibbs sampling; a sweep goes from the contexts to the
+classes. A cell of many customers makes c / STEP moves at a time, their outcomes binomial, so that a sweep moves a
+share of the customers of every cell; sweeps start from customers seated in order, by growing groups, and go on until
+the numbers of tables have settled. Predictive probabilities are averaged over the samples that are kept then.
+
+A context too large for one bucket is split by dish. Its parts are restaurants that know the whole's customers, take
+their own tables as their share of the whole's, and have the root as parent.
 """
 
 from __future__ import annotations
 
 import functools
+from dataclasses import dataclass
 
 import numpy as np
 
 STRENGTH, SMALL = 1.0, 128
-STEP, GROWTH, SETTLED, MOST_SWEEPS = 16, 1.15, 0.005, 80
+STEP, GROWTH, SETTLED, MOST_SWEEPS = 16, 1.15, 0.005, 40
+BURN, KEPT, ROUNDS = 5, 5, 6
 
 
 def discount(counts: np.ndarray) -> float:
@@ -62,13 +68,19 @@ def alone_of_many(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
 
 
 class Level:
-    """Cells of one level: restaurant and dish of each, sparse; c and t change."""
+    """Cells of one level: restaurant and dish of each, sparse; c and t change.
+
+    fixed: tables that each restaurant has besides, of cells that never move; scale: its tables over those seen here.
+    """
 
-    def __init__(self, rooms: int, room: np.ndarray, dish: np.ndarray, d: float):
-        self.rooms, self.room, self.dish, self.d = rooms, room, dish, d
+    def __init__(self, rooms: int, room: np.ndarray, dish: np.ndarray, d: float, fixed: np.ndarray | float = 0.0, scale: np.ndarray | float = 1.0):
+        self.rooms, self.room, self.dish, self.d, self.fixed, self.scale = rooms, room, dish, d, fixed, scale
         self.c = np.zeros(len(room), np.int64)
         self.t = np.zeros(len(room), np.int64)
 
+    def tables(self) -> np.ndarray:
+        return (self.fixed + np.bincount(self.room, self.t, self.rooms)) * self.scale
+
     def seat(self, c: np.ndarray) -> None:
         """New numbers of customers; tables are kept as far as they can be."""
         self.c = c
@@ -83,7 +95,7 @@ class Level:
         for size in sizes:
             come = (c * (size / top)).astype(np.int64) if size < top else c
             live = np.flatnonzero(come > here)
-            group, t, tables = come[live] - here[live], self.t[live], np.bincount(self.room, self.t, self.rooms)
+            group, t, tables = come[live] - here[live], self.t[live], self.tables()
             fresh = (STRENGTH + self.d * tables[self.room[live]]) * parent[live]
             stay = np.maximum(here[live] + (group - 1) / 2 - self.d * t, 1e-12)
             self.t[live] = t + rng.binomial(group, fresh / (fresh + stay))
@@ -100,7 +112,7 @@ class Level:
         lots = np.flatnonzero(many > 1)
         for _ in range(rounds):
             t = self.t[live]
-            tables = np.bincount(self.room, self.t, self.rooms)
+            tables = self.tables()
             p = table[np.minimum(c, SMALL), np.minimum(t, SMALL)]
             p[big] = alone_of_many(c[big], t[big], d)
             gone = ((rng.random(len(t)) < p) & (t > 1)).astype(np.int64)
@@ -113,60 +125,137 @@ class Level:
             new[lots] = rng.binomial(many[lots], opens[lots])
             self.t[live] = np.clip(t - gone + new, 1, c)
 
-    def predictive(self, parent: np.ndarray) -> np.ndarray:
-        """P(dish | restaurant) as a matrix, from the parents' matrix (a row for each restaurant)."""
-        width = parent.shape[1]
-        seated = np.bincount(self.room * width + self.dish, self.c - self.d * self.t, self.rooms * width).reshape(self.rooms, width)
-        customers, tables = np.bincount(self.room, self.c, self.rooms), np.bincount(self.room, self.t, self.rooms)
-        return (seated + (STRENGTH + self.d * tables)[:, None] * parent) / (STRENGTH + customers)[:, None]
-
 
-def sample(context: np.ndarray, dish: np.ndarray, count: np.ndarray, words: int, classes: int, class_of: np.ndarray, symbols: int, seed: int, burn: int = 8, kept: int = 6, rounds: int = 8) -> np.ndarray:
-    """Averaged P(symbol | context) for contexts 0 .. words + classes - 1.
+@dataclass
+class Bucket:
+    """The cells of a bucket's contexts, by context; class_of: of each context, SPLIT for parts of a split one.
 
-    Counts are of tokens by context and dish; a context under `words` is a word of its own, with the parent
-    words + class_of[word]; the others are classes.
+    customers and scale: of each context; what split ones have in all parts, and how many times their own cells.
     """
-    rng = np.random.default_rng(seed)
-    leaf = context < words
-    two = Level(words, context[leaf], dish[leaf], discount(count[leaf]))
-    # cells of level 1: those with tokens of their own and those that children reach
-    up = class_of[two.room] * symbols + two.dish
-    own = (context[~leaf] - words) * symbols + dish[~leaf]
-    cells = np.unique(np.concatenate([up, own]))
-    up, own = np.searchsorted(cells, up), np.searchsorted(cells, own)
-    direct = np.bincount(own, count[~leaf], len(cells)).astype(np.int64)
-    one = Level(classes, cells // symbols, cells % symbols, discount(count))
-    root = Level(1, np.zeros(symbols, np.int64), np.arange(symbols), 0.5)
-    flat = np.full((1, symbols), 1 / symbols)
-    total = np.zeros((words + classes, symbols))
-    p1 = np.repeat(flat, classes, axis=0)
-    sweep, before, end = 0, None, None
-    while end is None or sweep < end:
-        if not sweep:
-            two.begin(count[leaf], p1[class_of[two.room], two.dish], rng)
-        two.moves(p1[class_of[two.room], two.dish], rng, rounds)
-        customers = direct + np.bincount(up, two.t, len(cells)).astype(np.int64)
-        p0 = root.predictive(flat) if sweep else flat
-        if sweep:
-            one.seat(customers)
-        else:
-            one.begin(customers, p0[0, one.dish], rng)
-        one.moves(p0[0, one.dish], rng, rounds)
-        customers = np.bincount(one.dish, one.t, symbols).astype(np.int64)
-        if sweep:
-            root.seat(customers)
-        else:
-            root.begin(customers, np.full(symbols, 1 / symbols), rng)
-        root.moves(np.full(symbols, 1 / symbols), rng, rounds)
-        p1 = one.predictive(np.broadcast_to(root.predictive(flat), (classes, symbols)))
-        after = np.array([level.t.sum() for level in (two, one, root)])
-        settled = before is not None and (abs(after - before) <= SETTLED * after).all()
-        before = after
-        if end is None and sweep >= burn - 1 and (settled or sweep >= MOST_SWEEPS):
-            end = sweep + 1 + kept
-        elif end is not None:
-            total[words:] += p1
-            total[:words] += two.predictive(p1[class_of])
-        sweep += 1
-    return total / kept
+
+    room: np.ndarray
+    dish: np.ndarray
+    count: np.ndarray
+    class_of: np.ndarray
+    customers: np.ndarray
+    scale: np.ndarray
+    dishes: int
+
+
+#: The class of parts of split contexts.
+SPLIT = -1
+
+
+class Restaurants:
+    """Both levels of a bucket. Cells of one customer never move: their tables are counted once."""
+
+    def __init__(self, bucket: Bucket):
+        self.bucket = bucket
+        rooms = len(bucket.class_of)
+        self.live = np.flatnonzero(bucket.count > 1)
+        single = bucket.count == 1
+        d2 = discount(bucket.count)
+        self.two = Level(rooms, bucket.room[self.live], bucket.dish[self.live], d2, np.bincount(bucket.room[single], minlength=rooms).astype(float), bucket.scale)
+        # cells of level 1: each class and dish that a context of the class has
+        kinds = bucket.class_of[bucket.room]
+        self.classes, number = np.unique(bucket.class_of[bucket.class_of != SPLIT], return_inverse=True)
+        self.class_number = np.full(rooms, -1)
+        self.class_number[bucket.class_of != SPLIT] = number
+        inner = kinds != SPLIT
+        key = self.class_number[bucket.room[inner]] * bucket.dishes + bucket.dish[inner]
+        self.cells, where = np.unique(key, return_inverse=True)
+        self.up = np.full(len(kinds), -1)
+        self.up[inner] = where
+        self.cell_class, self.cell_dish = self.cells // bucket.dishes, self.cells % bucket.dishes
+        self.single = np.bincount(self.up[inner & single], minlength=len(self.cells))
+        tokens = np.bincount(where, bucket.count[inner], len(self.cells))
+        self.live1 = np.flatnonzero(tokens > 1)
+        lone = np.bincount(self.cell_class[tokens == 1], minlength=len(self.classes)).astype(float)
+        self.one = Level(len(self.classes), self.cell_class[self.live1], self.cell_dish[self.live1], discount(np.bincount(where, minlength=len(self.cells))), lone)
+        self.up_live = self.up[self.live]
+        self.c1, self.t1 = np.ones(len(self.cells), np.int64), np.ones(len(self.cells), np.int64)
+        self.t2 = np.ones(len(kinds), np.int64)
+
+    def _customers(self) -> np.ndarray:
+        """Of level 1: the tables of level 2."""
+        inner = self.up_live >= 0
+        self.c1 = self.single + np.bincount(self.up_live[inner], self.two.t[inner], len(self.cells)).astype(np.int64)
+        return self.c1[self.live1]
+
+    def _class_share(self) -> tuple[np.ndarray, np.ndarray]:
+        """(share of a class's own tables in each cell of level 1, share of its parent by class)."""
+        self.t1[self.live1] = self.one.t
+        whole = STRENGTH + np.bincount(self.cell_class, self.c1, len(self.classes))
+        return (self.c1 - self.one.d * self.t1) / whole[self.cell_class], (STRENGTH + self.one.d * self.one.tables()) / whole
+
+    def _parent(self, prior: np.ndarray) -> np.ndarray:
+        """P(dish | parent) of the cells of level 2 that move."""
+        own, rest = self._class_share()
+        given, inner = prior[self.two.dish].copy(), self.up_live >= 0
+        cell = self.up_live[inner]
+        given[inner] = own[cell] + rest[self.cell_class[cell]] * given[inner]
+        return given
+
+    def sweeps(self, prior: np.ndarray, seed: int, keep: int = 0, burn: int = BURN, most: int = MOST_SWEEPS, rounds: int = ROUNDS) -> list[tuple]:
+        """Sweeps until the tables have settled; then `keep` samples, as share() takes them. prior: P(dish | root)."""
+        rng = np.random.default_rng(seed)
+        low = prior[self.one.dish]
+        self.two.begin(self.bucket.count[self.live], prior[self.two.dish], rng)
+        self.one.begin(self._customers(), low, rng)
+        sweep, before, end, kept = 0, None, None, []
+        while end is None or sweep < end:
+            self.two.moves(self._parent(prior), rng, rounds)
+            self.one.seat(self._customers())
+            self.one.moves(low, rng, rounds)
+            after = np.array([self.two.t.sum(), self.one.t.sum()])
+            settled = before is not None and (abs(after - before) <= SETTLED * after).all()
+            before = after
+            if end is None and (sweep >= burn - 1 and settled or sweep >= most):
+                end = sweep + 1 + keep
+            elif end is not None:
+                kept.append(self._sample())
+            sweep += 1
+        return kept
+
+    def _sample(self) -> tuple:
+        """(share of own tables by cell of level 2, share of the parent by context, the same of level 1)."""
+        self.t2[self.live] = self.two.t
+        whole = STRENGTH + self.bucket.customers
+        own = (self.bucket.count - self.two.d * self.t2) / whole[self.bucket.room]
+        return own, (STRENGTH + self.two.d * self.two.tables()) / whole, *self._class_share()
+
+    def sent_up(self) -> np.ndarray:
+        """The root's customers by dish: tables of classes and of split contexts."""
+        self.t2[self.live] = self.two.t if len(self.live) and self.two.t.any() else 1
+        self.t1[self.live1] = self.one.t if len(self.live1) and self.one.t.any() else 1
+        split = self.up < 0
+        up = np.bincount(self.cell_dish, self.t1, self.bucket.dishes) + np.bincount(self.bucket.dish[split], self.t2[split], self.bucket.dishes)
+        return up.astype(np.int64)
+
+    def shares(self, kept: list[tuple], room: np.ndarray, kind: np.ndarray, dish: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Averages over samples for pairs: P = share + rest * P(dish | root).
+
+        room: numbers of contexts, -1 of unknown ones; kind: their classes; then for each pair the place of its
+        context in these (at) and its dish, -1 of unknown ones. rest comes by context.
+        """
+        place = np.minimum(np.searchsorted(self.classes, kind), max(0, len(self.classes) - 1))
+        number = np.where((self.classes[place] == kind) & (kind != SPLIT), place, -1) if len(self.classes) else np.full(len(kind), -1)
+        own_key = self.bucket.room * self.bucket.dishes + self.bucket.dish
+        cell = _found(own_key, np.where(dish >= 0, room[at] * self.bucket.dishes + dish, -1))
+        cell[room[at] < 0] = -1
+        up = _found(self.cells, np.where(dish >= 0, number[at] * self.bucket.dishes + dish, -1))
+        up[number[at] < 0] = -1
+        share, rest = np.zeros(len(at)), np.zeros(len(room))
+        for own, back, own1, back1 in kept:
+            down = np.where(room >= 0, np.append(back, 0)[room], 1.0)
+            share += np.append(own, 0)[cell] + down[at] * np.append(own1, 0)[up]
+            rest += down * np.where(number >= 0, np.append(back1, 0)[number], 1.0)
+        return share / len(kept), rest / len(kept)
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted value in ascending keys, -1 where it isn't there."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)

@@ -85,11 +85,87 @@ def test_a_restaurant_of_many_customers():
     assert abs(np.mean(mean) - exact) < 0.15 * exact
 
 
+def test_tables_against_exact_posteriors():
+    """One dish of c customers in a restaurant of its own: mean tables by Gibbs against the exact distribution."""
+    for c, low, d in ((1_000, 0.3, 0.6), (20_000, 0.3, 0.8), (100_000, 0.01, 0.5)):
+        most = min(c, 3_000)
+        log_s, t = np.full(most + 1, -np.inf), np.arange(most + 1)
+        log_s[0] = 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for n in range(1, c + 1):
+                seated = n - 1 - d * t
+                stay = np.where((t < n) & (seated > 0), log_s + np.log(np.maximum(seated, 1e-300)), -np.inf)
+                stay[1:] = np.logaddexp(stay[1:], log_s[:-1])
+                log_s = stay
+        log_p = log_s + t * np.log(low) + np.r_[0, np.cumsum(np.log(seating.STRENGTH + d * t[:-1]))]
+        p = np.exp(log_p - log_p.max())
+        exact = (t * p).sum() / p.sum()
+        rooms, rng, mean = 400, np.random.default_rng(9), []
+        level = seating.Level(rooms, np.arange(rooms), np.zeros(rooms, np.int64), d)
+        level.begin(np.full(rooms, c), np.full(rooms, low), rng)
+        for _ in range(60):
+            level.moves(np.full(rooms, low), rng, 8)
+            mean.append(level.t.mean())
+        assert abs(np.mean(mean[20:]) - exact) < 0.1 * exact, (c, low, d, np.mean(mean[20:]), exact)
+
+
+def bucket(seed):
+    rng = np.random.default_rng(seed)
+    cell = np.unique(rng.integers(0, 12 * 30, 150))
+    room, dish = np.divmod(cell, 30)
+    used, room = np.unique(room, return_inverse=True)
+    count = rng.geometric(0.2, len(room)) * rng.choice([1, 1, 50], len(room))
+    kinds = rng.integers(0, 4, len(used))
+    return seating.Bucket(room, dish, count, kinds, np.bincount(room, count), np.ones(len(used)), 30), kinds
+
+
 def test_predictive_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    context, dish = np.divmod(np.unique(rng.integers(0, 12 * 9, 70)), 9)
-    p = seating.sample(context, dish, rng.integers(1, 400, len(dish)), 8, 4, rng.integers(0, 4, 8), 9, 1)
-    assert p.shape == (12, 9) and np.allclose(p.sum(axis=1), 1) and (p > 0).all()
+    given, kinds = bucket(1)
+    made = seating.Restaurants(given)
+    prior = np.random.default_rng(2).dirichlet(np.ones(31))[:30]
+    kept = made.sweeps(prior, 3, keep=4)
+    # every known context, an unknown one of a known class, one of an unknown class
+    rooms, classes = np.r_[np.arange(len(kinds)), -1, -1], np.r_[kinds, kinds[0], 77]
+    at, dish = np.repeat(np.arange(len(rooms)), 30), np.tile(np.arange(30), len(rooms))
+    share, rest = made.shares(kept, rooms, classes, dish, at)
+    p = share.reshape(-1, 30) + rest[:, None] * prior
+    assert (p > 0).all() and np.allclose(p.sum(axis=1) + rest * (1 - prior.sum()), 1)
+
+
+def test_level_one_has_the_tables_of_level_two():
+    given, kinds = bucket(5)
+    made = seating.Restaurants(given)
+    made.sweeps(np.full(30, 1 / 31), 3)
+    made._sample()
+    assert (made.t2 >= 1).all() and (made.t2 <= given.count).all()
+    assert made.c1.sum() == made.t2.sum() and (made.t1 <= made.c1).all() and (made.t1 >= 1).all()
+    assert made.sent_up().sum() == made.t1.sum()
+
+
+def test_counts_reach_the_buckets_whole(spark):
+    """Cells of all buckets against the pairs of the texts, with and without split contexts."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["the", "a", *(f"w{k}" for k in range(30))]) for _ in range(rng.randrange(30)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = Counter()
+    for i, text in rows:
+        if not lm.held_out(i):
+            own = [lm.BEGINNING, *lm.tokens(text.encode())]
+            want.update(zip(own[:-1], own[1:]))
+    blocks = lm._blocks(docs, 4).filter(f"kind = {lm.BLOCK}").cache()
+    number = lambda w: int(lm.hashes_of([w])[0])
+    for split in ({}, {number(b"the"): 3}):
+        found = Counter()
+        for row in lm._cells(lm._pairs(blocks, 4, split), 4).filter(f"kind = {lm.CELLS}").collect():
+            rooms, kinds, runs, dishes, dish, count = lm.unpacked(bytes(row.body))
+            found.update(dict(zip(zip(np.repeat(rooms, runs).tolist(), dishes[dish].tolist()), count.tolist())))
+        plain = Counter({(number(a), number(b)): n for (a, b), n in want.items()})
+        if not split:
+            assert found == plain
+        else:
+            the = number(b"the")
+            assert sum(found.values()) == sum(plain.values()) and len(found) == len(plain)
+            assert {k: n for k, n in plain.items() if k[0] != the}.items() <= found.items()
 
 
 def test_scores(spark):
@@ -103,7 +179,7 @@ def test_scores(spark):
         rows.append((i, " ".join(text)))
     rows += [(600, None), (601, ""), (602, " \t\n"), (None, "w1 NEVER"), (603, "W1 w1 É")]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, word string").repartition(3)
-    found = lm.score_documents(docs, words=30, chains=2).cache()
+    found = lm.score_documents(docs, bucket_bytes=9000).cache()
     assert found.count() == len(rows)
     train = [lm.tokens((t or "").encode()) for i, t in rows if not lm.held_out(i)]
     counts = Counter(w for t in train for w in t)
@@ -119,3 +195,32 @@ def test_scores(spark):
     assert held["sum(score)"] > 0.75 * held["sum(base_score)"]
     assert lm.perplexity(found) < 40
     assert lm.score_documents(docs.limit(0)).collect() == []
+
+
+def test_split_contexts_score_alike(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(x for _ in range(40) for x in ("the", f"w{int(rng.paretovariate(1))}"))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = {r.doc_id: r.score for r in lm.score_documents(docs, bucket_bytes=20_000).collect()}
+    monkeypatch.setattr(lm, "SPLIT_TOKENS", 3_000)
+    parts = {r.doc_id: r.score for r in lm.score_documents(docs, bucket_bytes=20_000).collect()}
+    assert np.mean([abs(parts[i] / whole[i] - 1) for i in whole]) < 0.06
+
+
+def test_a_text_that_occurs_twice_scores_higher(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"v{rng.randrange(400)}" for _ in range(60)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:30]])]
+    found = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    trained = lambda i: not lm.held_out(i)
+    twice = [found[i] for i in range(30) if trained(i) and trained(300 + i)]
+    once = [found[i] for i in range(30, 300) if trained(i)]
+    assert min(twice) > max(once)
+
+
+def test_very_long_text_and_only_held_out(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(400_000))
+    found = lm.score_documents(spark.createDataFrame([(1, long), (2, "w1 w2")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_tokens for r in found} == {1: 400_001, 2: 3}
+    only = lm.score_documents(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in only) == [(1, 0, 0, 0.0, 0.0), (3, 0, 0, 0.0, 0.0)]
