@@ -46,8 +46,10 @@ class ByteBPE:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, before = spec["model"], spec["pre_tokenizer"]
-        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
-        if model["type"] != "BPE" or before["type"] != "ByteLevel" or before["add_prefix_space"] or spec["normalizer"] or odd:
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        odd += [k for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word") if t.get(k)]
+        odd += ["use_regex"] if before and not before.get("use_regex", True) else []
+        if model["type"] != "BPE" or (before or {}).get("type") != "ByteLevel" or before["add_prefix_space"] or spec["normalizer"] or odd:
             raise ValueError(f"{path} isn't a plain byte-level BPE")
         alphabet, vocabulary = byte_alphabet(), model["vocab"]
         spell = lambda token: bytes(alphabet[c] for c in token)

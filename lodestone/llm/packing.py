@@ -14,8 +14,15 @@ it in its own. The schedule's size is bounded by the number of queues and of win
 Every window is full; the last tokens, under a window, make sequences whose lengths are powers of two, so nothing is
 padded. Without given weights the weights are what each queue has left, the mixture of the whole corpus.
 
+The `queues` - 1 largest sources have queues of their own; all others, however many, share one that serves them by
+weighted fair queueing: their documents come in the order of (source tokens before the document) / weight, so that
+every stretch of the queue has its sources in proportion to their weights (their sizes, if none are given) as long as
+they last. The queue's weight is the sum of theirs. Its places are running sums over slots of that order.
+
 Defined results. A null or empty text is a document of one token, the end id. A null source is the source "". Rows
-that share a doc_id are packed as documents of their own. Sources beyond the `queues` - 1 largest share one queue.
+that share a doc_id, or are alike, are packed as documents of their own. A very long text is cut into pieces as any
+other. Of an empty table nothing comes. Columns other than doc_id, source and text are left alone, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -37,6 +44,8 @@ from .bpe import SPLIT, VOCABULARY, byte_alphabet
 from .workspace import Workspace, documents
 
 WINDOW, CYCLE, MIN_PIECE, QUEUES, END_ID = 2048, 64, 256, 256, 1
+#: Tokens to a slot of the shared queue, and the most slots.
+SLOT_TOKENS, MOST_SLOTS = 1 << 20, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -191,8 +200,10 @@ class Encoder:
         if self.fast is not None:
             try:
                 return self.fast.encode_to_numpy(text, allowed_special="all")
-            except Exception:  # the regular expression's backtracking limit, on very long runs of white space
-                pass
+            except ValueError as error:
+                # the backtracking limit, on very long runs of white space
+                if "backtracking" not in str(error):
+                    raise
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -221,6 +232,26 @@ def _tokens(docs: DataFrame, path: str) -> DataFrame:
     return map_arrow(chosen, run, "doc_id long, source string, part int, place long, n_tokens long, ids binary")
 
 
+def _shared(placed: DataFrame, sources: DataFrame, tokens: int, queue: int, space: Workspace) -> DataFrame:
+    """placed documents of the sources (source, n, weight), with queue and start, by weighted fair queueing."""
+    slots = max(1, min(MOST_SLOTS, tokens // SLOT_TOKENS))
+    # a source without a weight waits until those that have one are through
+    last = sources.agg(F.max(F.when(F.col("weight") > 0, F.col("n") / F.col("weight")))).first()[0] or 0.0
+    turn = F.when(F.col("weight") > 0, F.col("at") / F.col("weight")).otherwise(last + F.col("at") / F.col("n"))
+    timed = placed.join(sources, "source").withColumn("turn", turn)
+    timed = timed.withColumn("slot", F.least(F.lit(slots - 1), F.floor(F.col("turn") / (last + 1) * slots)).cast("int")).drop("n", "weight")
+    sums = {r.slot: r.n for r in timed.groupBy("slot").agg(F.sum("n_tokens").alias("n")).collect()}
+    before, bases = 0, []
+    for slot in sorted(sums):
+        bases.append((slot, before))
+        before += sums[slot]
+    base = placed.sparkSession.createDataFrame(bases, "slot int, base long")
+    earlier = Window.partitionBy("slot").orderBy("turn", "source", "part", "place").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("base") + F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))
+    # at most MOST_SLOTS pairs of numbers: a proven bound for a broadcast
+    return timed.join(F.broadcast(base), "slot").withColumn("start", start).withColumn("queue", F.lit(queue)).drop("turn", "slot", "base")
+
+
 def pack_documents(docs: DataFrame, path: str | None = None, weights: dict[str, float] | None = None, queues: int = QUEUES) -> DataFrame:
     """The pieces of all documents (doc_id, source, text): (doc_id, start, ids, doc_tokens, sequence_id, offset).
 
@@ -230,16 +261,28 @@ def pack_documents(docs: DataFrame, path: str | None = None, weights: dict[str,
     space = Workspace(docs.sparkSession, "packing")
     tokens = space.write(_tokens(docs, path), "tokens")
     sums = space.write(tokens.groupBy("part", "source").agg(F.sum("n_tokens").alias("n")), "sums")
-    by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
-    own = {r.source: (i, r.n) for i, r in enumerate(by_source.orderBy(F.desc("n"), "source").limit(queues - 1).collect())}
-    shared = (by_source.agg(F.sum("n")).first()[0] or 0) - sum(n for _, n in own.values())
-    totals = {i: n for i, n in own.values()} | {queues - 1: shared}
-    phases = schedule(totals, weights and {i: float(weights.get(s, 0)) for s, (i, _) in own.items()})
-    number = F.coalesce(F.create_map(*(F.lit(x) for s, (i, _) in own.items() for x in (s, i)))[F.col("source")], F.lit(queues - 1)) if own else F.lit(queues - 1)
-    before = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("queue", number).select("part", "source", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    by_source = space.write(sums.groupBy("source").agg(F.sum("n").alias("n")), "sources")
+    largest = by_source.orderBy(F.desc("n"), "source").limit(queues).collect()
+    own = {r.source: (i, r.n) for i, r in enumerate(largest if len(largest) < queues else largest[: queues - 1])}
+    totals, given = {i: n for i, n in own.values()}, weights and {i: float(weights.get(s, 0)) for s, (i, _) in own.items()}
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("part", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # read back from a file, so that its size is known: small, it is broadcast; large, it is joined by its keys
-    placed = tokens.join(space.write(bases, "bases"), ["part", "source"])
+    placed = tokens.join(space.write(bases, "bases"), ["part", "source"]).withColumn("at", F.col("base") + F.col("place")).drop("base")
+    number = F.create_map(*(F.lit(x) for s, (i, _) in own.items() for x in (s, i)))[F.col("source")] if own else F.lit(None).cast("int")
+    alone = placed.withColumn("queue", number)
+    chosen = alone.filter(F.col("queue").isNotNull()).withColumnRenamed("at", "start").select("doc_id", "queue", "start", "n_tokens", "ids")
+    if len(largest) == queues:
+        rest = by_source.filter(~F.col("source").isin(list(own)))
+        weight = F.coalesce(F.create_map(*(F.lit(x) for s, w in weights.items() for x in (s, float(w))))[F.col("source")], F.lit(0.0)) if weights else F.col("n").cast("double")
+        rest = space.write(rest.withColumn("weight", weight), "rest")
+        total, whole = rest.agg(F.sum("n"), F.sum("weight")).first()
+        totals[queues - 1] = total
+        if given is not None:
+            given[queues - 1] = whole
+        pooled = alone.filter(F.col("queue").isNull()).drop("queue")
+        chosen = chosen.unionByName(_shared(pooled, rest, total, queues - 1, space).select("doc_id", "queue", "start", "n_tokens", "ids"))
+    phases = schedule(totals, given)
     wide = 2 if encoder(path).size < 1 << 16 else 4
 
     def cut(batch: pa.RecordBatch) -> dict:
@@ -251,7 +294,6 @@ def pack_documents(docs: DataFrame, path: str | None = None, weights: dict[str,
                     out[k].append(x)
         return out
 
-    chosen = placed.select("doc_id", "queue", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids")
     return map_slices(chosen, cut, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 

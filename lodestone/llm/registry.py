@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
-from . import bpe, chat, language_model, line_dedup, media, near_dup, packing, suffix_dedup, toxicity, vectors
+from . import bpe, chat, language_model, line_dedup, media, near_dup, packing, pipeline, suffix_dedup, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,12 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_vectors": vectors.op9_vectors,
         "op10_media": media.op10_media,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
+    return ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {}) | {
         "op5_minhash": near_dup.SQL,
         "op7_line_dedup": line_dedup.SQL,
         "op8_suffix_dedup": suffix_dedup.SQL,

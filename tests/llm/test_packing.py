@@ -90,3 +90,63 @@ def test_frames(spark):
     assert packing.packed_pieces(docs.limit(0)).collect() == []
     pieces = packing.pack_documents(docs)
     assert sum(len(r.ids) for r in packing.sequences(pieces).collect()) == 4 * found.length.sum()
+
+
+def served(pieces, source_of, window=2048):
+    """Tokens of each source in each sequence, in order."""
+    out = {}
+    for r in pieces:
+        own = out.setdefault(r.sequence_id, {})
+        source = source_of[r.doc_id]
+        own[source] = own.get(source, 0) + len(r.ids) // 4
+    return [out[i] for i in sorted(out)]
+
+
+def test_more_sources_than_queues(spark, monkeypatch):
+    """Sources of the shared queue keep their proportions, by size and by given weights, over several slots."""
+    monkeypatch.setattr(packing, "SLOT_TOKENS", 9_000)
+    rows = [(i, " alpha" * 99, f"s{i % 10}") for i in range(1000)] + [(5000 + i, " beta" * 99, "big") for i in range(1500)]
+    source_of = {d: s for d, _, s in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for weights in (None, {"big": 5.0, "s0": 4.0, **{f"s{k}": 1.0 for k in range(1, 9)}}):
+        pieces = packing.pack_documents(docs, weights=weights, queues=2).collect()
+        lengths = {}
+        for r in sorted(pieces, key=lambda r: (r.doc_id, r.start)):
+            assert r.start == lengths.get(r.doc_id, 0)
+            lengths[r.doc_id] = r.start + len(r.ids) // 4
+        assert lengths == {d: 100 for d in source_of}
+        by_sequence = {}
+        for r in pieces:
+            by_sequence.setdefault(r.sequence_id, []).append((r.offset, len(r.ids) // 4))
+        for parts in by_sequence.values():
+            assert [o for o, _ in sorted(parts)] == list(np.cumsum([0, *(n for _, n in sorted(parts))])[:-1])
+        first = served(pieces, source_of)[:20]
+        share = {s: sum(w.get(s, 0) for w in first) / (20 * 2048) for s in set(source_of.values())}
+        want = {"big": 0.6, **{f"s{k}": 0.04 for k in range(10)}} if weights is None else {"big": 5 / 17, "s0": 4 / 17, **{f"s{k}": 1 / 17 for k in range(1, 9)}, "s9": 0.0}
+        assert all(abs(share[s] - want[s]) < 0.03 for s in want), share
+
+
+def test_encoder_lets_other_errors_through():
+    made = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert len(made.encode("a" + " " * 1_500_000 + "b")) > 1
+
+    class Broken:
+        def encode_to_numpy(self, text, allowed_special):
+            raise ValueError("out of order")
+
+    made.fast = Broken()
+    with pytest.raises(ValueError, match="out of order"):
+        made.encode("a")
+
+
+def test_the_query(spark):
+    """op4_packing's own rows against the library."""
+    found = packing.op4_packing(spark, "/root/testdata/sf0.001").toPandas()
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert set(found.doc_id) == set(texts)
+    for doc_id, own in found.sort_values("start").groupby("doc_id"):
+        ids = [*library.encode(texts[doc_id] or "", add_special_tokens=False).ids, 1]
+        assert own.doc_tokens.eq(len(ids)).all() and own.start.tolist() == (own.length.cumsum() - own.length).tolist() and own.length.sum() == len(ids)
+        for r in own.itertuples():
+            assert zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32

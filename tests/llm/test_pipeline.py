@@ -1,11 +1,12 @@
 import random
 
-import corpus_pipeline
 import public_tokenizers
 from test_near_dup import brute as near_brute
 from test_suffix_dedup import brute as suffix_brute
 from tokenizers import Tokenizer
 
+from lodestone.llm import pipeline as corpus_pipeline
+
 TOXIC = ["grobzack", "vulmotter", "grobzin"]
 
 
@@ -96,3 +97,14 @@ def test_near_dedup_at_eighty_percent(spark):
     gone = {b for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert len(gone) == 20 and {r.doc_id for r in kept.collect()} == sets.keys() - gone
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    """No rows; then rows of nulls, repeated rows and null labels."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = [(None, None, None, None, None), (1, None, None, None, None), (1, None, None, None, None), (2, "", None, None, 0), (None, "some words", "en", "s", 10)]
+    for name, rows, labels in (("none", [], []), ("odd", odd, [(1, None, None), (None, 1, 1), (2, 1, None)])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert sorted({str(r.doc_id) for r in found}) == sorted({str(r[0]) for r in rows})
