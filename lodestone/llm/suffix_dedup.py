@@ -5,20 +5,27 @@ many times the corpus on disk, so suffixes start at anchors only: every window o
 in it with the lowest hash (the rightmost of equal ones), so equal windows pick an anchor at the same place in them.
 An anchor stands for the run of windows that pick it; its context is the bytes of that run, under 2 * LENGTH.
 
-1. Anchors (gram hash, context hash, place) are dealt by gram hash and sorted. Contexts that occur twice are covered
-   as a whole; different contexts of one gram hash go on, one of each, all others are done with.
-2. These suffixes, with the bytes before them, are range-partitioned by their leading bytes with sampled splitters,
-   and each bucket is sorted locally by multikey quicksort (eight bytes a key, ties only are refined). A range
-   boundary lies between different leading grams, so what could match across it is nothing, and the runs of suffixes
-   that agree in their first b bytes are read off the common prefixes of neighbours. For each split of LENGTH into a
-   bytes before an anchor and b after it, suffixes of one run with equal a bytes before them repeat that window.
-3. Grams with very many different contexts aren't held in one task: their windows are dealt out by their own hashes
-   and counted.
+1. Anchors (gram hash, context hash, place) meet by both hashes. Contexts that occur twice are covered as a whole. Of
+   different contexts of one gram hash one of each goes on; how many a gram has is counted with partial sums, so that
+   a very common gram is never gathered.
+2. These suffixes, with the bytes before them, are range-partitioned by all their bytes with sampled splitters, and
+   each bucket is sorted locally by multikey quicksort (eight bytes a key, ties only are refined), a bounded number of
+   suffixes at a time. The runs of suffixes that agree in their first b bytes are read off the common prefixes of
+   neighbours, and the bytes before them are sorted likewise, backwards. For each split of LENGTH into a bytes before
+   an anchor and b after it, suffixes of one run with the same a bytes before them repeat that window. All these
+   decisions compare bytes.
+3. Across boundaries: a suffix that begins like the first or the last one of its part may repeat windows of another
+   part. The windows within what they have in common are dealt out by their hashes and counted. So a gram with any
+   number of contexts is split over many parts.
 4. The windows found are merged for each document and cut out.
 
+Equal contexts are told by two independent 64-bit hashes (of the gram and of the whole context), windows across
+boundaries by 128 bits: to meet their bytes would mean sending each context once more.
+
 Defined results. Texts are UTF-8 bytes; null is empty. Matches don't cross documents. Rows that share a doc_id are
 documents of their own, so a repeated row repeats all its strings. Rows without doc_id are treated alike. Texts under
-LENGTH bytes stay whole. Long texts are read in chunks. Other columns are left alone.
+LENGTH bytes stay whole. Long texts are read in chunks. Of ties (equal strings) all go. Other columns are left alone,
+whatever their names. Of an empty table nothing comes.
 """
 
 from __future__ import annotations
@@ -39,8 +46,8 @@ from .workspace import Workspace, documents
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
 CHUNK = 1 << 20
-#: Suffixes of a bucket that are compared at once, and different contexts of a gram from which step 3 takes over.
-AT_ONCE, CROWDED = 50_000, 200_000
+#: Suffixes of a bucket that are compared at once.
+AT_ONCE = 40_000
 _RANDOM = np.random.default_rng(20240417)
 _BYTE = _RANDOM.integers(1, 2**63, 256, np.uint64)
 _ODD = _RANDOM.integers(1, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,15 +102,15 @@ def _with_print(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
 
 
 ANCHOR = "gram long, context long, doc_id long, print long, at int, low int, high int"
-#: What is known of an anchor: nothing; covered as a whole; to compare; both.
-NEW, COVERED, COMPARE, COMPARE_MANY = range(4)
+#: What a slice of the input tells of an anchor: nothing; covered as a whole; one of several alike.
+NEW, COVERED, COMPARE_MANY = range(3)
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
     """Each anchor with the hash of its context, which is the bytes from at - low to at + high.
 
-    Contexts that a slice has several times are covered without meeting others: one of them is dealt by its gram, the
-    rest anyhow, so that a very common passage isn't gathered in one task.
+    Contexts that a slice has several times are covered without meeting others, but for one of them, so that a very
+    common passage isn't gathered in one task.
     """
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -121,7 +128,6 @@ def _anchors(docs: DataFrame) -> DataFrame:
         kind = np.empty(len(order), np.int32)
         kind[order] = np.where(several, np.where(fresh, COMPARE_MANY, COVERED), NEW)
         return {
-            "deal": np.where(kind == COVERED, _mixed(context + place.astype(np.uint64)), gram).view(np.int64),
             "kind": kind,
             "gram": gram.view(np.int64),
             "context": context.view(np.int64),
@@ -132,46 +138,28 @@ def _anchors(docs: DataFrame) -> DataFrame:
             "high": (last + LENGTH - place).astype(np.int32),
         }
 
-    return map_slices(_with_print(docs), run, f"deal long, kind int, {ANCHOR}")
+    return map_slices(_with_print(docs), run, f"kind int, {ANCHOR}")
 
 
-def _sorted_out(found: DataFrame) -> DataFrame:
-    """Anchors sorted by gram and context, as rows to cover and rows to compare; a row may be both."""
+def _contexts(found: DataFrame) -> DataFrame:
+    """(gram, context, many, first): the different contexts of the anchors, whether each occurs several times, and one place of it."""
+    place = F.struct("doc_id", "print", "at", "low", "high")
+    groups = found.filter(F.col("kind") != COVERED).groupBy("gram", "context")
+    contexts = groups.agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"), F.min(place).alias("first"))
+    return contexts.select("gram", "context", ((F.col("n") > 1) | (F.col("kind") == COMPARE_MANY)).alias("many"), "first")
+
+
+def _covered(found: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The anchors to cover as a whole."""
+    several = contexts.filter("many").select("gram", "context").hint("merge")
+    rest = found.filter(F.col("kind") != COVERED).join(several, ["gram", "context"], "left_semi")
+    return found.filter(F.col("kind") == COVERED).unionByName(rest.select(*found.columns))
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            gram = table.column("gram").to_numpy()
-            same = np.flatnonzero(gram != gram[-1])
-            cut = int(same[-1]) + 1 if len(same) else 0
-            held = table.slice(cut)
-            yield from sort_out(table.slice(0, cut))
-        if held is not None:
-            yield from sort_out(held)
-
-    def sort_out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        done = table.column("kind").to_numpy() == COVERED
-        yield from table.filter(pa.array(done)).combine_chunks().to_batches()
-        table = table.filter(pa.array(~done))
-        if not table.num_rows:
-            return
-        gram, context = table.column("gram").to_numpy(), table.column("context").to_numpy()
-        new_gram = np.r_[True, gram[1:] != gram[:-1]]
-        new = new_gram | np.r_[True, context[1:] != context[:-1]]
-        own = np.cumsum(new) - 1
-        many = (np.bincount(own) > 1) | (np.bincount(own, table.column("kind").to_numpy() == COMPARE_MANY) > 0)
-        heads = np.flatnonzero(new)
-        gram_of = (np.cumsum(new_gram) - 1)[heads]
-        several = (np.bincount(gram_of) > 1)[gram_of]
-        chosen = [(np.flatnonzero(many[own]), COVERED), (heads[several & ~many], COMPARE), (heads[several & many], COMPARE_MANY)]
-        for rows, kind in chosen:
-            if len(rows):
-                part = table.take(pa.array(rows)).set_column(0, "kind", pa.array(np.full(len(rows), kind, np.int32)))
-                yield from part.combine_chunks().to_batches()
-
-    dealt = found.repartition("deal").drop("deal").sortWithinPartitions("gram", "context")
-    return map_arrow(dealt, run, f"kind int, {ANCHOR}")
+
+def _to_compare(contexts: DataFrame) -> DataFrame:
+    """Contexts of grams that have several."""
+    grams = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    return contexts.join(grams.hint("merge"), "gram", "left_semi").select("many", "first.*")
 
 
 def _schema(df: DataFrame, *more: str) -> str:
@@ -197,12 +185,12 @@ def _joined(docs: DataFrame, lists: DataFrame, how: str, carried: tuple[str, ...
     return _packed(docs, carried).join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), how)
 
 
-SUFFIX = "lead binary, gram long, doc_id long, print long, at int, low int, bytes binary, many boolean"
+SUFFIX = "doc_id long, print long, at int, low int, bytes binary, many boolean"
 
 
 def _suffixes(docs: DataFrame, compare: DataFrame) -> DataFrame:
     """The contexts to compare, as bytes."""
-    lists = compare.groupBy("doc_id", "print").agg(F.collect_list(F.struct("gram", "at", "low", "high", (F.col("kind") == COMPARE_MANY).alias("many"))).alias("list"))
+    lists = compare.groupBy("doc_id", "print").agg(F.collect_list(F.struct("at", "low", "high", "many")).alias("list"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         zip_ = zstandard.ZstdDecompressor()
@@ -210,8 +198,6 @@ def _suffixes(docs: DataFrame, compare: DataFrame) -> DataFrame:
             text = zip_.decompress(packed)
             at, low = [w["at"] for w in wanted], [w["low"] for w in wanted]
             yield {
-                "lead": [text[a : a + GRAM] for a in at],
-                "gram": [w["gram"] for w in wanted],
                 "doc_id": [doc_id] * len(at),
                 "print": [print_] * len(at),
                 "at": at,
@@ -241,111 +227,120 @@ def multikey_order(keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def repeated_windows(contexts: list[bytes], lows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, a, b): row's windows that start from a down to b bytes before its anchor are repeated in other rows."""
-    n, width = len(contexts), -(-LENGTH // 8) * 8
+def _common(sorted_rows: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row has in common with the one before it; the first row: none."""
+    differs = sorted_rows[1:] != sorted_rows[:-1]
+    return np.r_[0, np.where(differs.any(axis=1), differs.argmax(axis=1), sorted_rows.shape[1])] if len(sorted_rows) else np.empty(0, np.int64)
+
+
+def repeated_windows(contexts: list[bytes], lows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, a, b, edge): row's windows that start from a down to b bytes before its anchor are repeated in other rows.
+
+    edge: of each row, the bytes after its anchor that it has in common with the first or the last suffix.
+    """
+    n, width, side = len(contexts), -(-LENGTH // 8) * 8, -(-SPAN // 8) * 8
     sizes = np.array([len(c) for c in contexts], np.int64)
     highs = sizes - lows
     flat, begins = np.frombuffer(b"".join(contexts), np.uint8), np.cumsum(sizes) - sizes
     columns = np.arange(width)
-    at = begins[:, None] + lows[:, None] + columns
-    right = np.where(columns < highs[:, None], flat[np.minimum(at, len(flat) - 1)], 0).astype(np.uint8)
+    right = np.where(columns < highs[:, None], flat[np.minimum((begins + lows)[:, None] + columns, len(flat) - 1)], 0).astype(np.uint8)
     order = multikey_order(right.view(">u8").astype(np.uint64))
-    differs = right[order[1:]] != right[order[:-1]]
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
-    lows, highs, begins = lows[order], highs[order], begins[order]
-    anchor = begins + lows
-    hashed = np.zeros(n, np.uint64)
+    right, lows, highs, begins = right[order], lows[order], highs[order], begins[order]
+    common = _common(right)
+    # common prefixes with the ends of the part
+    edge = np.empty(n, np.int64)
+    edge[order] = np.maximum(np.minimum.accumulate(np.r_[width, common[1:]]), np.r_[np.minimum.accumulate(common[:0:-1])[::-1], width])
+    columns = np.arange(side)
+    left = np.where(columns < lows[:, None], flat[np.maximum((begins + lows)[:, None] - 1 - columns, 0)], 0).astype(np.uint8)
+    by_left = multikey_order(left.view(">u8").astype(np.uint64))
+    common_left = _common(left[by_left])
+    del left, right
     repeated = np.zeros((n, SPAN + 1), bool)
-    near = np.maximum(np.r_[0, common], np.r_[common, 0])
+    near = np.maximum(common, np.r_[common[1:], 0])
+    kind = np.empty(n, np.int64)
     for a in range(SPAN):
         b = LENGTH - a
-        if a:
-            hashed = hashed * _ODD[13] + _BYTE[flat[np.maximum(anchor - a, 0)]]
         rows = np.flatnonzero((lows >= a) & (highs >= b) & (near >= b))
         if len(rows) < 2:
             continue
-        run = np.cumsum(np.r_[False, common < b])[rows].astype(np.uint64)
-        key = _mixed(hashed[rows] + _mixed(run + np.uint64(1)))
+        kind[by_left] = np.cumsum(common_left < a)
+        key = np.cumsum(common < b)[rows] * (n + 1) + kind[rows]
         by = np.argsort(key)
         same = key[by[1:]] == key[by[:-1]]
         repeated[rows[by], a] = np.r_[same, False] | np.r_[False, same]
     edges = np.diff(repeated.astype(np.int8), axis=1, prepend=0)
     row, begin = np.nonzero(edges == 1)
     _, end = np.nonzero(edges == -1)
-    return order[row], end - 1, begin
+    return order[row], end - 1, begin, edge
 
 
 COVER = "doc_id long, print long, begin int, end int"
 
 
-def _compared(suffixes: DataFrame, partitions: int) -> DataFrame:
-    """Windows that different contexts share, in those that weren't covered as a whole."""
+def _parts(suffixes: DataFrame, partitions: int) -> DataFrame:
+    """Windows that different contexts of a part share, in those that aren't covered as a whole; and, with a hash, those to be counted across parts."""
 
     def run(batches):
-        held = []
+        held, rows = [], 0
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= AT_ONCE:
-                table = pa.Table.from_batches(held)
-                lead = table.column("lead").to_pylist()
-                cut = len(lead)
-                while cut and lead[cut - 1] == lead[-1]:
-                    cut -= 1
-                if cut:
-                    yield compared(table.slice(0, cut))
-                    held = table.slice(cut).to_batches()
+            rows += batch.num_rows
+            if rows >= AT_ONCE:
+                yield from compared(pa.Table.from_batches(held))
+                held, rows = [], 0
         if held:
-            yield compared(pa.Table.from_batches(held))
+            yield from compared(pa.Table.from_batches(held))
 
-    def compared(table: pa.Table) -> pa.RecordBatch:
-        row, far, near = repeated_windows(table.column("bytes").to_pylist(), table.column("low").to_numpy().astype(np.int64))
-        single = ~np.array(table.column("many").to_pylist(), bool)[row]
+    def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        contexts, lows, at = table.column("bytes").to_pylist(), table.column("low").to_numpy().astype(np.int64), table.column("at").to_numpy()
+        many = table.column("many").to_numpy()
+        row, far, near, edge = repeated_windows(contexts, lows)
+        single = ~many[row]
         row, far, near = row[single], far[single], near[single]
-        at, rows = table.column("at").to_numpy()[row], pa.array(row)
-        doc, mark = (table.column(c).combine_chunks().take(rows) for c in ("doc_id", "print"))
+        yield rows_of(table, row, at[row] - far, at[row] - near + LENGTH, None)
+        for part in np.array_split(np.flatnonzero(edge >= GRAM), 1 + int((edge >= GRAM).sum()) // 2000):
+            rows, begins, hashes = [], [], []
+            for i in part.tolist():
+                low, text = int(lows[i]), contexts[i]
+                # windows whose bytes after the anchor lie within what is common
+                for a in range(LENGTH - min(int(edge[i]), len(text) - low, LENGTH), min(low, SPAN - 1) + 1):
+                    rows.append(i)
+                    begins.append(at[i] - a)
+                    hashes.append(hashlib.blake2b(text[low - a : low - a + LENGTH], digest_size=16).digest())
+            if rows:
+                begins = np.array(begins)
+                yield rows_of(table, np.array(rows), begins, begins + LENGTH, hashes, many)
+
+    def rows_of(table, row, begin, end, hashes, many=None) -> pa.RecordBatch:
+        rows = pa.array(row)
+        doc, mark = (table.column(c).take(rows).combine_chunks() for c in ("doc_id", "print"))
         doc, mark = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (doc, mark))
-        ends = [pa.array((at - far).astype(np.int32)), pa.array((at - near + LENGTH).astype(np.int32))]
-        return pa.RecordBatch.from_arrays([doc, mark, *ends], names=["doc_id", "print", "begin", "end"])
-
-    return map_arrow(suffixes.repartitionByRange(partitions, "lead").sortWithinPartitions("lead"), run, COVER)
-
-
-def _counted(suffixes: DataFrame) -> DataFrame:
-    """The same for crowded grams: each window is a row, counted by its 128-bit hash."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for doc_id, print_, at, low, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "print", "at", "low", "bytes"))):
-            starts = range(len(text) - LENGTH + 1)
-            yield {
-                "window": [hashlib.blake2b(text[i : i + LENGTH], digest_size=16).digest() for i in starts],
-                "doc_id": [doc_id] * len(starts),
-                "print": [print_] * len(starts),
-                "begin": [at - low + i for i in starts],
-            }
+        whole = pa.array(np.zeros(len(row), bool) if many is None else many[row], pa.bool_())
+        found = [doc, mark, pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array([None] * len(row) if hashes is None else hashes, pa.binary()), whole]
+        return pa.RecordBatch.from_arrays(found, names=["doc_id", "print", "begin", "end", "window", "many"])
 
-    windows = map_slices(suffixes, run, "window binary, doc_id long, print long, begin int")
-    repeated = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-    return windows.join(repeated, "window").select("doc_id", "print", "begin", (F.col("begin") + LENGTH).alias("end"))
+    # equal suffixes are told apart by all their bytes, so that any number of them can be split
+    order = [F.expr("substring(bytes, low + 1)"), F.xxhash64("bytes")]
+    return map_arrow(suffixes.repartitionByRange(partitions, *order).sortWithinPartitions(*order), run, f"{COVER}, window binary, many boolean")
 
 
-def covers(docs: DataFrame, space: Workspace, crowded: int = CROWDED) -> DataFrame:
+def covers(docs: DataFrame, space: Workspace) -> DataFrame:
     """(doc_id, print, begin, end): stretches of bytes that repeated strings cover; they may overlap."""
-    found = space.write(_sorted_out(_anchors(docs)), "found")
-    whole = found.filter(F.col("kind") == COVERED).select("doc_id", "print", (F.col("at") - F.col("low")).alias("begin"), (F.col("at") + F.col("high")).alias("end"))
-    suffixes = space.write(_suffixes(docs, found.filter(F.col("kind") != COVERED)), "suffixes")
-    packed = suffixes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded).select("gram")
-    packed = space.write(packed, "crowded")
-    if packed.isEmpty():
-        usual, more = suffixes, []
-    else:
-        usual, more = suffixes.join(packed, "gram", "left_anti").select(*suffixes.columns), [_counted(suffixes.join(packed, "gram", "left_semi"))]
+    found = space.write(_anchors(docs), "anchors")
+    contexts = space.write(_contexts(found), "contexts")
+    whole = _covered(found, contexts).select("doc_id", "print", (F.col("at") - F.col("low")).alias("begin"), (F.col("at") + F.col("high")).alias("end"))
+    whole = space.write(whole, "whole")
+    space.drop("anchors")
+    suffixes = space.write(_suffixes(docs, _to_compare(contexts)), "suffixes")
+    space.drop("contexts")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = whole
-    for part in (_compared(usual, partitions), *more):
-        out = out.unionByName(part)
-    out = space.write(out, "covers")
-    space.drop("found", "suffixes", "crowded")
+    parts = space.write(_parts(suffixes, partitions), "parts")
+    asked = parts.filter(F.col("window").isNotNull())
+    repeated = asked.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
+    across = asked.filter(~F.col("many")).join(repeated.hint("merge"), "window", "left_semi")
+    columns = ["doc_id", "print", "begin", "end"]
+    out = space.write(whole.unionByName(parts.filter(F.col("window").isNull()).select(*columns)).unionByName(across.select(*columns)), "covers")
+    space.drop("whole", "suffixes", "parts")
     return out
 
 
@@ -363,10 +358,10 @@ def cut_out(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def remove_repeats(docs: DataFrame, crowded: int = CROWDED, carried: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans): each text's remaining bytes; carried columns in a struct `carried`."""
     space = Workspace(docs.sparkSession, "suffix")
-    lists = covers(docs, space, crowded).groupBy("doc_id", "print").agg(F.collect_list(F.struct("begin", "end")).alias("list"))
+    lists = covers(docs, space).groupBy("doc_id", "print").agg(F.collect_list(F.struct("begin", "end")).alias("list"))
     joined = _joined(docs, lists, "left", carried).drop("d", "p")
 
     def run(batch: pa.RecordBatch) -> dict:

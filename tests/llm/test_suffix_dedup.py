@@ -39,15 +39,36 @@ def run(spark, texts, **more):
     return {r.doc_id: r for r in sd.remove_repeats(docs, **more).collect()}
 
 
-@pytest.mark.parametrize(("seed", "crowded"), [(1, 10**6), (2, 10**6), (3, 3)])
-def test_equals_brute_force(spark, seed, crowded):
+@pytest.mark.parametrize(("seed", "at_once"), [(1, 40_000), (2, 40_000), (3, 2), (4, 7)])
+def test_equals_brute_force(spark, monkeypatch, seed, at_once):
+    """at_once: so few suffixes at a time that most windows are found across boundaries."""
+    monkeypatch.setattr(sd, "AT_ONCE", at_once)
     texts = corpus(seed)
-    found = run(spark, texts, crowded=crowded)
+    found = run(spark, texts)
     for i, (kept, spans) in enumerate(brute([t.encode() for t in texts])):
         assert (bytes(found[i].kept), found[i].n_spans) == (kept, spans), i
         assert found[i].n_removed == len(texts[i].encode()) - len(kept)
 
 
+def test_a_passage_after_many_beginnings(spark, monkeypatch):
+    """One gram with very many contexts, split over parts; parts of the passage repeat in different lengths."""
+    monkeypatch.setattr(sd, "AT_ONCE", 16)
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghij kl") for _ in range(n))
+    passage = noise(260)
+    texts = [noise(rng.randrange(0, 120)) + passage[rng.randrange(0, 50) : rng.randrange(180, 261)] + noise(rng.randrange(0, 120)) for _ in range(150)]
+    found = run(spark, texts)
+    for i, (kept, spans) in enumerate(brute([t.encode() for t in texts])):
+        assert (bytes(found[i].kept), found[i].n_spans) == (kept, spans), i
+
+
+def test_repeated_rows(spark):
+    """Rows alike in id and text are documents of their own, so their strings repeat."""
+    text = "".join(chr(97 + i * i % 23) for i in range(260))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "x" * 199)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in sd.remove_repeats(docs).collect()) == [(1, 260), (1, 260), (2, 0)]
+
+
 def test_chunks(spark, monkeypatch):
     import numpy as np
 
