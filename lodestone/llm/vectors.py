@@ -26,6 +26,8 @@ but lend no component; rows that share a vec_id are vectors of their own. Other
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,7 @@ NEAREST, DEGREE, SLACK = 64, 32, 1.2
 MEDOIDS, BEAM, MARGIN, AT_A_TIME = 16, 40, 0.1, 8
 AUDITED, QUERIES_AT_ONCE = 200, 1_024
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_LOG = logging.getLogger(__name__)
 
 
 def unit(values: list | None) -> np.ndarray | None:
@@ -331,8 +334,14 @@ def audit(nodes: DataFrame, counts: DataFrame, size: int, cosine: float) -> tupl
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def near_vectors(rows: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, target: float = TARGET) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of rows (vec_id, embedding)."""
+def near_vectors(rows: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, target: float = TARGET, report: dict | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of rows (vec_id, embedding).
+
+    report: gets what the audits measured, a list `audits` of (overlap, links found, links there are), and the last
+    `recall`: 1.0 after the exact comparison, or where the audited nodes have no links.
+    """
+    report = {} if report is None else report
+    report |= {"audits": [], "recall": 1.0}
     space = Workspace(rows.sparkSession, "vectors")
     units = space.write(_units(rows), "units")
     # a node is a set of equal vectors; its number is the smallest vec_id, or a hash where no row has one
@@ -356,8 +365,12 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP
             found = _agreed(found, dealt, space, overlap, cosine)
         counts = found.groupBy("node").agg(F.sum("n").alias("n"))
         if not overlap:
+            report["recall"] = 1.0
             break
         got, there = audit(nodes, counts, size, cosine)
+        report["audits"].append((overlap, got, there))
+        report["recall"] = got / there if there else 1.0
+        _LOG.info("overlap %d: the audited vectors have %d of %d links", overlap, got, there)
         if got >= target * there:
             break
         overlap = 2 * overlap if 2 * overlap < len(centres[size]) else 0

@@ -113,3 +113,10 @@ def test_odd_rows(spark):
     assert found == sorted([(None, 2, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True)], key=str)
     assert vectors.near_vectors(frame.limit(0)).collect() == []
     assert [tuple(r) for r in vectors.near_vectors(frame.filter("vec_id = 2")).collect()] == [(2, 0, 2, True)]
+
+
+def test_the_audit_is_reported(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        report = {}
+        found = vectors.near_vectors(spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet"), report=report)
+        assert found.count() > 0 and report["audits"] and report["recall"] >= vectors.TARGET, report
