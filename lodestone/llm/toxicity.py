@@ -119,9 +119,6 @@ class Lexicon:
                 weight = max(weight, SEED_WEIGHT)
             kind = seed or (grammar.THREAT if entry in self.threats else grammar.INSULT)
             found = (kind, weight) if seed or weight else _NOTHING
-            if len(self.known) >= KEPT_WORDS:
-                self.known.clear()
-                self.hot.clear()
             self.known[word] = found
             if found[1] > 0:
                 self.hot.add(word)
@@ -130,9 +127,14 @@ class Lexicon:
     def features(self, found: list[str]) -> np.ndarray:
         """By label, the log of one plus the weights of the words that tokens() gives, under their last events."""
         total = np.zeros(len(grammar.LABELS))
-        words = set(found)
-        for word in words - self.known.keys() - _MARKS:
-            self.look_up(word)
+        words = set(found) - _MARKS
+        if len(self.known) >= KEPT_WORDS:
+            # only between texts, so that a text's words are known together
+            self.known.clear()
+            self.hot.clear()
+        for word in words:
+            if word not in self.known:
+                self.look_up(word)
         # most texts have no word with a weight
         if self.hot.isdisjoint(words):
             return total
