@@ -44,6 +44,7 @@ BINS, ROWS, LOW_ROWS = 384, 8, 6
 SKETCH_SHARE = 0.6
 #: Members, queries and shingles of either that one task compares in the last step.
 BLOCK, QUERIES, BLOCK_SHINGLES = 2000, 500, 4_000_000
+SALTS = 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -174,7 +175,10 @@ def _dealt(open_: DataFrame, sketches: DataFrame, space: Workspace) -> DataFrame
     parts = nodes.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
     parts = parts.groupBy("region").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "component")).alias("main"))
     blocks = lambda n, s, most: F.greatest(F.ceil(n / most), F.ceil(s / BLOCK_SHINGLES)).cast("int")
-    split = nodes.join(parts.hint("merge"), "region").select(
+    # a very large region's rows meet its sums in SALTS tasks
+    salted = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    nodes = nodes.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SALTS)).cast("int"))
+    split = nodes.join(salted.hint("merge"), ["region", "salt"]).select(
         "region", "id", "component", (F.col("component") != F.col("main.component")).alias("asks"),
         blocks(F.col("n"), F.col("s"), BLOCK).alias("blocks"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s"), QUERIES).alias("query_blocks"),
     )
