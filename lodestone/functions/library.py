@@ -308,19 +308,23 @@ def rpad(x, n, fill=" "):
     return F.rpad(col(x), n, fill)
 
 
+# The characters that Unicode calls white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 @function
-def trim(x, chars=None):
-    return F.trim(col(x)) if chars is None else F.btrim(col(x), F.lit(chars))
+def trim(x, chars=WHITE_SPACE):
+    return F.btrim(col(x), F.lit(chars))
 
 
 @function
-def ltrim(x, chars=None):
-    return F.ltrim(col(x)) if chars is None else F.ltrim(col(x), F.lit(chars))
+def ltrim(x, chars=WHITE_SPACE):
+    return F.ltrim(col(x), F.lit(chars))
 
 
 @function
-def rtrim(x, chars=None):
-    return F.rtrim(col(x)) if chars is None else F.rtrim(col(x), F.lit(chars))
+def rtrim(x, chars=WHITE_SPACE):
+    return F.rtrim(col(x), F.lit(chars))
 
 
 @function
@@ -397,13 +401,14 @@ def to_hex(x):
 
 @function
 def to_code_points(x):
-    return F.transform(F.split(col(x), ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long"))
+    """Of a text its code points, none for the empty one."""
+    parts = F.filter(F.split(col(x), ""), lambda c: c != "")
+    return F.transform(parts, lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long"))
 
 
 @function
 def code_points_to_string(x):
-    """Of code points under 2^16."""
-    return F.array_join(F.transform(col(x), lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 4, "0")), "UTF-16BE")), "")
+    return F.array_join(F.transform(col(x), lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")), "")
 
 
 @function
@@ -511,6 +516,7 @@ def timestamp_diff(x, y, part: str):
 
 @function
 def timestamp_add(x, n, part: str):
+    """Parts of a fixed length, days at most: an absolute time has no months."""
     return F.timestamp_micros(_micros(col(x)) + col(n).cast("long") * _MICROS[part.upper()])
 
 
@@ -623,43 +629,6 @@ def array_includes(x, value):
     return F.coalesce(F.array_contains(col(x), value), F.lit(False))
 
 
-# JSON texts
-
-
-@function
-def json_value(x, path: str = "$"):
-    """The scalar at a path; null for objects, arrays and JSON nulls."""
-    found = F.get_json_object(col(x), path)
-    return F.when(~F.coalesce(F.ltrim(found).rlike(r"^[\[{]"), F.lit(False)), found)
-
-
-@function
-def json_query(x, path: str = "$"):
-    """The object or array at a path, as JSON."""
-    found = F.get_json_object(col(x), path)
-    return F.when(found.rlike(r"^\s*[\[{]"), found)
-
-
-@function
-def json_keys(x):
-    return F.json_object_keys(col(x))
-
-
-@function
-def json_extract_array(x, path: str = "$"):
-    return F.from_json(F.get_json_object(col(x), path), "array<string>")
-
-
-@function
-def to_json_string(x):
-    return F.to_json(col(x))
-
-
-@function
-def parse_json(x):
-    return F.try_parse_json(col(x))
-
-
 # aggregates
 
 
@@ -670,22 +639,44 @@ def min_(x):
     return F.when(nan == 1, F.lit(float("nan"))).otherwise(F.min(col(x)))
 
 
+def _gathered(x, distinct: bool, nulls: bool, order, limit: int | None) -> Column:
+    """An array of x's values; order: columns, or (column, "desc"), to sort by; empty for no rows."""
+    value = col(x)
+    if order:
+        keys, down = [], False
+        for k in order:
+            k, way = k if isinstance(k, tuple) else (k, "asc")
+            keys.append(col(k))
+            down = way == "desc"
+        fields = [*(k.alias(f"k{i}") for i, k in enumerate(keys)), value.alias("v")]
+        found = F.sort_array(F.collect_list(F.struct(*fields)), not down)
+    else:
+        found = F.collect_list(F.struct(value.alias("v")))
+    found = found if nulls else F.filter(found, lambda s: s["v"].isNotNull())
+    values = F.transform(found, lambda s: s["v"])
+    values = F.array_distinct(values) if distinct else values
+    return F.slice(values, 1, limit) if limit else values
+
+
 @function
-def array_agg(x):
-    """Keeps nulls; null for no rows."""
-    found = F.collect_list(F.struct(col(x).alias("v")))
-    return F.when(F.size(found) > 0, F.transform(found, lambda s: s["v"]))
+def array_agg(x, distinct: bool = False, ignore_nulls: bool = False, order=(), limit: int | None = None):
+    """Keeps nulls unless told otherwise; null for no rows."""
+    found = _gathered(x, distinct, not ignore_nulls, order, limit)
+    return F.when(F.size(found) > 0, found)
 
 
 @function
-def string_agg(x, delimiter: str = ","):
-    found = F.array_sort(F.collect_list(col(x)))
+def string_agg(x, delimiter: str = ",", distinct: bool = False, order=(), limit: int | None = None):
+    """The values that aren't null, joined; null for none. Without an order it isn't defined."""
+    found = _gathered(x, distinct, False, order, limit)
     return F.when(F.size(found) > 0, F.array_join(found, delimiter))
 
 
 @function
-def array_concat_agg(x):
-    return F.flatten(F.collect_list(col(x)))
+def array_concat_agg(x, order=(), limit: int | None = None):
+    """Null arrays are skipped; null for no rows."""
+    found = _gathered(x, False, False, order, limit)
+    return F.when(F.size(found) > 0, F.flatten(found))
 
 
 @function
@@ -700,9 +691,9 @@ def percentile_cont(x, fraction: float):
 
 
 @function
-def percentile_disc(x, fraction: float):
-    """The first value whose cumulative share reaches the fraction."""
-    return F.percentile_approx(col(x), fraction, 1 << 24)
+def percentile_disc(x: str, fraction: float):
+    """The first value whose cumulative share reaches the fraction, exactly; x: a column's name or SQL."""
+    return F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {x})")
 
 
 # ranges: structs (start, end), half open; null: unbounded
@@ -720,8 +711,18 @@ def _before(a: Column, b: Column) -> Column:
 
 @function
 def range_contains(x, value):
+    """Of a value that isn't a range."""
     x, value = col(x), col(value)
-    return F.coalesce(x["start"] <= value, F.lit(True)) & _before(x["end"], value)
+    return F.when(x.isNotNull() & value.isNotNull(), F.coalesce(x["start"] <= value, F.lit(True)) & _before(x["end"], value))
+
+
+@function
+def range_contains_range(x, y):
+    """Whether all of y is in x."""
+    x, y = col(x), col(y)
+    first = x["start"].isNull() | F.coalesce(x["start"] <= y["start"], F.lit(False))
+    last = x["end"].isNull() | F.coalesce(y["end"] <= x["end"], F.lit(False))
+    return F.when(x.isNotNull() & y.isNotNull(), first & last)
 
 
 @function
@@ -732,8 +733,20 @@ def range_overlaps(x, y):
 
 @function
 def range_intersect(x, y):
+    """An error if they have nothing in common; null if one is null."""
     x, y = col(x), col(y)
-    return F.struct(F.greatest(x["start"], y["start"]).alias("start"), F.least(x["end"], y["end"]).alias("end"))
+    both = F.struct(F.greatest(x["start"], y["start"]).alias("start"), F.least(x["end"], y["end"]).alias("end"))
+    apart = ~(_before(x["end"], y["start"]) & _before(y["end"], x["start"]))
+    return F.when(x.isNull() | y.isNull(), None).when(apart, failing("ranges that don't overlap have no intersection")).otherwise(both)
+
+
+@function
+def generate_range_array(x, step: str, include_last_partial: bool = True):
+    """A bounded range cut into ranges of an interval such as "1 MONTH"."""
+    x = col(x)
+    starts = F.filter(F.sequence(x["start"], x["end"], F.expr(f"INTERVAL {step}")), lambda t: t < x["end"])
+    cut = F.transform(starts, lambda t: F.struct(t.alias("start"), F.least(t + F.expr(f"INTERVAL {step}"), x["end"]).alias("end")))
+    return cut if include_last_partial else F.filter(cut, lambda r: r["start"] + F.expr(f"INTERVAL {step}") <= x["end"])
 
 
 @function
@@ -751,14 +764,76 @@ def range_end(x):
 
 @function
 def net_host(x):
-    return F.parse_url(col(x), F.lit("HOST"))
+    """The host of a URL, with or without scheme; null where there is none."""
+    found = F.regexp_extract(F.btrim(col(x), F.lit(WHITE_SPACE)), r"^(?:(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//)?(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
+    return F.nullif(found, F.lit(""))
+
+
+# Public suffixes of two labels that net_public_suffix knows besides all last labels.
+TWO_LABEL_SUFFIXES = (
+    "ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr",
+    "edu.au", "gov.au", "gov.br", "gov.uk", "ltd.uk", "me.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.uk", "or.jp", "org.au", "org.br", "org.cn", "org.nz", "org.uk",
+)
+
+
+@function
+def net_public_suffix(x, two_labels=TWO_LABEL_SUFFIXES):
+    """The suffix under which names are registered; the list of those with two labels is a parameter. Null without a dot."""
+    host = F.lower(net_host(x))
+    last = F.regexp_extract(host, r"([^.]+)$", 1)
+    pair = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    return F.when(host.rlike(r"^[^.\[]+(\.[^.]+)+$") & ~host.rlike(r"^[\d.]+$"), F.when(pair.isin(*two_labels), pair).otherwise(last))
+
+
+@function
+def net_reg_domain(x, two_labels=TWO_LABEL_SUFFIXES):
+    """The public suffix with one label before it; null where there is none."""
+    host, suffix = net_host(x), net_public_suffix(x, two_labels)
+    before = F.substr(host, F.lit(1), F.char_length(host) - F.char_length(suffix) - 1)
+    label = F.regexp_extract(before, r"([^.]+)$", 1)
+    return F.when(label != "", F.substr(host, F.char_length(host) - F.char_length(suffix) - F.char_length(label), F.lit(1 << 20)))
+
+
+def _ip_bytes(x) -> Column:
+    """IPv4: four bytes; IPv6: sixteen; null for anything else."""
+    x = F.btrim(col(x))
+    four = F.split(x, r"\.")
+    part = r"(?:\d|[1-9]\d|1\d\d|2[0-4]\d|25[0-5])"
+    v4 = F.when(x.rlike(rf"^{part}(?:\.{part}){{3}}$"), F.unhex(F.array_join(F.transform(four, lambda p: F.lpad(F.hex(p.cast("int")), 2, "0")), "")))
+    halves = F.split(x, "::")
+    groups = lambda half: F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+    given = F.size(left) + F.size(right)
+    whole = F.when(x.contains("::"), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), right)).otherwise(left)
+    fits = x.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$") & ~x.rlike(r"[0-9A-Fa-f]{5}|::.*::|:::|^:[^:]|[^:]:$") & F.when(x.contains("::"), given < 8).otherwise(given == 8)
+    return F.coalesce(v4, F.when(fits, F.unhex(F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))))
+
+
+@function
+def net_safe_ip_from_string(x):
+    return _ip_bytes(x)
 
 
 @function
 def net_ip_from_string(x):
-    """Of an IPv4 address, as four bytes."""
-    parts = F.split(col(x), r"\.")
-    return F.unhex(F.array_join(F.transform(parts, lambda p: F.lpad(F.hex(p.cast("int")), 2, "0")), ""))
+    """The bytes of an IPv4 or IPv6 address; an error for other texts."""
+    return F.when(col(x).isNull(), None).otherwise(F.coalesce(_ip_bytes(x), failing("not an IP address").cast("binary")))
+
+
+@function
+def net_ip_net_mask(n_bytes: int, prefix):
+    """The mask of n_bytes bytes whose first bits are set."""
+    ones = F.concat(F.repeat(F.lit("1"), col(prefix)), F.repeat(F.lit("0"), 8 * n_bytes - col(prefix)))
+    return F.unhex(F.concat(*(F.lpad(F.conv(F.substr(ones, F.lit(8 * i + 1), F.lit(8)), 2, 16), 2, "0") for i in range(n_bytes))))
+
+
+@function
+def net_ip_trunc(x, prefix: int):
+    """The address with all bits after the first `prefix` cleared."""
+    x = col(x)
+    byte = lambda i: F.conv(F.hex(F.substring(x, i + 1, 1)), 16, 10).cast("int")
+    cut = lambda n: F.unhex(F.concat(*(F.lpad(F.hex(byte(i).bitwiseAND(F.lit(255 & ~((1 << max(0, min(8, 8 * (i + 1) - prefix))) - 1)))), 2, "0") for i in range(n))))
+    return F.when(F.octet_length(x) == 4, cut(4)).otherwise(cut(16))
 
 
 @function

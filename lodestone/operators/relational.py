@@ -228,12 +228,18 @@ def gap_fill(df: DataFrame, time: str, micros: int, keys: Sequence[str], values:
 def changes(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
     """after's rows that are new or differ, and before's that are gone, with _change_type INSERT, UPDATE or DELETE.
 
-    Rows are compared by one hash over all their columns, nulls included.
+    Nulls equal one another, in keys and in other columns.
     """
     columns = after.columns
-    print_ = lambda df: df.withColumn("__print", F.xxhash64(*columns))
-    one, two = print_(before).alias("o"), print_(after).alias("n")
-    both = one.join(two, reduce(Column.__and__, (F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys)), "full")
-    kind = F.when(F.col("o.__print").isNull(), "INSERT").when(F.col("n.__print").isNull(), "DELETE").when(F.col("o.__print") != F.col("n.__print"), "UPDATE")
-    picked = [F.when(F.col("n.__print").isNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in columns]
+    one, two = (df.withColumn("__here", F.lit(True)) for df in (before, after))
+    one, two = one.alias("o"), two.alias("n")
+    both = one.join(two, reduce(Column.__and__, (F.col(f"o.`{k}`").eqNullSafe(F.col(f"n.`{k}`")) for k in keys)), "full")
+    same = reduce(Column.__and__, (F.col(f"o.`{c}`").eqNullSafe(F.col(f"n.`{c}`")) for c in columns))
+    kind = F.when(F.col("o.__here").isNull(), "INSERT").when(F.col("n.__here").isNull(), "DELETE").when(~same, "UPDATE")
+    picked = [F.when(F.col("n.__here").isNull(), F.col(f"o.`{c}`")).otherwise(F.col(f"n.`{c}`")).alias(c) for c in columns]
     return both.select(*picked, kind.alias("_change_type")).filter(F.col("_change_type").isNotNull())
+
+
+def appends(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows that after has more often than before, each as often as it was added, with _change_type INSERT."""
+    return after.exceptAll(before).withColumn("_change_type", F.lit("INSERT"))

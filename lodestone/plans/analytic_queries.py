@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +12,7 @@ from lodestone.operators import search as S
 from lodestone.operators.graph import Graph
 from lodestone.operators.row_patterns import match_recognize
 from lodestone.sources import files
+from lodestone.sources.shared import shared_folder
 from lodestone.streaming import windows
 
 from .catalogue import register, table
@@ -20,8 +20,7 @@ from .catalogue import register, table
 
 def _folder(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 # a graph of nations: two edges from each, with costs

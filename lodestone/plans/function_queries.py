@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions import json as J
 from lodestone.functions import library as L
 
 from .catalogue import register, table
@@ -243,11 +244,11 @@ scalar("fn_timestamp", "events", "event_id", {
 })
 
 scalar("fn_json", "events", "event_id", {
-    "valid": (lambda: L.parse_json(c("props")).isNotNull(), "json_valid(props)"),
-    "value_k": (lambda: L.json_value(c("props"), "$.k"), "json_extract_string(props, '$.k')"),
-    "query_root": (lambda: L.json_query(c("props"), "$").isNotNull(), "json_type(props) IN ('OBJECT', 'ARRAY')"),
-    "value_root": (lambda: L.json_value(c("props"), "$"), "CASE WHEN json_type(props) NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(props, '$') END"),
-    "keys": (lambda: F.array_join(F.array_sort(L.json_keys(c("props"))), ","), "array_to_string(list_sort(json_keys(props)), ',')"),
+    "valid": (lambda: J.safe_parse_json(c("props")).isNotNull(), "json_valid(props)"),
+    "value_k": (lambda: J.json_value(c("props"), "$.k"), "json_extract_string(props, '$.k')"),
+    "query_root": (lambda: J.json_query(c("props"), "$").isNotNull(), "json_type(props) IN ('OBJECT', 'ARRAY')"),
+    "value_root": (lambda: J.json_value(c("props"), "$"), "CASE WHEN json_type(props) NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(props, '$') END"),
+    "keys": (lambda: F.array_join(F.array_sort(J.json_keys(c("props"))), ","), "array_to_string(list_sort(json_keys(props)), ',')"),
 })
 
 
@@ -279,10 +280,11 @@ OPEN = "CASE WHEN l_linenumber < 5 THEN l_shipdate + INTERVAL 30 DAY END"
     "fn_range",
     f"""SELECT l_orderkey, l_linenumber, l_shipdate <= TIMESTAMP '1995-06-01' AND coalesce({OPEN} > TIMESTAMP '1995-06-01', true) AS contains_,
           l_shipdate < TIMESTAMP '1996-01-01' AND coalesce({OPEN} > TIMESTAMP '1995-01-01', true) AS overlaps_,
-          epoch_us(greatest(l_shipdate, TIMESTAMP '1995-01-01')) AS both_start FROM lineitem""",
+          CASE WHEN l_shipdate < TIMESTAMP '1996-01-01' AND coalesce({OPEN} > TIMESTAMP '1995-01-01', true) THEN epoch_us(greatest(l_shipdate, TIMESTAMP '1995-01-01')) END AS both_start FROM lineitem""",
 )
 def fn_range(spark, sf_dir):
-    both = L.range_intersect(ship(), receipt())
+    # ranges that don't overlap have no intersection
+    both = F.when(L.range_overlaps(ship(), receipt()), L.range_intersect(ship(), receipt()))
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber",
         L.range_contains(ship(), F.to_timestamp_ntz(F.lit("1995-06-01"))).alias("contains_"),
@@ -306,7 +308,7 @@ aggregate("fn_aggregate", "lineitem", "l_returnflag", {
     "bit_or_": (lambda: L.call("bit_or", c("l_orderkey")), "bit_or(l_orderkey)"),
     "bit_xor_": (lambda: L.call("bit_xor", c("l_orderkey")), "bit_xor(l_orderkey)"),
     "array_": (lambda: F.size(L.array_agg(c("l_linestatus"))).cast("long"), "len(list(l_linestatus))::BIGINT"),
-    "string_": (lambda: F.md5(L.string_agg(c("l_linestatus"), "|")), "md5(string_agg(l_linestatus, '|' ORDER BY l_linestatus))"),
+    "string_": (lambda: F.md5(L.string_agg(c("l_linestatus"), "|", order=["l_linestatus"])), "md5(string_agg(l_linestatus, '|' ORDER BY l_linestatus))"),
 })
 
 aggregate("fn_statistical", "lineitem", "l_linestatus", {

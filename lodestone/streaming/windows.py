@@ -46,3 +46,19 @@ def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataF
 
     writer.foreachBatch(store).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def joined_within(left: DataFrame, right: DataFrame, key: str, time: str, within: str, late: str) -> DataFrame:
+    """Pairs of a key whose right event comes at most `within` after the left one; watermarks bound the state of both."""
+    stamp = lambda df, side: df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns), F.col(time).cast("timestamp").alias(f"{side}__time")).withWatermark(f"{side}__time", late)
+    a, b = stamp(left, "left"), stamp(right, "right")
+    on = (F.col(f"left_{key}") == F.col(f"right_{key}")) & (F.col("right__time") >= F.col("left__time")) & (F.col("right__time") <= F.col("left__time") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, on).drop("left__time", "right__time")
+
+
+def run_once(stream: DataFrame, folder: str, name: str) -> dict:
+    """Runs a stream over what is new since its checkpoint, into Parquet files, each batch once; tells how it went."""
+    writer = stream.writeStream.queryName(f"lodestone_{name}").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    query = writer.format("parquet").option("path", f"{folder}/out").start()
+    query.awaitTermination()
+    return {"name": query.name, "ended": not query.isActive, "rows": sum(p["numInputRows"] for p in query.recentProgress)}

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import json as J
 from lodestone.functions import library as L
 
 
@@ -57,8 +58,8 @@ def test_arrays_and_json(value):
     assert value(L.array_at(F.array(F.lit(1)), 5, safe=True)) is None
     with pytest.raises(Exception, match="INVALID_ARRAY_INDEX"):
         value(L.array_at(F.array(F.lit(1)), 5))
-    assert value(L.json_value(F.lit('{"a": {"b": 1}}'), "$.a")) is None and value(L.json_value(F.lit('{"a": {"b": 1}}'), "$.a.b")) == "1"
-    assert value(L.json_query(F.lit('{"a": [1]}'), "$.a")) == "[1]"
+    assert value(J.json_value(F.lit('{"a": {"b": 1}}'), "$.a")) is None and value(J.json_value(F.lit('{"a": {"b": 1}}'), "$.a.b")) == "1"
+    assert value(J.json_query(F.lit('{"a": [1]}'), "$.a")) == "[1]"
 
 
 def test_aggregates(spark):

@@ -1,7 +1,7 @@
 import pytest
 from oracle import DATA, both
 
-from lodestone.plans import analytic_queries, catalogue, function_queries, geography_queries, relational_queries, script_queries  # noqa: F401
+from lodestone.plans import catalogue, registry  # noqa: F401
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 
