@@ -233,10 +233,11 @@ def _common(sorted_rows: np.ndarray) -> np.ndarray:
     return np.r_[0, np.where(differs.any(axis=1), differs.argmax(axis=1), sorted_rows.shape[1])] if len(sorted_rows) else np.empty(0, np.int64)
 
 
-def repeated_windows(contexts: list[bytes], lows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, a, b, edge): row's windows that start from a down to b bytes before its anchor are repeated in other rows.
+def repeated_windows(contexts: list[bytes], lows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(repeated, witness, edge) of each row.
 
-    edge: of each row, the bytes after its anchor that it has in common with the first or the last suffix.
+    repeated: by the bytes before the anchor at which a window starts, whether other rows repeat it; witness: one row of
+    each repeated window. edge: the bytes after the anchor that a row has in common with the first or the last suffix.
     """
     n, width, side = len(contexts), -(-LENGTH // 8) * 8, -(-SPAN // 8) * 8
     sizes = np.array([len(c) for c in contexts], np.int64)
@@ -255,7 +256,7 @@ def repeated_windows(contexts: list[bytes], lows: np.ndarray) -> tuple[np.ndarra
     by_left = multikey_order(left.view(">u8").astype(np.uint64))
     common_left = _common(left[by_left])
     del left, right
-    repeated = np.zeros((n, SPAN + 1), bool)
+    repeated, witness = np.zeros((n, SPAN + 1), bool), np.zeros((n, SPAN + 1), bool)
     near = np.maximum(common, np.r_[common[1:], 0])
     kind = np.empty(n, np.int64)
     for a in range(SPAN):
@@ -267,18 +268,28 @@ def repeated_windows(contexts: list[bytes], lows: np.ndarray) -> tuple[np.ndarra
         key = np.cumsum(common < b)[rows] * (n + 1) + kind[rows]
         by = np.argsort(key)
         same = key[by[1:]] == key[by[:-1]]
-        repeated[rows[by], a] = np.r_[same, False] | np.r_[False, same]
+        place = order[rows[by]]
+        repeated[place, a] = np.r_[same, False] | np.r_[False, same]
+        witness[place, a] = np.r_[same, False] & ~np.r_[False, same]
+    return repeated, witness, edge
+
+
+def stretches(repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, a, b): the windows from a down to b bytes before the row's anchor, for each run of repeated ones."""
     edges = np.diff(repeated.astype(np.int8), axis=1, prepend=0)
     row, begin = np.nonzero(edges == 1)
     _, end = np.nonzero(edges == -1)
-    return order[row], end - 1, begin, edge
+    return row, end - 1, begin
 
 
 COVER = "doc_id long, print long, begin int, end int"
 
 
 def _parts(suffixes: DataFrame, partitions: int) -> DataFrame:
-    """Windows that different contexts of a part share, in those that aren't covered as a whole; and, with a hash, those to be counted across parts."""
+    """Windows that different contexts of a part share, in those that aren't covered as a whole; and, with a hash, those to be counted across parts.
+
+    known: the row is covered already, and tells of the window alone.
+    """
 
     def run(batches):
         held, rows = [], 0
@@ -294,34 +305,37 @@ def _parts(suffixes: DataFrame, partitions: int) -> DataFrame:
     def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
         contexts, lows, at = table.column("bytes").to_pylist(), table.column("low").to_numpy().astype(np.int64), table.column("at").to_numpy()
         many = table.column("many").to_numpy()
-        row, far, near, edge = repeated_windows(contexts, lows)
+        repeated, witness, edge = repeated_windows(contexts, lows)
+        row, far, near = stretches(repeated)
         single = ~many[row]
         row, far, near = row[single], far[single], near[single]
         yield rows_of(table, row, at[row] - far, at[row] - near + LENGTH, None)
         for part in np.array_split(np.flatnonzero(edge >= GRAM), 1 + int((edge >= GRAM).sum()) // 2000):
-            rows, begins, hashes = [], [], []
+            rows, begins, hashes, known = [], [], [], []
             for i in part.tolist():
                 low, text = int(lows[i]), contexts[i]
-                # windows whose bytes after the anchor lie within what is common
-                for a in range(LENGTH - min(int(edge[i]), len(text) - low, LENGTH), min(low, SPAN - 1) + 1):
+                # windows whose bytes after the anchor lie within what is common; of those repeated here one row tells
+                first, last = LENGTH - min(int(edge[i]), len(text) - low, LENGTH), min(low, SPAN - 1)
+                for a in (first + np.flatnonzero(~repeated[i, first : last + 1] | witness[i, first : last + 1])).tolist():
                     rows.append(i)
                     begins.append(at[i] - a)
                     hashes.append(hashlib.blake2b(text[low - a : low - a + LENGTH], digest_size=16).digest())
+                    known.append(many[i] or witness[i, a])
             if rows:
                 begins = np.array(begins)
-                yield rows_of(table, np.array(rows), begins, begins + LENGTH, hashes, many)
+                yield rows_of(table, np.array(rows), begins, begins + LENGTH, hashes, np.array(known, bool))
 
-    def rows_of(table, row, begin, end, hashes, many=None) -> pa.RecordBatch:
+    def rows_of(table, row, begin, end, hashes, known=None) -> pa.RecordBatch:
         rows = pa.array(row)
         doc, mark = (table.column(c).take(rows).combine_chunks() for c in ("doc_id", "print"))
         doc, mark = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (doc, mark))
-        whole = pa.array(np.zeros(len(row), bool) if many is None else many[row], pa.bool_())
-        found = [doc, mark, pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array([None] * len(row) if hashes is None else hashes, pa.binary()), whole]
-        return pa.RecordBatch.from_arrays(found, names=["doc_id", "print", "begin", "end", "window", "many"])
+        known = pa.array(np.zeros(len(row), bool) if known is None else known, pa.bool_())
+        found = [doc, mark, pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array([None] * len(row) if hashes is None else hashes, pa.binary()), known]
+        return pa.RecordBatch.from_arrays(found, names=["doc_id", "print", "begin", "end", "window", "known"])
 
     # equal suffixes are told apart by all their bytes, so that any number of them can be split
     order = [F.expr("substring(bytes, low + 1)"), F.xxhash64("bytes")]
-    return map_arrow(suffixes.repartitionByRange(partitions, *order).sortWithinPartitions(*order), run, f"{COVER}, window binary, many boolean")
+    return map_arrow(suffixes.repartitionByRange(partitions, *order).sortWithinPartitions(*order), run, f"{COVER}, window binary, known boolean")
 
 
 def covers(docs: DataFrame, space: Workspace) -> DataFrame:
@@ -337,7 +351,7 @@ def covers(docs: DataFrame, space: Workspace) -> DataFrame:
     parts = space.write(_parts(suffixes, partitions), "parts")
     asked = parts.filter(F.col("window").isNotNull())
     repeated = asked.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-    across = asked.filter(~F.col("many")).join(repeated.hint("merge"), "window", "left_semi")
+    across = asked.filter(~F.col("known")).join(repeated.hint("merge"), "window", "left_semi")
     columns = ["doc_id", "print", "begin", "end"]
     out = space.write(whole.unionByName(parts.filter(F.col("window").isNull()).select(*columns)).unionByName(across.select(*columns)), "covers")
     space.drop("whole", "suffixes", "parts")
