@@ -43,7 +43,7 @@ from .workspace import Workspace, documents
 
 FOLDS, CLASSES, ADDED = 10, 512, 0.1
 #: Bytes of text in a block and, of the whole corpus, to a bucket; training tokens from which a context is split.
-BLOCK_BYTES, BUCKET_BYTES, SPLIT_TOKENS, MOST_SPLIT = 8 << 20, 16 << 20, 500_000, 1 << 17
+BLOCK_BYTES, BUCKET_BYTES, SPLIT_TOKENS, MOST_SPLIT = 24 << 20, 32 << 20, 500_000, 1 << 17
 #: The end of a text, and what stands before its first word; no word holds white space.
 END, BEGINNING = b"\n", b"\t"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -70,21 +70,43 @@ def hashes_of(words) -> np.ndarray:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """The arrays, compressed; unpacked() gives them back."""
-    head = [f"{a.dtype.str}:{len(a)}" for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(",".join(head).encode() + b"\n" + b"".join(a.tobytes() for a in arrays))
+    """The arrays, compressed; unpacked() gives them back.
+
+    Values go by byte planes, all first bytes, then all second ones; ascending hashes as differences.
+    """
+    head, parts = [], []
+    for x in arrays:
+        rising = x.dtype == np.uint64 and len(x) > 1 and bool((x[1:] >= x[:-1]).all())
+        head.append(f"{x.dtype.str}:{len(x)}:{int(rising)}")
+        x = np.diff(x, prepend=np.uint64(0)) if rising else x
+        parts.append(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(",".join(head).encode() + b"\n" + b"".join(parts))
 
 
 def unpacked(body: bytes) -> list[np.ndarray]:
     whole = zstandard.ZstdDecompressor().decompress(body)
     at, out = whole.index(b"\n") + 1, []
     for spec in whole[: at - 1].decode().split(","):
-        kind, _, n = spec.partition(":")
-        out.append(np.frombuffer(whole, kind, int(n), at))
-        at += out[-1].nbytes
+        name, n, rising = spec.split(":")
+        kind, n = np.dtype(name), int(n)
+        flat = np.frombuffer(whole, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        values = np.ascontiguousarray(flat.T).view(kind).ravel() if n else np.empty(0, kind)
+        out.append(np.cumsum(values, dtype=np.uint64) if rising == "1" else values)
+        at += n * kind.itemsize
     return out
 
 
+def short_floats(values: np.ndarray) -> np.ndarray:
+    """The three high bytes of 32-bit floats: relative errors under 2^-15."""
+    return np.ascontiguousarray(values.astype("<f4").view(np.uint8).reshape(-1, 4)[:, 1:].T).ravel()
+
+
+def long_floats(flat: np.ndarray) -> np.ndarray:
+    whole = np.zeros((len(flat) // 3, 4), np.uint8)
+    whole[:, 1:] = flat.reshape(3, -1).T
+    return whole.reshape(-1).view("<f4").astype(np.float64)
+
+
 def bucket_of(hashed: np.ndarray, buckets: int) -> np.ndarray:
     """Ascending with the hash."""
     return ((hashed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -108,13 +130,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _messages(df: DataFrame, function) -> DataFrame:
-    """Each message's answers, by mapInArrow; function takes (place, kind, origin, arrays)."""
+    """Each message's answers, by mapInArrow; function takes (place, kind, origin, body)."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 place, kind, origin, body = (batch.column(c)[i].as_py() for c in ("place", "kind", "origin", "body"))
-                yield _batch(function(place, kind, origin, unpacked(body)))
+                yield _batch(function(place, kind, origin, body))
 
     return map_arrow(df, run, MESSAGE)
 
@@ -145,13 +167,14 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(hashed)
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order), dtype=np.int32)
-            flat, lengths = rank[np.concatenate(texts)], np.array([len(t) for t in texts], np.int32)
+            # words are numbered as they come, so that frequent ones have small numbers
+            flat, lengths = np.concatenate(texts), np.array([len(t) for t in texts], np.int32)
             train = np.repeat([not held_out(i) for i in ids], lengths)
-            count = np.bincount(flat[train], minlength=len(order)).astype(np.uint32)
-            hashed, kinds = hashed[order], np.fromiter(map(word_class, words), np.int16)[order]
+            count = np.bincount(rank[flat[train]], minlength=len(order)).astype(np.uint32)
+            by_appearance, hashed, kinds = hashed, hashed[order], np.fromiter(map(word_class, words), np.int16)
             known = np.array([i is not None for i in ids])
             block = part << 24 | number
-            rows = [message(block, BLOCK, 0, np.array([i or 0 for i in ids], np.int64), known, lengths, flat, hashed, kinds)]
+            rows = [message(block, BLOCK, 0, np.array([i or 0 for i in ids], np.int64), known, lengths, flat, by_appearance, kinds)]
             rows += [message(b, WORDS, block, hashed[i:j], count[i:j]) for b, i, j in ranges(hashed, buckets)]
             return _batch(rows)
 
@@ -175,6 +198,15 @@ def part_names(context: int, part: np.ndarray) -> np.ndarray:
     return (np.array([context], np.uint64) ^ (part.astype(np.uint64) + np.uint64(1)) * _ODD) * _ODD
 
 
+def opened_block(body: bytes) -> list[np.ndarray]:
+    """(ids, whether there is one, lengths, words by number, hashes, classes); numbers are the hashes' order."""
+    ids, known, lengths, flat, hashed, kinds = unpacked(body)
+    order = np.argsort(hashed)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return [ids, known, lengths, rank[flat], hashed[order], kinds[order]]
+
+
 class Pairs:
     """The different pairs of a block, by context and word; split contexts have a hash for each part."""
 
@@ -210,13 +242,16 @@ class Pairs:
 
 
 def _pairs(blocks: DataFrame, buckets: int, split: dict[int, int]) -> DataFrame:
-    def run(block, kind, origin, arrays):
-        own = Pairs(arrays, split)
+    def run(block, kind, origin, body):
+        own = Pairs(opened_block(body), split)
         ends = np.append(own.heads, len(own.word))
         rows = []
         for b, i, j in ranges(own.rooms, buckets):
             pairs = slice(ends[i], ends[j])
-            rows.append(message(b, PAIRS, block, own.rooms[i:j], own.kinds[i:j], own.runs[i:j], own.hashed[own.word[pairs]], own.count[pairs]))
+            # the words once, then their places
+            words = np.unique(own.word[pairs])
+            place = np.searchsorted(words, own.word[pairs]).astype(np.uint32)
+            rows.append(message(b, PAIRS, block, own.rooms[i:j], own.kinds[i:j], own.runs[i:j], own.hashed[words], place, own.count[pairs]))
         return rows
 
     return _messages(blocks, run)
@@ -259,10 +294,10 @@ def _cells(pairs: DataFrame, buckets: int) -> DataFrame:
         rooms, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
         kinds = np.concatenate([p[1] for p in parts])[first]
         room, word, count = [], [], []
-        for own, _, runs, words, n in parts:
+        for own, _, runs, words, at, n in parts:
             seen = n > 0
             room.append(np.repeat(np.searchsorted(rooms, own), runs)[seen])
-            word.append(words[seen])
+            word.append(words[at[seen]])
             count.append(n[seen])
         del parts
         room, word, count = (np.concatenate(v) for v in (room, word, count))
@@ -393,9 +428,9 @@ def _answers(messages: DataFrame, whole: dict) -> DataFrame:
         kept = made.sweeps(prior, place + (1 << 40), seating.KEPT)
         rows = []
         for origin, body in asked:
-            own, kinds, runs, words, _ = unpacked(body)
-            share, rest = made.shares(kept, seating._found(rooms, own), kinds.astype(np.int64), seating._found(dishes, words), np.repeat(np.arange(len(own)), runs))
-            rows.append(message(origin, SHARES, place, share.astype(np.float32), rest.astype(np.float32)))
+            own, kinds, runs, words, at, _ = unpacked(body)
+            share, rest = made.shares(kept, seating._found(rooms, own), kinds.astype(np.int64), seating._found(dishes, words)[at], np.repeat(np.arange(len(own)), runs))
+            rows.append(message(origin, SHARES, place, short_floats(share), short_floats(rest)))
         return rows
 
     return _gathered(messages, run)
@@ -409,11 +444,13 @@ def _scores(messages: DataFrame, split: dict[int, int], total: int, kinds: int,
         known, shares, arrays = [], [], None
         for kind, _, body in messages:
             if kind == BLOCK:
-                arrays = unpacked(body)
+                arrays = opened_block(body)
+            elif kind == KNOWN:
+                known.append(unpacked(body))
             else:
-                (known if kind == KNOWN else shares).append(unpacked(body))
+                shares.append([long_floats(x) for x in unpacked(body)])
         count, prior = (np.concatenate(v) for v in zip(*known))
-        share, rest = (np.concatenate(v).astype(np.float64) for v in zip(*shares))
+        share, rest = (np.concatenate(v) for v in zip(*shares))
         ids, has_id, lengths, flat, _, _ = arrays
         own = Pairs(arrays, split)
         prior = np.where(count > 0, prior, unseen)
@@ -442,18 +479,22 @@ def score_documents(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFr
     counts = space.write(_counts(words), "counts")
     total, kinds = (int(v or 0) for v in counts.agg(F.sum("n"), F.sum("x")).first())
     split = _split(counts, total)
-    pairs = space.write(_pairs(blocks, buckets, split), "pairs")
-    made = space.write(_cells(pairs, buckets), "cells", "kind")
+    # pairs are worked out anew each time they are sent: keeping them would take more disk than anything else
+    made = space.write(_cells(_pairs(blocks, buckets, split), buckets), "cells", "kind")
     cells, tables = made.filter(F.col("kind") == CELLS), made.filter(F.col("kind") == TABLES)
     whole = _wholes(cells, split)
     sums = lambda sent: int(sent.agg(F.sum("n")).first()[0] or 0)
     prior = space.write(_root(counts.unionByName(tables), sums(tables)).filter("place >= 0"), "prior1")
+    space.drop(f"cells/kind={TABLES}")
     tables = space.write(_resampled(cells.unionByName(prior), buckets, whole), "tables")
+    space.drop("prior1")
     customers = sums(tables)
     root = space.write(_root(counts.unionByName(tables).unionByName(words), customers), "root", "kind")
+    space.drop("tables", "counts", f"read/kind={WORDS}")
     left = root.filter(F.col("kind") == COUNTS).agg(F.sum("x")).first()[0] or 0.0
-    shares = space.write(_answers(cells.unionByName(root.filter(F.col("kind") == PRIOR)).unionByName(pairs), whole), "shares")
-    space.drop("pairs", "cells", "prior1", "tables", "counts")
+    asked = cells.unionByName(root.filter(F.col("kind") == PRIOR)).unionByName(_pairs(blocks, buckets, split))
+    shares = space.write(_answers(asked, whole), "shares")
+    space.drop("cells")
     unseen = (seating.STRENGTH + left) / (seating.STRENGTH + customers)
     return _scores(blocks.unionByName(root.filter(F.col("kind") == KNOWN)).unionByName(shares), split, total, kinds, unseen)
 

@@ -25,8 +25,8 @@ from dataclasses import dataclass
 import numpy as np
 
 STRENGTH, SMALL = 1.0, 128
-STEP, GROWTH, SETTLED, MOST_SWEEPS = 16, 1.15, 0.005, 40
-BURN, KEPT, ROUNDS = 5, 5, 6
+STEP, GROWTH, SETTLED, MOST_SWEEPS = 16, 1.15, 0.005, 24
+BURN, KEPT, ROUNDS = 4, 4, 4
 
 
 def discount(counts: np.ndarray) -> float:
