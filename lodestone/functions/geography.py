@@ -162,3 +162,305 @@ def st_snaptogrid(p, size: float):
 
 
 __all__ = ["EARTH", "FUNCTIONS"]
+
+
+# shapes: structs of a kind (POINT, LINESTRING, POLYGON, a MULTI of these) and parts, arrays of arrays of points;
+# a polygon's first part is its outer ring, rings without their closing point
+
+
+def _shape(kind: str, parts: Column) -> Column:
+    return F.when(parts.isNotNull(), F.struct(F.lit(kind).alias("kind"), parts.alias("parts")))
+
+
+@function
+def st_shape(kind: str, *parts):
+    """A shape of arrays of points."""
+    return _shape(kind, F.array(*map(col, parts)))
+
+
+@function
+def st_makepolygon(ring, *holes):
+    """Of lines whose last point is the first."""
+    open_ = lambda line: F.slice(col(line), 1, F.size(col(line)) - 1)
+    closed = F.element_at(col(ring), 1) == F.element_at(col(ring), -1)
+    return F.when(closed, _shape("POLYGON", F.array(open_(ring), *map(open_, holes)))).otherwise(F.raise_error(F.lit("a polygon's line must be closed")))
+
+
+FUNCTIONS["st_makepolygonoriented"] = st_makepolygon
+
+
+def _points_of(shape) -> Column:
+    return F.flatten(col(shape)["parts"])
+
+
+@function
+def st_geometrytype(shape):
+    return F.concat(F.lit("ST_"), F.initcap(F.regexp_replace(F.lower(col(shape)["kind"]), "linestring", "LineString")).substr(1, 1 << 10))
+
+
+@function
+def st_dimension(shape):
+    kind = col(shape)["kind"]
+    return F.when(F.size(_points_of(shape)) == 0, -1).when(kind.endswith("POINT"), 0).when(kind.endswith("LINESTRING"), 1).otherwise(2)
+
+
+@function
+def st_isempty(shape):
+    return F.size(_points_of(shape)) == 0
+
+
+@function
+def st_iscollection(shape):
+    return col(shape)["kind"].startswith("MULTI") & (F.size(col(shape)["parts"]) > 1)
+
+
+@function
+def st_npoints(shape):
+    """A ring's closing point counts."""
+    rings = F.when(col(shape)["kind"].endswith("POLYGON"), F.size(col(shape)["parts"])).otherwise(0)
+    return (F.size(_points_of(shape)) + rings).cast("long")
+
+
+@function
+def st_numgeometries(shape):
+    one = F.when(F.size(_points_of(shape)) > 0, 1).otherwise(0)
+    return F.when(col(shape)["kind"].startswith("MULTI"), F.size(col(shape)["parts"])).otherwise(one).cast("long")
+
+
+@function
+def st_dump(shape):
+    """The parts of a MULTI shape as shapes of their own; another shape as the only one."""
+    kind = F.regexp_replace(col(shape)["kind"], "^MULTI", "")
+    each = F.transform(col(shape)["parts"], lambda p: F.struct(kind.alias("kind"), F.array(p).alias("parts")))
+    return F.when(col(shape)["kind"].startswith("MULTI"), each).otherwise(F.array(col(shape)))
+
+
+@function
+def st_exteriorring(shape):
+    """A polygon's outer ring as a closed line."""
+    ring = F.get(col(shape)["parts"], F.lit(0))
+    return F.when(col(shape)["kind"] == "POLYGON", F.concat(ring, F.slice(ring, 1, 1)))
+
+
+@function
+def st_interiorrings(shape):
+    """A polygon's holes as closed lines."""
+    holes = F.slice(col(shape)["parts"], 2, F.greatest(F.size(col(shape)["parts"]) - 1, F.lit(1)))
+    return F.when(col(shape)["kind"] == "POLYGON", F.transform(holes, lambda r: F.concat(r, F.slice(r, 1, 1))))
+
+
+@function
+def st_isclosed(line):
+    """Whether a line ends where it begins."""
+    line = col(line)
+    return F.when(F.size(line) > 0, F.element_at(line, 1) == F.element_at(line, -1)).otherwise(False)
+
+
+@function
+def st_isring(line):
+    """Closed, of three different points at least, and without one that comes twice."""
+    line = col(line)
+    inner = F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(1)))
+    return st_isclosed(line) & (F.size(inner) >= 3) & (F.size(F.array_distinct(inner)) == F.size(inner))
+
+
+@function
+def st_boundary(shape):
+    """Of a line its ends, of a polygon its rings as lines; of points nothing."""
+    line = F.get(col(shape)["parts"], F.lit(0))
+    ends = F.transform(F.array(F.element_at(line, 1), F.element_at(line, -1)), lambda p: F.array(p))
+    rings = F.transform(col(shape)["parts"], lambda r: F.concat(r, F.slice(r, 1, 1)))
+    kind = col(shape)["kind"]
+    return F.when(kind == "LINESTRING", _shape("MULTIPOINT", F.when(st_isclosed(line), F.slice(ends, 1, 0)).otherwise(ends))).when(kind == "POLYGON", _shape("MULTILINESTRING", rings)).otherwise(_shape("MULTIPOINT", F.slice(ends, 1, 0)))
+
+
+def _cartesian(p: Column) -> Column:
+    lng, lat = _rad(p["lng"]), _rad(p["lat"])
+    return F.struct((F.cos(lat) * F.cos(lng)).alias("x"), (F.cos(lat) * F.sin(lng)).alias("y"), F.sin(lat).alias("z"))
+
+
+def _to_point(x: Column, y: Column, z: Column) -> Column:
+    return F.struct(F.degrees(F.atan2(y, x)).alias("lng"), F.degrees(F.atan2(z, F.sqrt(x * x + y * y))).alias("lat"))
+
+
+@function
+def st_centroid_of_points(points):
+    """The point of the sphere nearest to the mean of points."""
+    made = F.transform(col(points), _cartesian)
+    total = lambda part: F.aggregate(made, F.lit(0.0), lambda s, v: s + v[part])
+    return F.when(F.size(col(points)) > 0, _to_point(total("x"), total("y"), total("z")))
+
+
+@function
+def st_angle(a, b, c):
+    """The angle at b, from the line to a to the line to c, clockwise, in radians from 0 to 2 pi; null if one is b."""
+    a, b, c = col(a), col(b), col(c)
+    turn = F.pmod(st_azimuth(b, c) - st_azimuth(b, a), F.lit(2 * math.pi))
+    return F.when((a != b) & (b != c), turn)
+
+
+@function
+def st_maxdistance(a, b):
+    """The longest distance between points of two arrays."""
+    each = F.transform(col(a), lambda p: F.array_max(F.transform(col(b), lambda q: _angle(p, q))))
+    return F.array_max(each) * EARTH
+
+
+@function
+def st_hausdorffdistance(a, b):
+    """How far the farthest point of either array is from the nearest one of the other."""
+    a, b = col(a), col(b)
+    one = lambda x, y: F.array_max(F.transform(x, lambda p: F.array_min(F.transform(y, lambda q: _angle(p, q)))))
+    return F.greatest(one(a, b), one(b, a)) * EARTH
+
+
+@function
+def st_hausdorffdwithin(a, b, metres):
+    return st_hausdorffdistance(a, b) <= col(metres)
+
+
+@function
+def st_closestpoint(points, p):
+    """The nearest of an array's points; of equally near ones the first."""
+    best = F.array_min(F.transform(col(points), lambda q, i: F.struct(_angle(q, col(p)).alias("d"), i.alias("i"), q.alias("q"))))
+    return best["q"]
+
+
+@function
+def st_lineinterpolatepoint(line, share):
+    """The point at a share of a line's length, along great circles."""
+    line, share = col(line), col(share)
+    edges = F.transform(F.sequence(F.lit(1), F.size(line) - 1), lambda i: _angle(F.element_at(line, i), F.element_at(line, i + 1)))
+    wanted = F.aggregate(edges, F.lit(0.0), lambda s, v: s + v) * share
+    start = F.struct(F.lit(0).alias("i"), wanted.alias("left"), F.lit(False).alias("done"))
+    # the edge that the wanted length falls into, and what is left of it there
+    found = F.aggregate(edges, start, lambda s, v: F.when(s["done"], s).when(s["left"] <= v, F.struct((s["i"] + 1).alias("i"), s["left"].alias("left"), F.lit(True).alias("done"))).otherwise(F.struct((s["i"] + 1).alias("i"), (s["left"] - v).alias("left"), F.lit(False).alias("done"))))
+    a, b = _cartesian(F.element_at(line, found["i"])), _cartesian(F.element_at(line, F.least(found["i"] + 1, F.size(line))))
+    whole = F.element_at(edges, found["i"])
+    left = F.least(found["left"], whole)
+    p, q = F.sin(whole - left) / F.sin(whole), F.sin(left) / F.sin(whole)
+    made = _to_point(*(p * a[k] + q * b[k] for k in "xyz"))
+    return F.when(F.size(line) > 1, F.when(whole < 1e-15, F.element_at(line, found["i"])).otherwise(made))
+
+
+@function
+def st_asgeojson(shape):
+    """Coordinates as Spark writes doubles."""
+    pair = lambda p: F.concat(F.lit("["), p["lng"].cast("string"), F.lit(","), p["lat"].cast("string"), F.lit("]"))
+    lines = F.transform(col(shape)["parts"], lambda part: F.concat(F.lit("["), F.array_join(F.transform(part, pair), ","), F.lit("]")))
+    rings = F.transform(col(shape)["parts"], lambda part: F.concat(F.lit("["), F.array_join(F.transform(F.concat(part, F.slice(part, 1, 1)), pair), ","), F.lit("]")))
+    points = F.transform(_points_of(shape), pair)
+    many = lambda parts: F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
+    kind = col(shape)["kind"]
+    body = F.when(kind == "POINT", F.get(points, F.lit(0))).when(kind == "LINESTRING", F.get(lines, F.lit(0))).when(kind == "MULTIPOINT", many(points)).when(kind == "MULTILINESTRING", many(lines)).when(kind == "POLYGON", many(rings))
+    name = F.element_at(F.create_map(*(F.lit(x) for k in ("Point", "LineString", "Polygon") for x in (k.upper(), k))), F.regexp_replace(kind, "^MULTI", ""))
+    return F.concat(F.lit('{"type":"'), F.when(kind.startswith("MULTI"), "Multi").otherwise(""), name, F.lit('","coordinates":'), body, F.lit("}"))
+
+
+@function
+def st_geogfromgeojson(text):
+    """Points, lines, polygons, multipoints and multilinestrings."""
+    text = col(text)
+    kind, body = F.upper(F.get_json_object(text, "$.type")), F.get_json_object(text, "$.coordinates")
+    point = lambda c: F.struct(F.get(c, F.lit(0)).alias("lng"), F.get(c, F.lit(1)).alias("lat"))
+    one, line, lines = (F.from_json(body, k) for k in ("array<double>", "array<array<double>>", "array<array<array<double>>>"))
+    parts = (
+        F.when(kind == "POINT", F.array(F.array(point(one))))
+        .when(kind == "LINESTRING", F.array(F.transform(line, point)))
+        .when(kind == "MULTIPOINT", F.transform(line, lambda c: F.array(point(c))))
+        .when(kind == "MULTILINESTRING", F.transform(lines, lambda part: F.transform(part, point)))
+        .when(kind == "POLYGON", F.transform(lines, lambda part: F.transform(F.slice(part, 1, F.size(part) - 1), point)))
+    )
+    return F.when(parts.isNotNull(), F.struct(kind.alias("kind"), parts.alias("parts")))
+
+
+# The digits of geohashes.
+GEOHASH = "0123456789bcdefghjkmnpqrstuvwxyz"
+
+
+def _halvings(x: Column, low: float, high: float, bits: int) -> Column:
+    """The number of the cell among 2^bits that a coordinate lies in."""
+    return F.least(F.floor((x - low) / (high - low) * (1 << bits)), F.lit((1 << bits) - 1)).cast("long")
+
+
+@function
+def st_geohash(p, length: int = 12):
+    """The geohash of a point, of up to 12 characters."""
+    p, bits = col(p), 5 * length
+    lng, lat = _halvings(p["lng"], -180.0, 180.0, (bits + 1) // 2), _halvings(p["lat"], -90.0, 90.0, bits // 2)
+    digits = []
+    for i in range(length):
+        value = F.lit(0).cast("long")
+        for k in range(5):
+            at = 5 * i + k
+            source, place = (lng, (bits + 1) // 2 - 1 - at // 2) if at % 2 == 0 else (lat, bits // 2 - 1 - at // 2)
+            value = value * 2 + F.shiftright(source, place).bitwiseAND(F.lit(1))
+        digits.append(F.substr(F.lit(GEOHASH), (value + 1).cast("int"), F.lit(1)))
+    return F.concat(*digits)
+
+
+@function
+def st_geogpointfromgeohash(text):
+    """The middle of a geohash's cell."""
+    text = F.lower(col(text))
+    bits = F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.lpad(F.bin(F.instr(F.lit(GEOHASH), c) - 1), 5, "0")), "")
+    n = F.char_length(bits)
+    pick = lambda odd: F.array_join(F.transform(F.filter(F.sequence(F.lit(1), n), lambda i: i % 2 == (0 if odd else 1)), lambda i: F.substr(bits, i.cast("int"), F.lit(1))), "")
+    place = lambda b, low, high: low + (high - low) * (F.conv(b, 2, 10).cast("double") + 0.5) / F.pow(F.lit(2.0), F.char_length(b))
+    return F.struct(place(pick(False), -180.0, 180.0).alias("lng"), place(pick(True), -90.0, 90.0).alias("lat"))
+
+
+def _inside(ring: Column, p: Column) -> Column:
+    """Whether a ring goes around a point: edges that a great circle from the point to a pole crosses, counted.
+
+    For rings that keep off the poles and don't go around them; an edge's latitude at a longitude is on its great circle.
+    """
+    nexts = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(1))), F.slice(ring, 1, 1))
+
+    def crosses(a: Column, b: Column) -> Column:
+        # longitudes relative to the point, wrapped to +-180
+        wrap = lambda x: F.pmod(x + 180, F.lit(360.0)) - 180
+        u, v = wrap(a["lng"] - p["lng"]), wrap(b["lng"] - p["lng"])
+        spans = ((u <= 0) & (v > 0) | (v <= 0) & (u > 0)) & (F.abs(u - v) < 180)
+        ur, vr = F.radians(u), F.radians(v)
+        at = F.atan((F.tan(_rad(a["lat"])) * F.sin(vr) - F.tan(_rad(b["lat"])) * F.sin(ur)) / F.sin(vr - ur))
+        return F.when(spans & (at > _rad(p["lat"])), 1).otherwise(0)
+
+    count = F.aggregate(F.zip_with(ring, nexts, crosses), F.lit(0), lambda s, v: s + v)
+    return count % 2 == 1
+
+
+@function
+def st_contains(polygon, p):
+    """Whether a point is inside a polygon and in none of its holes."""
+    parts, p = col(polygon)["parts"], col(p)
+    holes = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))
+    return _inside(F.get(parts, F.lit(0)), p) & ~F.exists(holes, lambda h: _inside(h, p))
+
+
+for _name in ("st_covers", "st_intersects"):
+    FUNCTIONS[_name] = st_contains
+for _name in ("st_within", "st_coveredby"):
+    FUNCTIONS[_name] = lambda p, polygon: st_contains(polygon, p)
+FUNCTIONS["st_disjoint"] = lambda polygon, p: ~st_contains(polygon, p)
+
+
+@function
+def st_intersectsbox(p, lng1, lat1, lng2, lat2):
+    """Whether a point lies in a box, which may go over the date line."""
+    p, a, b = col(p), col(lng1), col(lng2)
+    along = F.when(a <= b, (p["lng"] >= a) & (p["lng"] <= b)).otherwise((p["lng"] >= a) | (p["lng"] <= b))
+    return along & (p["lat"] >= col(lat1)) & (p["lat"] <= col(lat2))
+
+
+@function
+def st_extent(p):
+    """An aggregate: the box of all points."""
+    p = col(p)
+    return F.struct(F.min(p["lng"]).alias("xmin"), F.min(p["lat"]).alias("ymin"), F.max(p["lng"]).alias("xmax"), F.max(p["lat"]).alias("ymax"))
+
+
+@function
+def st_union_agg_points(p):
+    """An aggregate: all different points as one shape; a group's points come together in one row."""
+    return _shape("MULTIPOINT", F.transform(F.array_sort(F.collect_set(col(p))), lambda q: F.array(q)))

@@ -16,12 +16,12 @@ def _class(chars: str) -> str:
     return "[" + "".join("\\" + c if c in "[]\\^-&" else c for c in chars) + "]"
 
 
-BREAK = (
-    rf"(?<={_class(ENDS)}{_class(CLOSERS)}{{0,2}})"
-    r"(?<!(?:\.\.|…)[ \"'”’)\]}]{0,8})"  # an ellipsis goes on
-    r"(?<!\$\s{0,4}!)"
-    rf"[\s\x85\p{{Z}}]+(?=[\p{{L}}\p{{Nd}}]|{_class(OPENERS)})"
-)
+#: Stands after what looks like a sentence's end and isn't one; no text has this code point, which is no character.
+GOES_ON = "\ufdd1"
+#: An ellipsis, whatever quotes, brackets and blanks follow it, and "$ !", before white space: the sentence goes on.
+_BLANK = r"[\s\x85\p{Z}]"
+_NO_ENDS = (rf"((?:\.\.|…)[ \"'”’)\]}}]*)(?={_BLANK})", rf"(\$\s*!)(?={_BLANK})")
+BREAK = rf"(?<={_class(ENDS)}{_class(CLOSERS)}{{0,2}}){_BLANK}+(?=[\p{{L}}\p{{Nd}}]|{_class(OPENERS)})"
 
 
 def words(text: Column) -> Column:
@@ -29,8 +29,10 @@ def words(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Parts of over two bytes, stripped."""
-    parts = F.transform(F.split(text, BREAK, -1), lambda s: F.regexp_replace(s, r"^[\s\x85\p{Z}]+|[\s\x85\p{Z}]+$", ""))
+    """Parts of over two bytes, stripped. A sentence ends with one of ENDS and up to two CLOSERS before white space."""
+    for pattern in _NO_ENDS:
+        text = F.regexp_replace(text, pattern, "$1" + GOES_ON)
+    parts = F.transform(F.split(text, BREAK, -1), lambda s: F.regexp_replace(F.replace(s, F.lit(GOES_ON), F.lit("")), rf"^{_BLANK}+|{_BLANK}+$", ""))
     return F.filter(parts, lambda s: F.octet_length(s) > 2)
 
 

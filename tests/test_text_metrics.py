@@ -1,54 +1,45 @@
-import re
 import statistics
 
+import pytest
+from pyspark.sql import functions as F
+
 from lodestone.operators import text_metrics as T
-from lodestone.plans import script_queries  # noqa: F401
-
-
-def words(text):
-    """Candidates first, then those inside a longer word are dropped."""
-    inside = lambda c: c.isalpha() or c.isdigit() or c == "_"
-    out = []
-    for m in re.finditer(r"[A-Za-z0-9_](?:[A-Za-z0-9_-]*[A-Za-z0-9_])?", text):
-        before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
-        if not (before and inside(before)) and not (after and inside(after)):
-            out.append(m[0])
-    return out
-
-
-def sentences(text):
-    parts, last = [], 0
-    for m in re.finditer(r"\s+", text):
-        head, follow = text[: m.start()], text[m.end() : m.end() + 1]
-        tail = head[-3:]
-        ends = next((True for k in range(3) if len(tail) > k and tail[-1 - k] in T.ENDS and all(c in T.CLOSERS for c in tail[len(tail) - k :])), False)
-        bare = head.rstrip(" \"'”’)]}")
-        if bare.endswith("..") or bare.endswith("…") or head.endswith("!") and head[:-1].strip().endswith("$"):
-            ends = False
-        if ends and follow and (follow.isalpha() or follow.isdigit() or follow in T.OPENERS):
-            parts.append(text[last : m.start()])
-            last = m.end()
-    return [s for s in (p.strip() for p in [*parts, text[last:]]) if len(s.encode()) > 2]
-
-
-TEXTS = [
-    "One two. Three four five! Six?", "Wait... no. Yes (really.) Done", 'He said "Go." Then left.', "café naïve well-known a-b-é _x 12", "", "A.\nB.\n\nCc dd.", "No break.here 3.5 is it. 4 more",
-    "Price $! Next thing. ok", "Été fini. À bientôt. (So.) *Bold* end.", "x" * 50 + ". " + "y z " * 30 + "! `code` here.",
-]
-
-
-def test_equals_brute_force(spark):
-    df = spark.createDataFrame([*enumerate(TEXTS), (99, None)], "doc_id long, text string")
-    found = {r.doc_id: r for r in T.prose_metrics(df, "doc_id").collect()}
-    for i, text in enumerate(TEXTS):
-        own = sentences(text)
-        lengths = [n for n in (len(words(s)) for s in own) if n]
-        mean = statistics.mean(lengths) if lengths else 0
-        std = statistics.stdev(lengths) if len(lengths) > 1 else 0
-        assert (found[i].words, found[i].sentences) == (len(words(text)), len(own)), text
-        assert abs(found[i].mean_sentence_length - mean) < 1e-5 and abs(found[i].sentence_length_std - std) < 1e-5
-        assert abs(found[i].burstiness_cv - (std / mean if mean else 0)) < 1e-5
-    assert found[99].words == 0 and found[99].sentences == 0
+from lodestone.plans import registry  # noqa: F401
+
+# texts with their sentences and numbers of words, worked out by hand
+WORKED = [
+    ("One two. Three four five! Six?", ["One two.", "Three four five!", "Six?"], 6),
+    ("Wait... no. Yes (really.) Done", ["Wait... no.", "Yes (really.)", "Done"], 5),
+    ('He said "Go." Then left.', ['He said "Go."', "Then left."], 5),
+    ("No break.here 3.5 is it. 4 more", ["No break.here 3.5 is it.", "4 more"], 9),
+    ("Price $! Next thing. okay", ["Price $! Next thing.", "okay"], 4),
+    ("Price $          ! Next thing.", ["Price $          ! Next thing."], 3),
+    ("So..." + '"' * 40 + " Next one.", ["So..." + '"' * 40 + " Next one."], 3),
+    ("So... \n\n And on. Good", ["So... \n\n And on.", "Good"], 4),
+    ("A.\nB.\n\nCc dd.", ["Cc dd."], 4),
+    ("Été fini. À bientôt. (So.) *Bold* end.", ["Été fini.", "À bientôt.", "(So.)", "*Bold* end."], 4),
+    ("lower after. end. and “quoted.” then", ["lower after.", "end.", "and “quoted.”", "then"], 6),
+    ("well-known x_1 caf\u00e9 -a- b", ["well-known x_1 caf\u00e9 -a- b"], 4),
+    ("   ", [], 0),
+    ("", [], 0),
+]
+
+
+@pytest.mark.parametrize(("text", "want", "n_words"), WORKED)
+def test_worked_texts(spark, text, want, n_words):
+    row = spark.createDataFrame([(text,)], "t string").select(T.sentences(F.col("t")).alias("s"), F.size(T.words(F.col("t"))).alias("n")).first()
+    assert (row.s, row.n) == (want, n_words)
+
+
+def test_measures(spark):
+    rows = [(1, "One two. Three four five six! Seven: eight; nine — ten."), (2, None), (3, "word")]
+    found = {r.doc_id: r for r in T.prose_metrics(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    lengths = [2, 4, 4]
+    one = found[1]
+    assert (one.words, one.sentences, one.colons_semicolons, one.em_dashes) == (10, 3, 2, 1)
+    assert abs(one.mean_sentence_length - statistics.mean(lengths)) < 1e-5 and abs(one.sentence_length_std - statistics.stdev(lengths)) < 1e-5
+    assert (found[2].words, found[2].sentences, found[2].burstiness_cv) == (0, 0, 0.0)
+    assert (found[3].words, found[3].sentences, found[3].sentence_length_std) == (1, 1, 0.0)
 
 
 def test_sketches_merge(spark):
