@@ -8,15 +8,15 @@ An anchor stands for the run of windows that pick it; its context is the bytes o
 1. Anchors (gram hash, context hash, place) meet by both hashes. Contexts that occur twice are covered as a whole. Of
    different contexts of one gram hash one of each goes on; how many a gram has is counted with partial sums, so that
    a very common gram is never gathered.
-2. These suffixes, with the bytes before them, are range-partitioned by all their bytes with sampled splitters, and
-   each bucket is sorted locally by multikey quicksort (eight bytes a key, ties only are refined), a bounded number of
-   suffixes at a time. The runs of suffixes that agree in their first b bytes are read off the common prefixes of
-   neighbours, and the bytes before them are sorted likewise, backwards. For each split of LENGTH into a bytes before
-   an anchor and b after it, suffixes of one run with the same a bytes before them repeat that window. All these
-   decisions compare bytes.
-3. Across boundaries: a suffix that begins like the first or the last one of its part may repeat windows of another
-   part. The windows within what they have in common are dealt out by their hashes and counted. So a gram with any
-   number of contexts is split over many parts.
+2. These suffixes, with the bytes before them, are range-partitioned by their leading bytes with sampled splitters,
+   and each bucket is sorted locally by multikey quicksort (eight bytes a key, ties only are refined), a bounded number
+   of suffixes at a time, cut where the leading gram changes. The runs of suffixes that agree in their first b bytes
+   are read off the common prefixes of neighbours, and the bytes before them are sorted likewise, backwards. For each
+   split of LENGTH into a bytes before an anchor and b after it, suffixes of one run with the same a bytes before them
+   repeat that window. All these decisions compare bytes.
+3. Across boundaries: a gram with over AT_ONCE contexts is dealt to parts, in as many ranges. Windows that a part
+   doesn't find repeated, and one row of each that it does, are dealt out by their hashes and counted over all parts.
+   No other gram lies on both sides of a boundary.
 4. The windows found are merged for each document and cut out.
 
 Equal contexts are told by two independent 64-bit hashes (of the gram and of the whole context), windows across
@@ -46,7 +46,7 @@ from .workspace import Workspace, documents
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
 CHUNK = 1 << 20
-#: Suffixes of a bucket that are compared at once.
+#: Suffixes that are compared at once, and contexts of a gram from which it is dealt to parts.
 AT_ONCE = 40_000
 _RANDOM = np.random.default_rng(20240417)
 _BYTE = _RANDOM.integers(1, 2**63, 256, np.uint64)
@@ -157,9 +157,9 @@ def _covered(found: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def _to_compare(contexts: DataFrame) -> DataFrame:
-    """Contexts of grams that have several."""
-    grams = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    return contexts.join(grams.hint("merge"), "gram", "left_semi").select("many", "first.*")
+    """Contexts of grams that have several; parts: how many parts the gram is dealt to."""
+    grams = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", F.ceil(F.col("n") / AT_ONCE).cast("int").alias("parts"))
+    return contexts.join(grams.hint("merge"), "gram").select("many", "parts", "first.*")
 
 
 def _schema(df: DataFrame, *more: str) -> str:
@@ -185,24 +185,28 @@ def _joined(docs: DataFrame, lists: DataFrame, how: str, carried: tuple[str, ...
     return _packed(docs, carried).join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), how)
 
 
-SUFFIX = "doc_id long, print long, at int, low int, bytes binary, many boolean"
+SUFFIX = "lead binary, part int, doc_id long, print long, at int, low int, bytes binary, many boolean"
 
 
 def _suffixes(docs: DataFrame, compare: DataFrame) -> DataFrame:
     """The contexts to compare, as bytes."""
-    lists = compare.groupBy("doc_id", "print").agg(F.collect_list(F.struct("at", "low", "high", "many")).alias("list"))
+    lists = compare.groupBy("doc_id", "print").agg(F.collect_list(F.struct("at", "low", "high", "many", "parts")).alias("list"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         zip_ = zstandard.ZstdDecompressor()
         for doc_id, print_, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "print", "packed", "list"))):
             text = zip_.decompress(packed)
             at, low = [w["at"] for w in wanted], [w["low"] for w in wanted]
+            cut = [text[w["at"] - w["low"] : w["at"] + w["high"]] for w in wanted]
             yield {
+                "lead": [text[a : a + GRAM] for a in at],
+                # -1: the gram isn't dealt to parts
+                "part": [xxhash.xxh3_64_intdigest(x) % w["parts"] if w["parts"] > 1 else -1 for x, w in zip(cut, wanted)],
                 "doc_id": [doc_id] * len(at),
                 "print": [print_] * len(at),
                 "at": at,
                 "low": low,
-                "bytes": [text[w["at"] - w["low"] : w["at"] + w["high"]] for w in wanted],
+                "bytes": cut,
                 "many": [w["many"] for w in wanted],
             }
 
@@ -233,11 +237,10 @@ def _common(sorted_rows: np.ndarray) -> np.ndarray:
     return np.r_[0, np.where(differs.any(axis=1), differs.argmax(axis=1), sorted_rows.shape[1])] if len(sorted_rows) else np.empty(0, np.int64)
 
 
-def repeated_windows(contexts: list[bytes], lows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(repeated, witness, edge) of each row.
+def repeated_windows(contexts: list[bytes], lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(repeated, witness) of each row, by the bytes before the anchor at which a window starts.
 
-    repeated: by the bytes before the anchor at which a window starts, whether other rows repeat it; witness: one row of
-    each repeated window. edge: the bytes after the anchor that a row has in common with the first or the last suffix.
+    repeated: whether other rows repeat it; witness: one row of each repeated window.
     """
     n, width, side = len(contexts), -(-LENGTH // 8) * 8, -(-SPAN // 8) * 8
     sizes = np.array([len(c) for c in contexts], np.int64)
@@ -248,9 +251,6 @@ def repeated_windows(contexts: list[bytes], lows: np.ndarray) -> tuple[np.ndarra
     order = multikey_order(right.view(">u8").astype(np.uint64))
     right, lows, highs, begins = right[order], lows[order], highs[order], begins[order]
     common = _common(right)
-    # common prefixes with the ends of the part
-    edge = np.empty(n, np.int64)
-    edge[order] = np.maximum(np.minimum.accumulate(np.r_[width, common[1:]]), np.r_[np.minimum.accumulate(common[:0:-1])[::-1], width])
     columns = np.arange(side)
     left = np.where(columns < lows[:, None], flat[np.maximum((begins + lows)[:, None] - 1 - columns, 0)], 0).astype(np.uint8)
     by_left = multikey_order(left.view(">u8").astype(np.uint64))
@@ -271,7 +271,7 @@ def repeated_windows(contexts: list[bytes], lows: np.ndarray) -> tuple[np.ndarra
         place = order[rows[by]]
         repeated[place, a] = np.r_[same, False] | np.r_[False, same]
         witness[place, a] = np.r_[same, False] & ~np.r_[False, same]
-    return repeated, witness, edge
+    return repeated, witness
 
 
 def stretches(repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,28 +294,38 @@ def _parts(suffixes: DataFrame, partitions: int) -> DataFrame:
     def run(batches):
         held, rows = [], 0
         for batch in batches:
+            # the last place in the batch where the gram or the part changes
+            cut = 0
+            if rows + batch.num_rows >= AT_ONCE:
+                lead, part = batch.column("lead").to_pylist(), batch.column("part").to_pylist()
+                cut = len(lead) - 1
+                while cut and (lead[cut - 1], part[cut - 1]) == (lead[-1], part[-1]):
+                    cut -= 1
+                if not cut and held and (held[-1].column("lead")[-1].as_py(), held[-1].column("part")[-1].as_py()) != (lead[0], part[0]):
+                    yield from compared(pa.Table.from_batches(held))
+                    held, rows = [], 0
+            if cut:
+                yield from compared(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held, rows, batch = [], 0, batch.slice(cut)
             held.append(batch)
             rows += batch.num_rows
-            if rows >= AT_ONCE:
-                yield from compared(pa.Table.from_batches(held))
-                held, rows = [], 0
         if held:
             yield from compared(pa.Table.from_batches(held))
 
     def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
         contexts, lows, at = table.column("bytes").to_pylist(), table.column("low").to_numpy().astype(np.int64), table.column("at").to_numpy()
-        many = table.column("many").to_numpy()
-        repeated, witness, edge = repeated_windows(contexts, lows)
+        many, dealt = table.column("many").to_numpy(), table.column("part").to_numpy() >= 0
+        repeated, witness = repeated_windows(contexts, lows)
         row, far, near = stretches(repeated)
         single = ~many[row]
         row, far, near = row[single], far[single], near[single]
         yield rows_of(table, row, at[row] - far, at[row] - near + LENGTH, None)
-        for part in np.array_split(np.flatnonzero(edge >= GRAM), 1 + int((edge >= GRAM).sum()) // 2000):
+        for part in np.array_split(np.flatnonzero(dealt), 1 + int(dealt.sum()) // 2000):
             rows, begins, hashes, known = [], [], [], []
             for i in part.tolist():
                 low, text = int(lows[i]), contexts[i]
-                # windows whose bytes after the anchor lie within what is common; of those repeated here one row tells
-                first, last = LENGTH - min(int(edge[i]), len(text) - low, LENGTH), min(low, SPAN - 1)
+                # of windows repeated here one row tells
+                first, last = LENGTH - min(len(text) - low, LENGTH), min(low, SPAN - 1)
                 for a in (first + np.flatnonzero(~repeated[i, first : last + 1] | witness[i, first : last + 1])).tolist():
                     rows.append(i)
                     begins.append(at[i] - a)
@@ -333,9 +343,8 @@ def _parts(suffixes: DataFrame, partitions: int) -> DataFrame:
         found = [doc, mark, pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array([None] * len(row) if hashes is None else hashes, pa.binary()), known]
         return pa.RecordBatch.from_arrays(found, names=["doc_id", "print", "begin", "end", "window", "known"])
 
-    # equal suffixes are told apart by all their bytes, so that any number of them can be split
-    order = [F.expr("substring(bytes, low + 1)"), F.xxhash64("bytes")]
-    return map_arrow(suffixes.repartitionByRange(partitions, *order).sortWithinPartitions(*order), run, f"{COVER}, window binary, known boolean")
+    sorted_ = suffixes.repartitionByRange(partitions, "lead", "part").sortWithinPartitions("lead", "part")
+    return map_arrow(sorted_, run, f"{COVER}, window binary, known boolean")
 
 
 def covers(docs: DataFrame, space: Workspace) -> DataFrame:
