@@ -156,7 +156,7 @@ def test_private_aggregates(spark):
     found = {r.g: r.n for r in private_aggregate(df, "u", ["g"], 2.0, 1e-6, 2, {"n": ("count",)}, seed=3).collect()}
     # one unit's group stays hidden, the others are near the truth but not exact
     assert set(found) == {"a", "b"} and all(abs(n - 2000) < 60 for n in found.values())
-    bounded = private_aggregate(df, "u", ["g"], 1e12, 0.5, 1, {"n": ("count",), "s": ("sum", "x", 0, 1)}).collect()
+    bounded = private_aggregate(df, "u", ["g"], 1e12, 1.0, 1, {"n": ("count",), "s": ("sum", "x", 0, 1)}).collect()
     # each unit gives to one of its groups only
     assert sum(r.n for r in bounded) == 2001 and all(math.isclose(r.s, r.n, abs_tol=0.01) for r in bounded)
 
