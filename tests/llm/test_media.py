@@ -52,3 +52,27 @@ def test_query(spark, tmp_path):
     assert rows[1].tail_crc32 == zlib.crc32(b"abc".ljust(64, b"\0"))
     arrays = media.fingerprint_media(media.store_media(docs.limit(0)))
     assert arrays.collect() == []
+
+
+def test_repeated_and_missing_ids(spark):
+    """Rows with the same id, alike or not, and rows without one: each its own result; equal texts, equal values."""
+    import hashlib
+    import zlib
+
+    from lodestone.llm import media
+
+    rows = [(1, "a" * 70), (1, "a" * 70), (1, "b"), (None, "a" * 70), (None, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.mode("overwrite").parquet(f"{_folder(spark)}/documents.parquet")
+    found = media.op10_media(spark, _folder(spark)).collect()
+    assert len(found) == len(rows)
+    for text in {t for _, t in rows}:
+        payload = (text or "").encode()
+        payload += b"\0" * (64 - len(payload) % 64 if len(payload) % 64 or not payload else 0)
+        own = [r for r in found if r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.n_bytes == len((text or "").encode())]
+        assert len(own) >= sum(t == text for _, t in rows)
+        assert {(r.payload_bytes, r.tail_crc32) for r in own} == {(len(payload), zlib.crc32(payload[-64:]))} and len({(r.media_sha256, r.feature) for r in own}) == 1
+
+
+def _folder(spark):
+    return f"{spark.sparkContext.getCheckpointDir()}/odd-media"
