@@ -43,7 +43,8 @@ def tf_idf(df: DataFrame, key: str, tokens: Column, least_docs: int = 1) -> Data
     """(key, term, tf_idf): count / size * ln(1 + documents / (1 + document frequency)), of terms in least_docs documents."""
     n = df.agg(F.count(F.lit(1)).alias("n"))
     counts = term_counts(df, key, tokens)
-    frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least_docs)
+    # it reads the counts too, so that both sides need the same columns of one exchange
+    frequency = counts.groupBy("term").agg(F.count_if(F.col("count") > 0).alias("df")).filter(F.col("df") >= least_docs)
     # n is one row
     joined = counts.join(frequency, "term").join(F.broadcast(n))
     return joined.select(key, "term", (F.col("count") / F.col("size") * F.log(1 + F.col("n") / (1 + F.col("df")))).alias("tf_idf"))
