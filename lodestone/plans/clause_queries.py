@@ -95,3 +95,39 @@ def ks_statistic(spark, sf_dir):
 @register("correlation_matrix", "SELECT round(corr(l_quantity, l_extendedprice), 8) AS q_p, round(corr(l_discount, l_tax), 8) AS d_t FROM lineitem")
 def correlation_matrix(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 8).alias("q_p"), F.round(F.corr("l_discount", "l_tax"), 8).alias("d_t"))
+
+
+@register("listing_filter", """SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR starts_with(lower(o_orderpriority), '1-u')) AND o_totalprice >= 100000 AND o_orderpriority <> '5-LOW' AND NOT contains(lower(o_orderpriority), 'medium')
+  AND regexp_matches(o_orderpriority, '^[1-4]-[A-Z]') AND o_orderdate > TIMESTAMP '1998-01-01' - INTERVAL 1000 DAY""")
+def listing_filter(spark, sf_dir):
+    """All operators of a filter expression, with a duration before a fixed now."""
+    from lodestone.operators import listing
+
+    built = listing.build_filter({"o_orderstatus": "F"})
+    text = f"({built} OR o_orderpriority:1-u*) AND o_totalprice >= 100000 o_orderpriority!=5-LOW AND NOT o_orderpriority:medium AND o_orderpriority ~ \"^[1-4]-[A-Z]\" AND o_orderdate > -P1000D"
+    return listing.where(table(spark, sf_dir, "orders"), text, F.lit("1998-01-01").cast("timestamp")).select("o_orderkey")
+
+
+@register("listing_projection", """SELECT url AS "LINK", regexp_extract(url, '([^/]*)$', 1) AS "LAST", string_split(url, '/')[3] AS host, CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind FROM pages""")
+def listing_projection(spark, sf_dir):
+    from lodestone.operators import listing
+
+    pages = table(spark, sf_dir, "pages").withColumn("even", c("page_id") % 2 == 0)
+    return listing.project(pages, ["url:label=LINK:sort=-1", "url.basename():label=LAST", "url.segment(2):label=host", "even.yesno(yes=even, no=odd):label=kind"])
+
+
+@register("listing_flatten_formats", """SELECT n_nationkey || ',' || w AS line, 'n_nationkey,words' AS header FROM (SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS w FROM nation)
+  UNION ALL SELECT n_nationkey || chr(9) || w, NULL FROM (SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS w FROM nation)
+  UNION ALL SELECT '{"n_nationkey":' || n_nationkey || ',"words":"' || w || '"}', NULL FROM (SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS w FROM nation)
+  UNION ALL SELECT '- n_nationkey: ' || n_nationkey || chr(10) || '  words: ' || w, NULL FROM (SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS w FROM nation)
+  UNION ALL SELECT rpad(n_nationkey::VARCHAR, 11, ' ') || '  ' || lpad(w, (SELECT greatest(5, max(len(x)))::INT FROM (SELECT unnest(string_split(n_name, ' ')) AS x FROM nation)), ' '), 'n_nationkey  ' || lpad('words', (SELECT greatest(5, max(len(x)))::INT FROM (SELECT unnest(string_split(n_name, ' ')) AS x FROM nation)), ' ') FROM (SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS w FROM nation)""")
+def listing_flatten_formats(spark, sf_dir):
+    """An array flattened in its place, in all five formats."""
+    from lodestone.operators import listing
+
+    nested = table(spark, sf_dir, "nation").select("n_nationkey", F.split("n_name", " ").alias("words"))
+    flat, out = listing.flatten(nested, "words[]"), None
+    for kind in ("csv", "value", "json", "yaml", "table"):
+        part = listing.lines(flat, kind, ["left", "right"])
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -204,3 +204,23 @@ def test_entry_without_training_queries(monkeypatch):
     monkeypatch.setitem(sys.modules, "xxhash", None)
     monkeypatch.setitem(sys.modules, "lodestone.llm", None)
     assert "pivot" in entry.queries() and "op1_pitman_yor" not in entry.queries() and entry.oracle_sql()
+
+
+def test_listings(spark):
+    from lodestone.operators import listing
+
+    rows = [("web-1", [{"members": ["a", "b"], "role": "x"}], {"k": 1}), ("db", [{"members": ["c"], "role": "y"}], None)]
+    df = spark.createDataFrame(rows, "name string, bindings array<struct<members: array<string>, role: string>>, labels struct<k: int>")
+    names = lambda text: sorted(r.name for r in listing.where(df, text).collect())
+    assert names("name:WEB*") == ["web-1"] and names("name:b") == ["db", "web-1"] and names("") == ["db", "web-1"]
+    assert names("labels.k=1") == ["web-1"] and names("labels.k!=1") == ["db"] and names("bindings[0].role=y") == ["db"] and names("bindings.role=x") == ["web-1"]
+    for bad in ("name", "name=", "(name=a", "name=a)", "name<>a"):
+        with pytest.raises(ValueError):
+            listing.where(df, bad)
+    flat = listing.flatten(df, "bindings[].members[]")
+    found = listing.project(flat, ["name:sort=1", "bindings.role", "bindings.members:label=M"]).collect()
+    assert sorted(tuple(r) for r in found) == [("db", "y", "c"), ("web-1", "x", "a"), ("web-1", "x", "b")]
+    for bad in ("name.nothing()", "name:align=up"):
+        with pytest.raises(ValueError):
+            listing.shown(df, bad)
+    assert [r.NAME for r in listing.project(df, ["name.color(green=db)"]).collect()] == ["web-1", "\x1b[32mdb\x1b[39m"]
