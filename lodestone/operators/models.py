@@ -30,6 +30,9 @@ OPTIONS = {
     "l2_reg": "regParam", "l1_reg_share": "elasticNetParam", "max_iterations": "maxIter", "num_trees": "numTrees", "max_tree_depth": "maxDepth", "num_clusters": "k", "num_principal_components": "k",
     "num_factors": "rank", "seed": "seed", "subsample": "subsamplingRate", "learn_rate": "stepSize", "tolerance": "tol",
 }
+#: Classes of an input's values that trees choose thresholds from: an input of up to so many different values has a
+#: threshold between any two of them, as far as the learner's sample of BINS^2 rows has them.
+BINS = 256
 
 
 @dataclass
@@ -80,6 +83,8 @@ class Models:
         began, given = time.time(), {OPTIONS[k]: v for k, v in options.items() if k in OPTIONS}
         if unknown := options.keys() - OPTIONS.keys() - {"user", "item", "rating", "inputs"}:
             raise ValueError(f"there are no options {', '.join(sorted(unknown))}")
+        if "BOOSTED" in kind:
+            given["maxBins"] = BINS
         if kind == "MATRIX_FACTORIZATION":
             user, item, rating = options["user"], options["item"], options["rating"]
             als = ALS(userCol=user, itemCol=item, ratingCol=rating, coldStartStrategy="nan", nonnegative=False, **({"seed": 1} | given))
