@@ -83,7 +83,7 @@ class Models:
         began, given = time.time(), {OPTIONS[k]: v for k, v in options.items() if k in OPTIONS}
         if unknown := options.keys() - OPTIONS.keys() - {"user", "item", "rating", "inputs"}:
             raise ValueError(f"there are no options {', '.join(sorted(unknown))}")
-        if "BOOSTED" in kind:
+        if "FOREST" in kind or "BOOSTED" in kind:
             given["maxBins"] = BINS
         if kind == "MATRIX_FACTORIZATION":
             user, item, rating = options["user"], options["item"], options["rating"]

@@ -20,7 +20,7 @@ def analysed(df):
     return df._jdf.queryExecution().analyzed().toString()
 
 
-@pytest.mark.parametrize("kind,options", [("BOOSTED_TREE_CLASSIFIER", {"max_iterations": 1})])
+@pytest.mark.parametrize("kind,options", [("BOOSTED_TREE_CLASSIFIER", {"max_iterations": 1}), ("RANDOM_FOREST_CLASSIFIER", {"num_trees": 3})])
 def test_trees_have_a_threshold_between_any_two_of_fifty_values(spark, kind, options):
     cuts = [5, 19, 25, 40]
     wrong = []
