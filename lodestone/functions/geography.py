@@ -326,21 +326,37 @@ def st_closestpoint(points, p):
     return best["q"]
 
 
+def _let(x: Column, make) -> Column:
+    """make(x), with x worked out once however often make has it."""
+    return F.get(F.transform(F.array(x), make), F.lit(0))
+
+
 @function
 def st_lineinterpolatepoint(line, share):
     """The point at a share of a line's length, along great circles."""
-    line, share = col(line), col(share)
-    edges = F.transform(F.sequence(F.lit(1), F.size(line) - 1), lambda i: _angle(F.element_at(line, i), F.element_at(line, i + 1)))
-    wanted = F.aggregate(edges, F.lit(0.0), lambda s, v: s + v) * share
-    start = F.struct(F.lit(0).alias("i"), wanted.alias("left"), F.lit(False).alias("done"))
-    # the edge that the wanted length falls into, and what is left of it there
-    found = F.aggregate(edges, start, lambda s, v: F.when(s["done"], s).when(s["left"] <= v, F.struct((s["i"] + 1).alias("i"), s["left"].alias("left"), F.lit(True).alias("done"))).otherwise(F.struct((s["i"] + 1).alias("i"), (s["left"] - v).alias("left"), F.lit(False).alias("done"))))
-    a, b = _cartesian(F.element_at(line, found["i"])), _cartesian(F.element_at(line, F.least(found["i"] + 1, F.size(line))))
-    whole = F.element_at(edges, found["i"])
-    left = F.least(found["left"], whole)
-    p, q = F.sin(whole - left) / F.sin(whole), F.sin(left) / F.sin(whole)
-    made = _to_point(*(p * a[k] + q * b[k] for k in "xyz"))
-    return F.when(F.size(line) > 1, F.when(whole < 1e-15, F.element_at(line, found["i"])).otherwise(made))
+    share = col(share)
+
+    def edges(points: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(points) - 1), lambda i: _angle(F.element_at(points, i), F.element_at(points, i + 1)))
+
+    def edge(lengths: Column) -> Column:
+        """The edge that the wanted length falls into, and what is left of it there."""
+        wanted = F.aggregate(lengths, F.lit(0.0), lambda s, v: s + v) * share
+        start = F.struct(F.lit(0).alias("i"), wanted.alias("left"), F.lit(False).alias("done"))
+        return F.aggregate(lengths, start, lambda s, v: F.when(s["done"], s).when(s["left"] <= v, F.struct((s["i"] + 1).alias("i"), s["left"].alias("left"), F.lit(True).alias("done"))).otherwise(F.struct((s["i"] + 1).alias("i"), (s["left"] - v).alias("left"), F.lit(False).alias("done"))))
+
+    def ends(points: Column, lengths: Column, found: Column) -> Column:
+        whole = F.element_at(lengths, found["i"])
+        a, b = F.element_at(points, found["i"]), F.element_at(points, F.least(found["i"] + 1, F.size(points)))
+        return F.struct(a.alias("point"), _cartesian(a).alias("a"), _cartesian(b).alias("b"), whole.alias("whole"), F.least(found["left"], whole).alias("left"))
+
+    def between(e: Column) -> Column:
+        p, q = F.sin(e["whole"] - e["left"]) / F.sin(e["whole"]), F.sin(e["left"]) / F.sin(e["whole"])
+        made = _let(F.struct(*((p * e["a"][k] + q * e["b"][k]).alias(k) for k in "xyz")), lambda v: _to_point(v["x"], v["y"], v["z"]))
+        return F.when(e["whole"] < 1e-15, e["point"]).otherwise(made)
+
+    made = _let(col(line), lambda points: _let(edges(points), lambda lengths: _let(edge(lengths), lambda found: _let(ends(points, lengths, found), between))))
+    return F.when(F.size(col(line)) > 1, made)
 
 
 @function

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import geography as G
 from lodestone.functions import library as L
 
-from .catalogue import register, table
+from .catalogue import register, spread, table
 
 _LNG, _LAT = "((c_custkey * 37) % 359 - 179.5)", "((c_custkey * 17) % 170 - 84.5)"
 _HAVERSINE = "2 * 6371010.0 * asin(sqrt(least(1.0, pow(sin(radians({d} - {b}) / 2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin(radians({c} - {a}) / 2), 2))))"
@@ -16,7 +16,7 @@ _HAVERSINE = "2 * 6371010.0 * asin(sqrt(least(1.0, pow(sin(radians({d} - {b}) /
 def _points(spark, sf_dir):
     k = F.col("c_custkey")
     p = G.st_geogpoint((k * 37) % 359 - 179.5, (k * 17) % 170 - 84.5)
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", p.alias("p"), G.st_geogpoint(F.lit(13.4), F.lit(52.5)).alias("q"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")).select("c_custkey", "c_nationkey", p.alias("p"), G.st_geogpoint(F.lit(13.4), F.lit(52.5)).alias("q"))
 
 
 @register(
@@ -95,8 +95,8 @@ def geo_hashes(spark, sf_dir):
 )
 def geo_along(spark, sf_dir):
     line = F.array("p", "q")
-    middle = G.st_lineinterpolatepoint(line, F.lit(0.5))
-    return _points(spark, sf_dir).select(
+    middle = F.col("middle_")
+    return _points(spark, sf_dir).withColumn("middle_", G.st_lineinterpolatepoint(line, F.lit(0.5))).select(
         "c_custkey", F.round(G.st_distance("p", middle) / 1000, 2).alias("half_way"), (F.abs(G.st_distance("p", middle) - G.st_distance(middle, "q")) < 1).alias("middle"),
         F.round(G.st_maxdistance(F.array("p"), line) / 1000, 2).alias("farthest"), (G.st_closestpoint(line, "q") == F.col("q")).alias("closest"), G.st_isclosed(line).alias("closed"),
         G.st_intersectsbox("p", F.lit(170.0), F.lit(-90.0), F.lit(-100.0), F.lit(90.0)).alias("in_box"),

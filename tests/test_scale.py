@@ -30,3 +30,11 @@ def test_trees_have_a_threshold_between_any_two_of_fifty_values(spark, kind, opt
         models.create("m", kind, rows, "size", seed=3, inputs=["q"], max_tree_depth=1, **options)
         wrong += [k for r in models.evaluate("m", rows).collect() if r.accuracy < 1]
     assert wrong == []
+
+
+def test_points_along_lines_need_no_plan_that_multiplies(spark):
+    line = spark.createDataFrame([([(0.0, 0.0), (10.0, 0.0), (10.0, 30.0)],), ([(5.0, 5.0), (5.0, 5.0)],), ([(5.0, 5.0)],)], "l array<struct<lng: double, lat: double>>")
+    made = line.select(G.st_lineinterpolatepoint("l", F.lit(0.5)).alias("m"))
+    first, second, third = (r.m for r in made.collect())
+    assert abs(first.lng - 10) < 1e-9 and abs(first.lat - 10) < 1e-9 and tuple(second) == (5.0, 5.0) and third is None
+    assert analysed(made).count("asin") < 5
