@@ -399,31 +399,41 @@ def _halvings(x: Column, low: float, high: float, bits: int) -> Column:
     return F.least(F.floor((x - low) / (high - low) * (1 << bits)), F.lit((1 << bits) - 1)).cast("long")
 
 
+# The digits of base 32 as conv writes them.
+BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+
+
+def _spread(x: Column) -> Column:
+    """A number's bits at every other place: its binary digits read in base 4."""
+    return F.conv(F.bin(x), 4, 10).cast("long")
+
+
 @function
 def st_geohash(p, length: int = 12):
     """The geohash of a point, of up to 12 characters."""
     p, bits = col(p), 5 * length
     lng, lat = _halvings(p["lng"], -180.0, 180.0, (bits + 1) // 2), _halvings(p["lat"], -90.0, 90.0, bits // 2)
-    digits = []
-    for i in range(length):
-        value = F.lit(0).cast("long")
-        for k in range(5):
-            at = 5 * i + k
-            source, place = (lng, (bits + 1) // 2 - 1 - at // 2) if at % 2 == 0 else (lat, bits // 2 - 1 - at // 2)
-            value = value * 2 + F.shiftright(source, place).bitwiseAND(F.lit(1))
-        digits.append(F.substr(F.lit(GEOHASH), (value + 1).cast("int"), F.lit(1)))
-    return F.concat(*digits)
+    # the first bit is the longitude's
+    code = _spread(lng) + _spread(lat) * 2 if bits % 2 else _spread(lng) * 2 + _spread(lat)
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 32), length, "0"), BASE32, GEOHASH)
 
 
 @function
 def st_geogpointfromgeohash(text):
-    """The middle of a geohash's cell."""
-    text = F.lower(col(text))
-    bits = F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.lpad(F.bin(F.instr(F.lit(GEOHASH), c) - 1), 5, "0")), "")
-    n = F.char_length(bits)
-    pick = lambda odd: F.array_join(F.transform(F.filter(F.sequence(F.lit(1), n), lambda i: i % 2 == (0 if odd else 1)), lambda i: F.substr(bits, i.cast("int"), F.lit(1))), "")
+    """The middle of a geohash's cell; what follows 24 characters is below a double's precision."""
+
+    def pairs(part: Column) -> Column:
+        """Digits of base 4: a longitude's bit and a latitude's, with a latitude's to spare where bits are odd."""
+        n = F.char_length(part)
+        bits = F.concat(F.lpad(F.conv(part, 32, 2), n * 5, F.lit("0")), F.repeat(F.lit("0"), n % 2))
+        return F.when(n > 0, F.lpad(F.conv(bits, 2, 4), F.ceil(n * 5 / 2).cast("int"), F.lit("0"))).otherwise("")
+
+    # another character counts as the last digit
+    digits = F.translate(F.regexp_replace(F.lower(col(text)), "[^0-9b-hjkmnp-z]", "z"), GEOHASH, BASE32)
+    found = F.concat(pairs(F.substr(digits, F.lit(1), F.lit(12))), pairs(F.substr(digits, F.lit(13), F.lit(12))))
+    lats = F.floor(F.least(F.char_length(digits), F.lit(24)) * 5 / 2).cast("int")
     place = lambda b, low, high: low + (high - low) * (F.conv(b, 2, 10).cast("double") + 0.5) / F.pow(F.lit(2.0), F.char_length(b))
-    return F.struct(place(pick(False), -180.0, 180.0).alias("lng"), place(pick(True), -90.0, 90.0).alias("lat"))
+    return F.struct(place(F.translate(found, "0123", "0011"), -180.0, 180.0).alias("lng"), place(F.left(F.translate(found, "0123", "0101"), lats), -90.0, 90.0).alias("lat"))
 
 
 def _inside(ring: Column, p: Column) -> Column:

@@ -32,6 +32,30 @@ def test_trees_have_a_threshold_between_any_two_of_fifty_values(spark, kind, opt
     assert wrong == []
 
 
+def test_geohashes_and_back_against_halving(spark):
+    def halved(lng, lat, length):
+        boxes, bits = [[-180.0, 180.0], [-90.0, 90.0]], ""
+        for i in range(5 * length):
+            box, x = boxes[i % 2], (lng, lat)[i % 2]
+            middle = sum(box) / 2
+            bits += "1" if x >= middle else "0"
+            box[0 if x >= middle else 1] = middle
+        return "".join(G.GEOHASH[int(bits[i : i + 5], 2)] for i in range(0, len(bits), 5)), sum(boxes[0]) / 2, sum(boxes[1]) / 2
+
+    draw = random.Random(5)
+    points = [(draw.uniform(-180, 180), draw.uniform(-90, 90)) for _ in range(50)] + [(-180.0, -90.0), (0.0, 0.0), (179.999999, 89.999999)]
+    rows = spark.createDataFrame(points, "lng double, lat double").select(F.struct("lng", "lat").alias("p"))
+    for length in (1, 2, 5, 11, 12):
+        hashed = rows.select("p", G.st_geohash("p", length).alias("h"))
+        for r in hashed.select("p", "h", G.st_geogpointfromgeohash("h").alias("b")).collect():
+            want, lng, lat = halved(r.p.lng, r.p.lat, length)
+            assert r.h == want and abs(r.b.lng - lng) < 1e-9 and abs(r.b.lat - lat) < 1e-9
+    long = spark.createDataFrame([("u33dc0cppu33dc",), ("u33dc0cppu33dc0cppu33dc0cpp",)], "h string").select(G.st_geogpointfromgeohash("h").alias("b")).collect()
+    assert all(abs(r.b.lng - 13.405) < 1e-4 and abs(r.b.lat - 52.52) < 1e-4 for r in long)
+    plan = analysed(rows.select(G.st_geogpointfromgeohash(G.st_geohash("p", 12))))
+    assert plan.count("p#") < 100
+
+
 def test_points_along_lines_need_no_plan_that_multiplies(spark):
     line = spark.createDataFrame([([(0.0, 0.0), (10.0, 0.0), (10.0, 30.0)],), ([(5.0, 5.0), (5.0, 5.0)],), ([(5.0, 5.0)],)], "l array<struct<lng: double, lat: double>>")
     made = line.select(G.st_lineinterpolatepoint("l", F.lit(0.5)).alias("m"))
