@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FUNCTIONS: dict[str, Callable[..., Column]] = {}
@@ -672,6 +672,28 @@ def string_agg(x, delimiter: str = ",", distinct: bool = False, order=(), limit:
     return F.when(F.size(found) > 0, F.array_join(found, delimiter))
 
 
+def value_runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """By keys, `runs`: a group's values in their order as an array of (value, n), equal ones as one entry of n.
+
+    It stands for array_agg(value, order=[value]) where a group has many rows and few different values: counted by
+    two groupings, no row of it is held one by one.
+    """
+    counted = df.groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("runs"))
+
+
+def runs_size(runs) -> Column:
+    """How many values runs stand for, nulls included."""
+    return F.aggregate(col(runs), F.lit(0).cast("long"), lambda s, r: s + r["n"])
+
+
+def runs_string(runs, delimiter: str = ",") -> Column:
+    """string_agg(value, delimiter, order=[value]) of runs."""
+    kept = F.filter(col(runs), lambda r: r["value"].isNotNull())
+    text = lambda r: F.concat(F.repeat(F.concat(r["value"], F.lit(delimiter)), (r["n"] - 1).cast("int")), r["value"])
+    return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, text), delimiter))
+
+
 @function
 def array_concat_agg(x, order=(), limit: int | None = None):
     """Null arrays are skipped; null for no rows."""

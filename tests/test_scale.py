@@ -62,3 +62,15 @@ def test_points_along_lines_need_no_plan_that_multiplies(spark):
     first, second, third = (r.m for r in made.collect())
     assert abs(first.lng - 10) < 1e-9 and abs(first.lat - 10) < 1e-9 and tuple(second) == (5.0, 5.0) and third is None
     assert analysed(made).count("asin") < 5
+
+
+def test_runs_stand_for_ordered_values(spark):
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (1, None), (None, "x"), (2, None)], "k int, v string")
+    found = L.value_runs(rows, ["k"], "v").select("k", L.runs_size("runs").alias("n"), L.runs_string("runs", "|").alias("t")).collect()
+    gathered = rows.groupBy("k").agg(F.size(L.array_agg("v")).alias("n"), L.string_agg("v", "|", order=["v"]).alias("t")).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, gathered), key=repr) == [(1, 4, "a|b|b"), (2, 1, None), (None, 1, "x")]
+
+
+def test_fn_aggregate_gathers_counts_and_no_rows(spark):
+    plan = entry.queries()["fn_aggregate"](spark, str(DATA / "sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and not any("collect_list" in line and "l_linestatus" in line.split("Aggregate", 1)[-1] for line in plan.splitlines())
