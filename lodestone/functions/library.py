@@ -402,13 +402,15 @@ def to_hex(x):
 @function
 def to_code_points(x):
     """Of a text its code points, none for the empty one."""
-    parts = F.filter(F.split(col(x), ""), lambda c: c != "")
-    return F.transform(parts, lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long"))
+    parts = F.regexp_extract_all(F.hex(F.encode(col(x), "UTF-32")), F.lit(".{8}"), F.lit(0))
+    return F.transform(parts, lambda c: F.conv(c, 16, 10).cast("long"))
 
 
 @function
 def code_points_to_string(x):
-    return F.array_join(F.transform(col(x), lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")), "")
+    # decoding takes a first U+FEFF for a mark; this one goes instead of a text's own
+    digits = F.array_join(F.transform(col(x), lambda c: F.lpad(F.hex(c), 8, "0")), "")
+    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), digits)), "UTF-32")
 
 
 @function

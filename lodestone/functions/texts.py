@@ -45,24 +45,32 @@ def normalize_and_casefold(x, mode: str = "NFC"):
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
+#: The same digits as conv writes them.
+PLAIN32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+
+
+def _chunks(x, width: int, source: int, target: int, digits: int):
+    """Digits of base `source`, converted `width` at a time to `digits` of base `target`; x is filled up with zeros."""
+    parts = F.regexp_extract_all(F.concat(x, F.repeat(F.lit("0"), F.pmod(-F.char_length(x), F.lit(width)))), F.lit(f".{{{width}}}"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.lpad(F.conv(p, source, target), digits, "0")), "")
+
+
 @function
 def to_base32(x):
     """Bytes in groups of five bits, filled up with = to a multiple of eight."""
     x = col(x)
-    bits = F.array_join(F.transform(F.sequence(F.lit(1), F.octet_length(x)), lambda i: F.lpad(F.conv(F.hex(F.substr(x, i, F.lit(1))), 16, 2), 8, "0")), "")
     groups = F.ceil(F.octet_length(x) * 8 / 5).cast("int")
-    digit = lambda i: F.substr(F.lit(BASE32), F.conv(F.rpad(F.substr(bits, i * 5 + 1, F.lit(5)), 5, "0"), 2, 10).cast("int") + 1, F.lit(1))
-    made = F.array_join(F.transform(F.sequence(F.lit(0), groups - 1), digit), "")
-    return F.when(F.octet_length(x) == 0, "").otherwise(F.rpad(made, (F.ceil(groups / 8) * 8).cast("int"), F.lit("=")))
+    made = F.translate(F.left(_chunks(F.hex(x), 10, 16, 32, 8), groups), PLAIN32, BASE32)
+    return F.rpad(made, (F.ceil(groups / 8) * 8).cast("int"), F.lit("="))
 
 
 @function
 def from_base32(x):
     x = F.rtrim(col(x), F.lit("="))
-    bits = F.array_join(F.transform(F.filter(F.split(x, ""), lambda c: c != ""), lambda c: F.lpad(F.conv((F.instr(F.lit(BASE32), c) - 1).cast("string"), 10, 2), 5, "0")), "")
+    # another character counts as the last digit
+    digits = F.translate(F.regexp_replace(x, "[^A-Z2-7]", "7"), BASE32, PLAIN32)
     n = F.floor(F.char_length(x) * 5 / 8).cast("int")
-    byte = lambda i: F.lpad(F.conv(F.substr(bits, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")
-    return F.when(n == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), byte), "")))
+    return F.unhex(F.left(_chunks(digits, 8, 32, 16, 10), n * 2))
 
 
 @function

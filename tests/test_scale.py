@@ -64,6 +64,24 @@ def test_points_along_lines_need_no_plan_that_multiplies(spark):
     assert analysed(made).count("asin") < 5
 
 
+def test_base_32_and_code_points_of_long_texts(spark):
+    draw = random.Random(7)
+    known = [(bytes(draw.randrange(256) for _ in range(n)),) for n in (*range(12), 3_000)]
+    rows = spark.createDataFrame(known, "x binary").select("x", X.to_base32("x").alias("t"))
+    for r in rows.select("x", "t", X.from_base32("t").alias("b")).collect():
+        assert r.t == base64.b32encode(r.x).decode() and bytes(r.b) == bytes(r.x)
+    assert analysed(rows.select(X.from_base32(X.to_base32("x")))).count("x#") < 40
+    # U+FEFF is a character like others, at any place
+    texts = spark.createDataFrame([("﻿a﻿😀",), ("",), (None,)], "x string")
+    found = texts.select("x", L.to_code_points("x").alias("p"), L.code_points_to_string(L.to_code_points("x")).alias("y")).collect()
+    assert [r.p for r in found] == [[0xFEFF, 97, 0xFEFF, 0x1F600], [], None] and [r.y for r in found] == [r.x for r in found]
+
+
+def test_small_files_are_dealt_to_all_cores(spark):
+    for name in ("fn_text_more", "geo_hashes", "geo_along"):
+        assert "RoundRobinPartitioning" in entry.queries()[name](spark, str(DATA / "sf0.001"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_runs_stand_for_ordered_values(spark):
     rows = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (1, None), (None, "x"), (2, None)], "k int, v string")
     found = L.value_runs(rows, ["k"], "v").select("k", L.runs_size("runs").alias("n"), L.runs_string("runs", "|").alias("t")).collect()
