@@ -67,6 +67,17 @@ def _features(df: DataFrame, inputs: Sequence[str]) -> tuple[list, list[str], Da
     return [*stages, VectorAssembler(inputCols=columns, outputCol="__features", handleInvalid="keep")], columns, df
 
 
+def _weighted(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
+    """Equal rows of inputs as one, with their number as __weight; learners that sum over rows find the same."""
+    return df.groupBy(*inputs).agg(F.count(F.lit(1)).cast("double").alias("__weight"))
+
+
+def _plain(df: DataFrame, inputs: Sequence[str]) -> bool:
+    """Whether all inputs are numbers."""
+    kinds = dict(df.dtypes)
+    return all(kinds[n] != "string" and not kinds[n].startswith("array") for n in inputs)
+
+
 class Models:
     """The models of a session, by name."""
 
@@ -103,12 +114,16 @@ class Models:
                 whole = whole.withColumn("__label", F.col(label).cast("double"))
                 stages += [REGRESSORS[kind](featuresCol="__features", labelCol="__label", **given)]
             elif kind == "KMEANS":
-                stages += [KMeans(featuresCol="__features", **({"seed": 1} | given))]
+                stages += [KMeans(featuresCol="__features", weightCol="__weight", **({"seed": 1} | given))]
             elif kind == "PCA":
                 stages += [PCA(inputCol="__features", outputCol="__components", **given)]
             elif kind != "TRANSFORM_ONLY":
                 raise ValueError(f"there is no model type {kind}")
-            made.stages = Pipeline(stages=stages).fit(whole)
+            fitted = whole
+            if kind == "KMEANS":
+                # the index of texts goes by their frequency in rows
+                fitted = _features(_weighted(whole, inputs), inputs)[2] if _plain(whole, inputs) else whole.withColumn("__weight", F.lit(1.0))
+            made.stages = Pipeline(stages=stages).fit(fitted)
             numbers = [c for c, t in rows.dtypes if c in inputs and t not in ("string",) and not t.startswith("array")]
             if numbers:
                 row = whole.agg(*(F.avg(c).alias(f"a_{c}") for c in numbers), *(F.stddev_samp(c).alias(f"s_{c}") for c in numbers)).first()
@@ -177,8 +192,8 @@ class Models:
             scored = self.predict(name, rows).filter(y.isNotNull() & ~F.isnan(p))
             return scored.agg(F.avg(F.abs(y - p)).alias("mean_absolute_error"), F.avg((y - p) ** 2).alias("mean_squared_error"), F.median(F.abs(y - p)).alias("median_absolute_error"), (1 - F.sum((y - p) ** 2) / (F.var_pop(y) * F.count(y))).alias("r2_score"))
         if model.kind == "KMEANS":
-            made = self._applied(name, rows)
-            index = ClusteringEvaluator(featuresCol="__features").evaluate(made)
+            made = self._applied(name, _weighted(rows, model.inputs))
+            index = ClusteringEvaluator(featuresCol="__features", weightCol="__weight").evaluate(made)
             return self.spark.createDataFrame([(float(index), float(model.learner.summary.trainingCost))], "silhouette double, training_cost double")
         if model.kind == "PCA":
             return self.spark.createDataFrame([(float(sum(model.learner.explainedVariance)),)], "total_explained_variance_ratio double")
@@ -243,17 +258,25 @@ class Models:
     def detect_anomalies(self, name: str, rows: DataFrame, contamination: float) -> DataFrame:
         """rows with their distance from the nearest centroid, or from what the components keep, and whether it is in the top share."""
         model = self._model(name, "KMEANS", "PCA")
-        x = vector_to_array("__features")
-        made = self._applied(name, rows).withColumn("__x", x)
-        if model.kind == "KMEANS":
-            centres = F.array(*(F.array(*(F.lit(float(v)) for v in c)) for c in model.learner.clusterCenters()))
-            near = F.element_at(centres, F.col("prediction") + 1)
-        else:
-            near = self._rebuilt(model)
-        apart = F.sqrt(F.aggregate(F.zip_with("__x", near, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-        scored = made.withColumn("distance", apart).select(*rows.columns, "distance")
-        bar = scored.agg(F.percentile("distance", 1 - contamination).alias("bar"))
-        return scored.crossJoin(F.broadcast(bar)).withColumn("is_anomaly", F.col("distance") > F.col("bar")).drop("bar")
+
+        def scored(df: DataFrame) -> DataFrame:
+            if model.kind == "KMEANS" and _plain(df, model.inputs):
+                # the nearest centroid's distance in generated code; a null counts as not a number
+                xs = [F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(float("nan"))) for n in model.inputs]
+                squares = [sum(((x - F.lit(float(v))) * (x - F.lit(float(v))) for x, v in zip(xs, c)), F.lit(0.0)) for c in model.learner.clusterCenters()]
+                return df.withColumn("distance", F.sqrt(F.least(*squares) if len(squares) > 1 else squares[0]))
+            made = self._applied(name, df).withColumn("__x", vector_to_array("__features"))
+            if model.kind == "KMEANS":
+                centres = F.array(*(F.array(*(F.lit(float(v)) for v in c)) for c in model.learner.clusterCenters()))
+                near = F.element_at(centres, F.col("prediction") + 1)
+            else:
+                near = self._rebuilt(model)
+            apart = F.sqrt(F.aggregate(F.zip_with("__x", near, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+            return made.withColumn("distance", apart).select(*df.columns, "distance")
+
+        each = scored(_weighted(rows, model.inputs)).groupBy("distance").agg(F.sum("__weight").cast("long").alias("n"))
+        bar = each.agg(F.percentile("distance", 1 - contamination, F.col("n")).alias("bar"))
+        return scored(rows).crossJoin(F.broadcast(bar)).withColumn("is_anomaly", F.col("distance") > F.col("bar")).drop("bar")
 
     def _rebuilt(self, model: Model):
         """What the kept components give back of a row."""

@@ -92,3 +92,21 @@ def test_runs_stand_for_ordered_values(spark):
 def test_fn_aggregate_gathers_counts_and_no_rows(spark):
     plan = entry.queries()["fn_aggregate"](spark, str(DATA / "sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" in plan and not any("collect_list" in line and "l_linestatus" in line.split("Aggregate", 1)[-1] for line in plan.splitlines())
+
+
+def test_equal_rows_are_one_to_clusters_and_anomalies(spark):
+    few = [(float(v), float(v % 3)) for v in (*range(10), *range(100, 110))]
+    rows = spark.createDataFrame([r for i, r in enumerate(few) for _ in range(1 + i % 4)] + [(500.0, 1.0)], "a double, b double")
+    models = Models(spark)
+    made = models.create("m", "KMEANS", rows, num_clusters=3, seed=5)
+    # the learner has seen each different row once
+    assert made.learner.summary.predictions.count() == len(few) + 1
+    centres = sorted(tuple(map(float, v)) for v in made.learner.clusterCenters())
+    plain = rows.toPandas()
+    want = sorted(tuple(plain[(plain.a >= low) & (plain.a < high)].mean()) for low, high in ((0, 50), (50, 200), (200, 600)))
+    assert all(abs(x - y) < 1e-9 for g, w in zip(centres, want) for x, y in zip(g, w))
+    marked = models.detect_anomalies("m", rows, 0.1).collect()
+    near = [min(((r.a - x) ** 2 + (r.b - y) ** 2) ** 0.5 for x, y in centres) for r in marked]
+    bar = sorted(near)[int((len(near) - 1) * 0.9)], sorted(near)[-(-(len(near) - 1) * 9 // 10)]
+    assert len(marked) == rows.count() and all(abs(r.distance - d) < 1e-9 for r, d in zip(marked, near))
+    assert all(r.is_anomaly for r in marked if r.distance > bar[1] + 1e-9) and not any(r.is_anomaly for r in marked if r.distance < bar[0] - 1e-9)
