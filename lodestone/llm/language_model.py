@@ -26,11 +26,11 @@ doc_id and text are left alone, whatever their names.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import seating
-from .arrow import map_arrow, release_memory, slices, text_bytes
+from .arrow import map_arrow, release_memory, slices
 from .workspace import Workspace, documents
 
 FOLDS, CLASSES, ADDED = 10, 512, 0.1
@@ -61,6 +61,26 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts, words of each text), as tokens() has them, but with empty words beside white space at a text's ends. Null: empty."""
+    large = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    lower = pc.ascii_lower(texts.view(pa.large_string() if large else pa.string()).fill_null(""))
+    found = pc.ascii_split_whitespace(lower)
+    return found.flatten(), pc.list_value_length(found).to_numpy(zero_copy_only=False)
+
+
+def numbered(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(different tokens as they come, numbers of all texts' tokens, tokens of each text) of what split_words() gave."""
+    coded = pa.chunked_array([words for words, _ in parts]).dictionary_encode().combine_chunks()
+    words, flat = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    # the end takes the number of the empty word
+    end = words.index(b"") if b"" in words else len(words)
+    words[end : end + 1] = [END]
+    real = flat != end
+    ends = np.r_[0, np.cumsum(real, dtype=np.int32)][np.cumsum(np.concatenate([n for _, n in parts]))]
+    return words, np.insert(flat[real], ends, end), np.diff(ends, prepend=0).astype(np.int32) + 1
+
+
 def word_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % CLASSES
 
@@ -107,6 +127,15 @@ def long_floats(flat: np.ndarray) -> np.ndarray:
     return whole.reshape(-1).view("<f4").astype(np.float64)
 
 
+def hash_order(hashed: np.ndarray) -> np.ndarray:
+    """The places of different hashes in ascending order."""
+    low = np.uint64((1 << len(hashed).bit_length()) - 1)
+    # the place stands in the low bits; hashes that the high ones don't tell apart are rare
+    order = (np.sort(hashed & ~low | np.arange(len(hashed), dtype=np.uint64)) & low).astype(np.int64)
+    found = hashed[order]
+    return order if (found[1:] > found[:-1]).all() else np.argsort(hashed, kind="stable")
+
+
 def bucket_of(hashed: np.ndarray, buckets: int) -> np.ndarray:
     """Ascending with the hash."""
     return ((hashed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -159,19 +188,18 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         part, number, size, ids, texts = TaskContext.get().partitionId(), 0, 0, [], []
-        words: defaultdict = defaultdict()
-        words.default_factory = words.__len__
 
         def flush() -> pa.RecordBatch:
+            # words are numbered as they come, so that frequent ones have small numbers
+            words, flat, lengths = numbered(texts)
+            texts.clear()
             hashed = hashes_of(words)
-            order = np.argsort(hashed)
+            order = hash_order(hashed)
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order), dtype=np.int32)
-            # words are numbered as they come, so that frequent ones have small numbers
-            flat, lengths = np.concatenate(texts), np.array([len(t) for t in texts], np.int32)
             train = np.repeat([not held_out(i) for i in ids], lengths)
             count = np.bincount(rank[flat[train]], minlength=len(order)).astype(np.uint32)
-            by_appearance, hashed, kinds = hashed, hashed[order], np.fromiter(map(word_class, words), np.int16)
+            by_appearance, hashed, kinds = hashed, hashed[order], np.fromiter(map(word_class, words), np.int16, len(words))
             known = np.array([i is not None for i in ids])
             block = part << 24 | number
             rows = [message(block, BLOCK, 0, np.array([i or 0 for i in ids], np.int64), known, lengths, flat, by_appearance, kinds)]
@@ -179,29 +207,33 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
             return _batch(rows)
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))):
-                if size and size + len(text) > BLOCK_BYTES:
+            doc_ids, column = batch.column("doc_id").to_pylist(), batch.column("text")
+            first = 0
+            for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+                if size and size + n > BLOCK_BYTES:
+                    if i > first:
+                        texts.append(split_words(column.slice(first, i - first)))
+                        ids += doc_ids[first:i]
                     yield flush()
-                    number, size, ids, texts = number + 1, 0, [], []
-                    words.clear()
-                size += len(text) + 1
-                ids.append(doc_id)
-                texts.append(np.array(list(map(words.__getitem__, tokens(text))), np.int32))
+                    number, size, ids, first = number + 1, 0, [], i
+                size += n + 1
+            texts.append(split_words(column.slice(first)))
+            ids += doc_ids[first:]
         if texts:
             yield flush()
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, MESSAGE)
 
 
-def part_names(context: int, part: np.ndarray) -> np.ndarray:
+def part_names(context: int | np.ndarray, part: np.ndarray) -> np.ndarray:
     """The hashes that parts of a split context go by."""
-    return (np.array([context], np.uint64) ^ (part.astype(np.uint64) + np.uint64(1)) * _ODD) * _ODD
+    return (np.atleast_1d(np.asarray(context, np.uint64)) ^ (part.astype(np.uint64) + np.uint64(1)) * _ODD) * _ODD
 
 
 def opened_block(body: bytes) -> list[np.ndarray]:
     """(ids, whether there is one, lengths, words by number, hashes, classes); numbers are the hashes' order."""
     ids, known, lengths, flat, hashed, kinds = unpacked(body)
-    order = np.argsort(hashed)
+    order = hash_order(hashed)
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     return [ids, known, lengths, rank[flat], hashed[order], kinds[order]]
@@ -213,44 +245,68 @@ class Pairs:
     def __init__(self, arrays: list[np.ndarray], split: dict[int, int]):
         ids, known, lengths, flat, hashed, kinds = arrays
         starts = np.cumsum(lengths) - lengths
-        # the beginning is a word of its own, after the others
-        width = len(hashed) + 1
-        before = np.r_[len(hashed), flat[:-1]].astype(np.int64) if len(flat) else flat.astype(np.int64)
-        before[starts] = len(hashed)
+        # contexts are numbered by hash, as words are; the beginning is a word of its own among them
+        begin = int(np.searchsorted(hashed, hashes_of([BEGINNING])[0]))
+        contexts = np.insert(hashed, begin, hashes_of([BEGINNING]))
+        classes = np.insert(kinds.astype(np.int16), begin, word_class(BEGINNING))
+        before = np.empty(len(flat), np.int32)
+        before[1:] = flat[:-1] + (flat[:-1] >= begin)
+        before[starts] = begin
+        width = max(1, len(hashed))
+        key, order = seating.ordered(before * np.int64(width) + flat, len(contexts) * width)
+        head = np.ones(len(key), bool)
+        np.not_equal(key[1:], key[:-1], out=head[1:])
+        del key
+        first = order[head]
+        context, word = before[first], flat[first]
+        del before, first
+        place = np.empty(len(flat), np.int32)
+        place[order] = np.cumsum(head, dtype=np.int32) - 1
+        del order, head
         train = np.repeat([k and not held_out(int(i)) for i, k in zip(ids, known)], lengths)
-        pair, place = np.unique(before * width + flat, return_inverse=True)
-        count = np.bincount(place[train], minlength=len(pair))
-        context, word = np.divmod(pair, width)
-        context_hash = np.append(hashed, hashes_of([BEGINNING]))
-        room, kind = context_hash[context], np.append(kinds, word_class(BEGINNING))[context].astype(np.int16)
-        many = np.flatnonzero(np.isin(context_hash, np.array(list(split), np.uint64))) if split else []
-        for c in many:
-            own = slice(*np.searchsorted(context, [c, c + 1]))
-            part = bucket_of(hashed[word[own]] * _ODD, split[int(context_hash[c])])
-            room[own] = part_names(int(context_hash[c]), part)
-            kind[own] = seating.SPLIT
-        # words are numbered by hash, so within a context this is the words' order
-        order = np.lexsort((word, room))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.place = rank[place]
-        self.word, self.count, self.hashed = word[order], count[order].astype(np.uint32), hashed
-        room, kind = room[order], kind[order]
-        self.heads = np.flatnonzero(np.r_[True, room[1:] != room[:-1]]) if len(room) else np.empty(0, np.int64)
-        self.rooms, self.kinds = room[self.heads], kind[self.heads]
-        self.runs = np.diff(np.r_[self.heads, len(room)]).astype(np.uint32)
+        count = np.bincount(place[train], minlength=len(word)).astype(np.uint32)
+        # runs of pairs with one context, or one part of it; words are numbered by hash, so their order is the words'
+        new = np.r_[True, context[1:] != context[:-1]][: len(context)]
+        parts = np.zeros(len(contexts), np.uint64)
+        if split:
+            many = np.flatnonzero(np.isin(contexts, np.array(list(split), np.uint64)))
+            parts[many] = [split[c] for c in contexts[many].tolist()]
+        own = np.flatnonzero(parts[context])
+        part = bucket_of(hashed[word[own]] * _ODD, parts[context[own]])
+        moved = np.arange(len(word))
+        if len(own):
+            dealt = np.lexsort((part, context[own]))
+            moved[own], part = own[dealt], part[dealt]
+            new[own[1:]] |= part[1:] != part[:-1]
+        self.heads = np.flatnonzero(new)
+        self.rooms, self.kinds = contexts[context[self.heads]], classes[context[self.heads]]
+        at = np.searchsorted(self.heads, own[new[own]])
+        self.rooms[at], self.kinds[at] = part_names(self.rooms[at], part[new[own]]), seating.SPLIT
+        self.runs = np.diff(np.r_[self.heads, len(word)])
+        if len(own):
+            runs = np.argsort(self.rooms)
+            self.rooms, self.kinds, self.runs, from_ = self.rooms[runs], self.kinds[runs], self.runs[runs], self.heads[runs]
+            self.heads = np.cumsum(self.runs) - self.runs
+            moved = moved[np.repeat(from_ - self.heads, self.runs) + np.arange(len(word))]
+            rank = np.empty(len(moved), np.int32)
+            rank[moved] = np.arange(len(moved), dtype=np.int32)
+            place, word, count = rank[place], word[moved], count[moved]
+        self.runs = self.runs.astype(np.uint32)
+        self.place, self.word, self.count, self.hashed = place, word, count, hashed
 
 
 def _pairs(blocks: DataFrame, buckets: int, split: dict[int, int]) -> DataFrame:
     def run(block, kind, origin, body):
         own = Pairs(opened_block(body), split)
-        ends = np.append(own.heads, len(own.word))
+        ends, number = np.append(own.heads, len(own.word)), np.empty(len(own.hashed), np.uint32)
         rows = []
         for b, i, j in ranges(own.rooms, buckets):
             pairs = slice(ends[i], ends[j])
             # the words once, then their places
-            words = np.unique(own.word[pairs])
-            place = np.searchsorted(words, own.word[pairs]).astype(np.uint32)
+            words = np.sort(own.word[pairs])
+            words = words[np.r_[True, words[1:] != words[:-1]]]
+            number[words] = np.arange(len(words), dtype=np.uint32)
+            place = number[own.word[pairs]]
             rows.append(message(b, PAIRS, block, own.rooms[i:j], own.kinds[i:j], own.runs[i:j], own.hashed[words], place, own.count[pairs]))
         return rows
 
@@ -290,23 +346,38 @@ def _cells(pairs: DataFrame, buckets: int) -> DataFrame:
     """CELLS: a bucket's contexts and the training counts of their words; TABLES: a table for each class and word."""
 
     def run(place, messages):
-        parts = [unpacked(body) for _, _, body in messages]
-        rooms, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
-        kinds = np.concatenate([p[1] for p in parts])[first]
-        room, word, count = [], [], []
-        for own, _, runs, words, at, n in parts:
-            seen = n > 0
-            room.append(np.repeat(np.searchsorted(rooms, own), runs)[seen])
-            word.append(words[at[seen]])
-            count.append(n[seen])
-        del parts
-        room, word, count = (np.concatenate(v) for v in (room, word, count))
-        dishes, word = np.unique(word, return_inverse=True)
-        key, at = np.unique(room * max(1, len(dishes)) + word, return_inverse=True)
-        total = np.bincount(at, count, len(key)).astype(np.int64)
-        room, dish = np.divmod(key, max(1, len(dishes)))
-        used, room = np.unique(room, return_inverse=True)
-        bodies = rooms[used], kinds[used], np.bincount(room, minlength=len(used)).astype(np.uint32), dishes, dish.astype(np.int32), total
+        rooms, kinds, dishes, parts = [], [], [], []
+        for _, _, body in messages:
+            own, classes, runs, words, at, n = unpacked(body)
+            # only what training documents have: the words, the contexts and their pairs
+            seen = np.flatnonzero(n)
+            used = np.zeros(len(words), bool)
+            used[at[seen]] = True
+            room = np.repeat(np.arange(len(own), dtype=np.int32), runs)[seen]
+            there = np.zeros(len(own), bool)
+            there[room] = True
+            rooms.append(own[there])
+            kinds.append(classes[there])
+            dishes.append(words[used])
+            parts.append(((np.cumsum(there, dtype=np.int32) - 1)[room], (np.cumsum(used, dtype=np.int32) - 1)[at[seen]], n[seen]))
+        own, words = rooms, dishes
+        rooms, first = np.unique(np.concatenate(own), return_index=True)
+        kinds, dishes = np.concatenate(kinds)[first], np.unique(np.concatenate(words))
+        width = max(1, len(dishes))
+        keys, counts = [], []
+        for a, w in zip(own, words):
+            room, dish, n = parts.pop(0)
+            keys.append(np.searchsorted(rooms, a)[room] * width + np.searchsorted(dishes, w)[dish])
+            counts.append(n)
+        key, order = seating.ordered(np.concatenate(keys), len(rooms) * width)
+        del keys, own, words
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), heads) if len(heads) else np.empty(0, np.int64)
+        del counts, order
+        room, dish = np.divmod(key[heads], width)
+        del key
+        bodies = rooms, kinds, np.bincount(room, minlength=len(rooms)).astype(np.uint32), dishes, dish.astype(np.int32), total
+        del room, dish
         made = seating.Restaurants(_bucket(bodies, {}))
         return [message(place, CELLS, 0, *bodies), *_tables(place, made, dishes, buckets)]
 
@@ -316,13 +387,13 @@ def _cells(pairs: DataFrame, buckets: int) -> DataFrame:
 def _bucket(arrays: list[np.ndarray], whole: dict[int, tuple[int, int]]) -> seating.Bucket:
     """whole: customers and cells in all parts of each split context, by part."""
     rooms, kinds, runs, dishes, dish, count = arrays
-    room = np.repeat(np.arange(len(rooms)), runs)
+    room = np.repeat(np.arange(len(rooms), dtype=np.int32), runs)
     customers, cells = np.bincount(room, count, len(rooms)), np.asarray(runs, float)
     scale = np.ones(len(rooms))
     for i in np.flatnonzero(kinds == seating.SPLIT):
         if (known := whole.get(int(rooms[i]))) is not None:
             customers[i], scale[i] = known[0], known[1] / cells[i]
-    return seating.Bucket(room, dish.astype(np.int64), count, kinds.astype(np.int64), customers, scale, len(dishes))
+    return seating.Bucket(room, dish, count, kinds.astype(np.int64), customers, scale, len(dishes))
 
 
 def _tables(place: int, made: seating.Restaurants, dishes: np.ndarray, buckets: int) -> list[tuple]:

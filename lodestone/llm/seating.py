@@ -20,11 +20,11 @@ their own tables as their share of the whole's, and have the root as parent.
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
-STRENGTH, SMALL = 1.0, 128
+STRENGTH, SMALL, CHUNK = 1.0, 128, 1 << 13
 STEP, GROWTH, SETTLED, MOST_SWEEPS = 16, 1.15, 0.005, 24
 BURN, KEPT, ROUNDS = 4, 4, 4
 
@@ -77,6 +77,7 @@ class Level:
         self.rooms, self.room, self.dish, self.d, self.fixed, self.scale = rooms, room, dish, d, fixed, scale
         self.c = np.zeros(len(room), np.int64)
         self.t = np.zeros(len(room), np.int64)
+        self._of, self._plan = None, ()
 
     def tables(self) -> np.ndarray:
         return (self.fixed + np.bincount(self.room, self.t, self.rooms)) * self.scale
@@ -92,38 +93,69 @@ class Level:
         here = self.t.copy()
         top = int(c.max(initial=1))
         sizes = np.unique(np.r_[(GROWTH ** np.arange(int(np.log(top) / np.log(GROWTH)) + 1)).astype(np.int64), top])
+        tables, scale = self.fixed + np.bincount(self.room, self.t, self.rooms), np.broadcast_to(self.scale, self.rooms)
+        order = np.argsort(-c, kind="stable")
+        falling = -c[order]
         for size in sizes:
-            come = (c * (size / top)).astype(np.int64) if size < top else c
-            live = np.flatnonzero(come > here)
-            group, t, tables = come[live] - here[live], self.t[live], self.tables()
-            fresh = (STRENGTH + self.d * tables[self.room[live]]) * parent[live]
-            stay = np.maximum(here[live] + (group - 1) / 2 - self.d * t, 1e-12)
-            self.t[live] = t + rng.binomial(group, fresh / (fresh + stay))
-            here[live] = come[live]
+            # cells of which a second customer has come by now
+            those = order[: np.searchsorted(falling, -2 * (1 - 1e-9) * top / size, "right")]
+            come = (c[those] * (size / top)).astype(np.int64) if size < top else c[those]
+            more = come > here[those]
+            live, come = those[more], come[more]
+            room, old, t = self.room[live], here[live], self.t[live]
+            group = come - old
+            fresh = (STRENGTH + self.d * tables[room] * scale[room]) * parent[live]
+            stay = np.maximum(old + (group - 1) / 2 - self.d * t, 1e-12)
+            new = rng.binomial(group, fresh / (fresh + stay))
+            self.t[live] = t + new
+            np.add.at(tables, room, new)
+            here[live] = come
+
+    def _moving(self) -> tuple:
+        """What moves() needs of the customers, which sweeps change on level 1 only."""
+        if self._of is not self.c:
+            live, still = np.flatnonzero(self.c > 1), np.flatnonzero(self.c <= 1)
+            fixed = self.fixed + np.bincount(self.room[still], self.t[still], self.rooms)
+            # cells are taken in chunks that a processor's cache holds
+            whole, chunks = self.c[live].astype(float), []
+            for i in range(0, len(live), CHUNK):
+                c = whole[i : i + CHUNK]
+                big, lots = np.flatnonzero(c > SMALL), np.flatnonzero(c >= 2 * STEP)
+                chunks.append((slice(i, i + CHUNK), c, np.minimum(c, SMALL) * (SMALL + 1), big, lots, (c[lots] // STEP).astype(np.int64)))
+            self._of, self._plan = self.c, (live, self.room[live], fixed, chunks)
+        return self._plan
 
     def moves(self, parent: np.ndarray, rng: np.random.Generator, rounds: int) -> None:
         """parent: P(dish | parent) of each cell."""
-        live = np.flatnonzero(self.c > 1)
-        c, room, low = self.c[live], self.room[live], parent[live]
-        d = round(self.d, 3)
-        small, table = c <= SMALL, alone(d)
-        big = np.flatnonzero(~small)
-        many = np.maximum(1, c // STEP)
-        lots = np.flatnonzero(many > 1)
+        live, room, fixed, chunks = self._moving()
+        low, t, table, d = parent[live], self.t[live].astype(float), alone(round(self.d, 3)).ravel(), round(self.d, 3)
         for _ in range(rounds):
-            t = self.t[live]
-            tables = self.tables()
-            p = table[np.minimum(c, SMALL), np.minimum(t, SMALL)]
-            p[big] = alone_of_many(c[big], t[big], d)
-            gone = ((rng.random(len(t)) < p) & (t > 1)).astype(np.int64)
-            gone[lots] = np.minimum(rng.binomial(many[lots], np.clip(p[lots], 0, 1)), t[lots] - 1)
-            # of several moves, each sees the tables without its own customer's
-            left = t - np.where(many > 1, p, gone)
-            fresh = (STRENGTH + self.d * (tables[room] - (t - left))) * low
-            opens = fresh / (fresh + np.maximum(c - 1 - self.d * left, 1e-12))
-            new = (rng.random(len(t)) < opens).astype(np.int64)
-            new[lots] = rng.binomial(many[lots], opens[lots])
-            self.t[live] = np.clip(t - gone + new, 1, c)
+            # all chunks see the tables as they were before the round
+            tables = (fixed + np.bincount(room, t, self.rooms)) * self.scale
+            for own, c, row, big, lots, many in chunks:
+                before = t[own]
+                p = table.take((row + np.minimum(before, SMALL)).astype(np.intp))
+                p[big] = alone_of_many(c[big], before[big], d)
+                # nobody sits alone at a cell's only table: p is 0 there
+                gone = (rng.random(len(c)) < p).astype(float)
+                # of several moves, each sees the tables without its own customer's
+                gone[lots] = p[lots]
+                left = before - gone
+                fresh = tables.take(room[own])
+                fresh -= gone
+                fresh *= self.d
+                fresh += STRENGTH
+                fresh *= low[own]
+                stay = c - 1 - self.d * left
+                stay = np.maximum(stay, 1e-12, out=stay)
+                stay += fresh
+                left += rng.random(len(c)) * stay < fresh
+                if len(lots):
+                    t_lots = before[lots]
+                    out = np.minimum(rng.binomial(many, np.clip(p[lots], 0, 1)), t_lots - 1)
+                    left[lots] = t_lots - out + rng.binomial(many, fresh[lots] / stay[lots])
+                np.minimum(left, c, out=before)
+        self.t[live] = t
 
 
 @dataclass
@@ -146,65 +178,95 @@ class Bucket:
 SPLIT = -1
 
 
+@dataclass
+class Samples:
+    """Sums over samples, and what pairs that no training document has need of each.
+
+    seen: the share of each cell of level 2, with its class's; rest: the share of the root by context; back, own1 and
+    back1: the parent's share by context, each cell's share in level 1, the root's share by class.
+    """
+
+    seen: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    back: list[np.ndarray] = field(default_factory=list)
+    own1: list[np.ndarray] = field(default_factory=list)
+    back1: list[np.ndarray] = field(default_factory=list)
+
+
 class Restaurants:
-    """Both levels of a bucket. Cells of one customer never move: their tables are counted once."""
+    """Both levels of a bucket. Cells of one customer never move: their tables are counted once, and only the others
+    (live, live1) have a state; c1, t1 and t2 are of all cells."""
 
     def __init__(self, bucket: Bucket):
         self.bucket = bucket
         rooms = len(bucket.class_of)
         self.live = np.flatnonzero(bucket.count > 1)
         single = bucket.count == 1
-        d2 = discount(bucket.count)
-        self.two = Level(rooms, bucket.room[self.live], bucket.dish[self.live], d2, np.bincount(bucket.room[single], minlength=rooms).astype(float), bucket.scale)
+        fixed = np.bincount(bucket.room[single], minlength=rooms).astype(float)
+        self.two = Level(rooms, bucket.room[self.live].astype(np.intp), bucket.dish[self.live].astype(np.intp), discount(bucket.count), fixed, bucket.scale)
         # cells of level 1: each class and dish that a context of the class has
-        kinds = bucket.class_of[bucket.room]
         self.classes, number = np.unique(bucket.class_of[bucket.class_of != SPLIT], return_inverse=True)
         self.class_number = np.full(rooms, -1)
         self.class_number[bucket.class_of != SPLIT] = number
-        inner = kinds != SPLIT
-        key = self.class_number[bucket.room[inner]] * bucket.dishes + bucket.dish[inner]
-        self.cells, where = np.unique(key, return_inverse=True)
-        self.up = np.full(len(kinds), -1)
+        inner = np.flatnonzero(self.class_number[bucket.room] >= 0)
+        self.cells, where = distinct(self.class_number[bucket.room[inner]] * bucket.dishes + bucket.dish[inner], len(self.classes) * bucket.dishes)
+        self.up = np.full(len(bucket.room), -1, np.int32)
         self.up[inner] = where
-        self.cell_class, self.cell_dish = self.cells // bucket.dishes, self.cells % bucket.dishes
-        self.single = np.bincount(self.up[inner & single], minlength=len(self.cells))
-        tokens = np.bincount(where, bucket.count[inner], len(self.cells))
+        del where
+        tokens = np.bincount(self.up[inner], bucket.count[inner], len(self.cells))
         self.live1 = np.flatnonzero(tokens > 1)
-        lone = np.bincount(self.cell_class[tokens == 1], minlength=len(self.classes)).astype(float)
-        self.one = Level(len(self.classes), self.cell_class[self.live1], self.cell_dish[self.live1], discount(np.bincount(where, minlength=len(self.cells))), lone)
-        self.up_live = self.up[self.live]
-        self.c1, self.t1 = np.ones(len(self.cells), np.int64), np.ones(len(self.cells), np.int64)
-        self.t2 = np.ones(len(kinds), np.int64)
+        lone = np.bincount(self.cells[tokens == 1] // max(1, bucket.dishes), minlength=len(self.classes)).astype(float)
+        del tokens
+        classes, dishes = np.divmod(self.cells[self.live1], max(1, bucket.dishes))
+        children = np.bincount(self.up[inner], minlength=len(self.cells))
+        self.one = Level(len(self.classes), classes, dishes, discount(children), lone)
+        del children
+        self.single1 = np.bincount(self.up[inner][single[inner]], minlength=len(self.cells))[self.live1]
+        # what of the live cells of level 2 has a parent, and its place among the live ones of level 1
+        parent = self.up[self.live]
+        self.inner = np.flatnonzero(parent >= 0)
+        self.parent = np.searchsorted(self.live1, parent[self.inner])
+        self.class_of_live = classes[self.parent]
+
+    @property
+    def c1(self) -> np.ndarray:
+        return _but_ones(len(self.cells), self.live1, self.one.c)
+
+    @property
+    def t1(self) -> np.ndarray:
+        return _but_ones(len(self.cells), self.live1, self.one.t)
+
+    @property
+    def t2(self) -> np.ndarray:
+        return _but_ones(len(self.up), self.live, self.two.t)
 
     def _customers(self) -> np.ndarray:
         """Of level 1: the tables of level 2."""
-        inner = self.up_live >= 0
-        self.c1 = self.single + np.bincount(self.up_live[inner], self.two.t[inner], len(self.cells)).astype(np.int64)
-        return self.c1[self.live1]
+        return self.single1 + np.bincount(self.parent, self.two.t[self.inner], len(self.live1)).astype(np.int64)
 
-    def _class_share(self) -> tuple[np.ndarray, np.ndarray]:
-        """(share of a class's own tables in each cell of level 1, share of its parent by class)."""
-        self.t1[self.live1] = self.one.t
-        whole = STRENGTH + np.bincount(self.cell_class, self.c1, len(self.classes))
-        return (self.c1 - self.one.d * self.t1) / whole[self.cell_class], (STRENGTH + self.one.d * self.one.tables()) / whole
+    def _class_share(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(share of a class's own tables in each live cell of level 1, share of its parent by class, customers by class)."""
+        one = self.one
+        whole = STRENGTH + one.fixed + np.bincount(one.room, one.c, one.rooms)
+        return (one.c - one.d * one.t) / whole[one.room], (STRENGTH + one.d * one.tables()) / whole, whole
 
     def _parent(self, prior: np.ndarray) -> np.ndarray:
-        """P(dish | parent) of the cells of level 2 that move."""
-        own, rest = self._class_share()
-        given, inner = prior[self.two.dish].copy(), self.up_live >= 0
-        cell = self.up_live[inner]
-        given[inner] = own[cell] + rest[self.cell_class[cell]] * given[inner]
+        """P(dish | parent) of the cells of level 2 that move; prior: P(dish | root) of these."""
+        own, rest, _ = self._class_share()
+        given = prior.copy()
+        given[self.inner] = own[self.parent] + rest[self.class_of_live] * given[self.inner]
         return given
 
-    def sweeps(self, prior: np.ndarray, seed: int, keep: int = 0, burn: int = BURN, most: int = MOST_SWEEPS, rounds: int = ROUNDS) -> list[tuple]:
-        """Sweeps until the tables have settled; then `keep` samples, as share() takes them. prior: P(dish | root)."""
+    def sweeps(self, prior: np.ndarray, seed: int, keep: int = 0, burn: int = BURN, most: int = MOST_SWEEPS, rounds: int = ROUNDS) -> Samples:
+        """Sweeps until the tables have settled; then `keep` samples, as shares() takes them. prior: P(dish | root)."""
         rng = np.random.default_rng(seed)
-        low = prior[self.one.dish]
-        self.two.begin(self.bucket.count[self.live], prior[self.two.dish], rng)
+        low, given = prior[self.one.dish], prior[self.two.dish]
+        self.two.begin(self.bucket.count[self.live], given, rng)
         self.one.begin(self._customers(), low, rng)
-        sweep, before, end, kept = 0, None, None, []
+        sweep, before, end = 0, None, None
+        kept = Samples(np.zeros(len(self.up)), np.zeros(len(self.bucket.class_of))) if keep else Samples()
         while end is None or sweep < end:
-            self.two.moves(self._parent(prior), rng, rounds)
+            self.two.moves(self._parent(given), rng, rounds)
             self.one.seat(self._customers())
             self.one.moves(low, rng, rounds)
             after = np.array([self.two.t.sum(), self.one.t.sum()])
@@ -213,44 +275,102 @@ class Restaurants:
             if end is None and (sweep >= burn - 1 and settled or sweep >= most):
                 end = sweep + 1 + keep
             elif end is not None:
-                kept.append(self._sample())
+                self._add(kept, self._sample())
             sweep += 1
         return kept
 
     def _sample(self) -> tuple:
-        """(share of own tables by cell of level 2, share of the parent by context, the same of level 1)."""
-        self.t2[self.live] = self.two.t
-        whole = STRENGTH + self.bucket.customers
-        own = (self.bucket.count - self.two.d * self.t2) / whole[self.bucket.room]
-        return own, (STRENGTH + self.two.d * self.two.tables()) / whole, *self._class_share()
+        """(share of own tables by live cell of level 2, share of the parent by context, the same of level 1, by cell and class)."""
+        two, whole = self.two, STRENGTH + self.bucket.customers
+        own = (two.c - two.d * two.t) / whole[two.room]
+        live1, back1, whole1 = self._class_share()
+        own1 = ((1 - self.one.d) / whole1)[self.cells // max(1, self.bucket.dishes)]
+        own1[self.live1] = live1
+        return own, (STRENGTH + two.d * two.tables()) / whole, own1, back1
+
+    def _add(self, kept: Samples, sample: tuple) -> None:
+        own, back, own1, back1 = sample
+        alone = (1 - self.two.d) / (STRENGTH + self.bucket.customers)
+        # 0 stands for a cell of level 1 that isn't there, 1 for the share that a context without a class passes on
+        above, passed = np.append(own1, 0), np.append(back1, 1)
+        for i in range(0, len(self.up), 32 * CHUNK):
+            part = slice(i, i + 32 * CHUNK)
+            room = self.bucket.room[part]
+            kept.seen[part] += back[room] * above[self.up[part]] + np.where(self.bucket.count[part] == 1, alone[room], 0)
+        kept.seen[self.live] += own
+        kept.rest += back * passed[self.class_number]
+        kept.back.append(back)
+        kept.own1.append(own1.astype(np.float32))
+        kept.back1.append(back1)
 
     def sent_up(self) -> np.ndarray:
         """The root's customers by dish: tables of classes and of split contexts."""
-        self.t2[self.live] = self.two.t if len(self.live) and self.two.t.any() else 1
-        self.t1[self.live1] = self.one.t if len(self.live1) and self.one.t.any() else 1
-        split = self.up < 0
-        up = np.bincount(self.cell_dish, self.t1, self.bucket.dishes) + np.bincount(self.bucket.dish[split], self.t2[split], self.bucket.dishes)
+        split, dishes = np.flatnonzero(self.up < 0), self.bucket.dishes
+        up = np.bincount(self.cells % max(1, dishes), self.t1, dishes)
+        if len(split):
+            up += np.bincount(self.bucket.dish[split], self.t2[split], dishes)
         return up.astype(np.int64)
 
-    def shares(self, kept: list[tuple], room: np.ndarray, kind: np.ndarray, dish: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @functools.cached_property
+    def _keys(self) -> np.ndarray:
+        return self.bucket.room * np.int64(self.bucket.dishes) + self.bucket.dish
+
+    def shares(self, kept: Samples, room: np.ndarray, kind: np.ndarray, dish: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Averages over samples for pairs: P = share + rest * P(dish | root).
 
         room: numbers of contexts, -1 of unknown ones; kind: their classes; then for each pair the place of its
         context in these (at) and its dish, -1 of unknown ones. rest comes by context.
         """
-        place = np.minimum(np.searchsorted(self.classes, kind), max(0, len(self.classes) - 1))
-        number = np.where((self.classes[place] == kind) & (kind != SPLIT), place, -1) if len(self.classes) else np.full(len(kind), -1)
-        own_key = self.bucket.room * self.bucket.dishes + self.bucket.dish
-        cell = _found(own_key, np.where(dish >= 0, room[at] * self.bucket.dishes + dish, -1))
-        cell[room[at] < 0] = -1
-        up = _found(self.cells, np.where(dish >= 0, number[at] * self.bucket.dishes + dish, -1))
-        up[number[at] < 0] = -1
-        share, rest = np.zeros(len(at)), np.zeros(len(room))
-        for own, back, own1, back1 in kept:
-            down = np.where(room >= 0, np.append(back, 0)[room], 1.0)
-            share += np.append(own, 0)[cell] + down[at] * np.append(own1, 0)[up]
-            rest += down * np.where(number >= 0, np.append(back1, 0)[number], 1.0)
-        return share / len(kept), rest / len(kept)
+        number, n = _found(self.classes, kind), len(kept.back)
+        number[kind == SPLIT] = -1
+        share, dishes = np.zeros(len(at)), self.bucket.dishes
+        known = np.flatnonzero((dish >= 0) & (room[at] >= 0))
+        cell = _found(self._keys, room[at[known]] * np.int64(dishes) + dish[known])
+        share[known[cell >= 0]] = kept.seen[cell[cell >= 0]]
+        # pairs that no training document has: only their class may know the dish
+        missing = (dish >= 0) & (number[at] >= 0)
+        missing[known[cell >= 0]] = False
+        missing = np.flatnonzero(missing)
+        up = _found(self.cells, number[at[missing]] * np.int64(dishes) + dish[missing])
+        missing, up = missing[up >= 0], up[up >= 0]
+        above = room[at[missing]]
+        rest = np.full(len(room), float(n))
+        rest[number >= 0] = sum(kept.back1)[number[number >= 0]]
+        rest[room >= 0] = kept.rest[room[room >= 0]]
+        for back, own1 in zip(kept.back, kept.own1):
+            share[missing] += np.append(back, 1)[above] * own1[up]
+        return share / n, rest / n
+
+
+def _but_ones(n: int, live: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """1 for each cell but the live ones, which have their values once they are seated."""
+    out = np.ones(n, np.int64)
+    if values.any():
+        out[live] = values
+    return out
+
+
+def ordered(keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, their places before) of keys from 0 to top; equal keys stay in order."""
+    bits = len(keys).bit_length()
+    if int(top).bit_length() + bits > 62:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    # the place stands below the key, so that a plain sort will do
+    both = keys.astype(np.int64) << bits
+    both |= np.arange(len(keys))
+    both.sort()
+    return both >> bits, both & ((1 << bits) - 1)
+
+
+def distinct(keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the different keys in order, the place of each key among these) of keys from 0 to top."""
+    keys, order = ordered(keys, top)
+    head = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=head[1:])
+    where = np.empty(len(keys), np.int32)
+    where[order] = np.cumsum(head, dtype=np.int32) - 1
+    return keys[head], where
 
 
 def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:

@@ -1,8 +1,10 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from lodestone.llm import language_model as lm
 from lodestone.llm import seating
@@ -224,3 +226,59 @@ def test_very_long_text_and_only_held_out(spark):
     assert {r.doc_id: r.n_tokens for r in found} == {1: 400_001, 2: 3}
     only = lm.score_documents(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in only) == [(1, 0, 0, 0.0, 0.0), (3, 0, 0, 0.0, 0.0)]
+
+
+def test_memory_of_a_bucket():
+    """What sampling and answering take at most, for each cell; 201 bytes when every cell had a state."""
+    rng = np.random.default_rng(12)
+    room, dish = np.divmod(np.unique(np.minimum(rng.zipf(1.3, 300_000), 30_000) * 40_000 + rng.integers(0, 40_000, 300_000)), 40_000)
+    used, room = np.unique(room, return_inverse=True)
+    count, kinds = np.minimum(rng.zipf(2.5, len(room)), 10_000), rng.integers(0, 500, len(used))
+    body = [used.astype(np.uint64), kinds.astype(np.int16), np.bincount(room).astype(np.uint32), np.arange(40_000, dtype=np.uint64), dish.astype(np.int32), count]
+    prior = rng.dirichlet(np.ones(40_001))[:-1]
+    seating.alone(0.5)
+    tracemalloc.start()
+    made = seating.Restaurants(lm._bucket(body, {}))
+    kept = made.sweeps(prior, 3, keep=4)
+    rooms = np.arange(len(used))
+    for part in np.array_split(np.arange(len(room)), 20):
+        share, rest = made.shares(kept, rooms, kinds, dish[part].astype(np.int64), room[part])
+        assert (share > 0).all() and (rest <= 1).all()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 160 * len(room), most / len(room)
+
+
+def test_words_are_split_at_the_same_bytes():
+    """Blocks' tokens by Arrow against tokens(): white space of other kinds, bytes that are no UTF-8, nulls, parts of arrays."""
+    rng = random.Random(1)
+    some = [9, 10, 11, 12, 13, 32, 0, 28, 31, 65, 90, 97, 122, 0xC3, 0x80, 0xA0, 0x85, 0xFF]
+    for _ in range(200):
+        raw = [None if rng.random() < 0.05 else bytes(rng.choices(some, k=rng.randrange(25))) for _ in range(rng.randrange(1, 9))]
+        for texts in (pa.array(raw, pa.binary()), pa.array([b"x", *raw], pa.binary()).view(pa.string()).slice(1), pa.array(raw, pa.large_binary())):
+            words, flat, lengths = lm.numbered([lm.split_words(texts.slice(0, 1)), lm.split_words(texts.slice(1))])
+            own = np.split(flat, np.cumsum(lengths)[:-1])
+            assert [[words[i] for i in x] for x in own] == [lm.tokens(x or b"") for x in raw] and len(set(words)) == len(words)
+
+
+def test_pairs_of_a_block():
+    """Pairs against plain counting, in the order of their hashes, with split contexts, the beginning among them."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(rng.randrange(40))) for _ in range(200)]
+    words, flat, lengths = lm.numbered([lm.split_words(pa.array(texts))])
+    hashed, kinds = lm.hashes_of(words), np.array([lm.word_class(w) for w in words], np.int16)
+    body = lm.packed(np.arange(200), np.ones(200, bool), lengths, flat, hashed, kinds)
+    number = lambda w: int(lm.hashes_of([w])[0])
+    own = [[lm.BEGINNING, *lm.tokens(t.encode())] for t in texts]
+    want = Counter((number(a), number(b)) for i, t in enumerate(own) if not lm.held_out(i) for a, b in zip(t[:-1], t[1:]))
+    for split in ({}, {number(b"w1"): 3, number(b"w2"): 1, number(lm.BEGINNING): 4, 17: 2}):
+        found = lm.Pairs(lm.opened_block(body), split)
+        name = {a: a for a in map(number, {w for t in own for w in t})}
+        for a, parts in split.items():
+            name |= dict.fromkeys(lm.part_names(a, np.arange(parts)).tolist(), a)
+        room, at = np.repeat(found.rooms, found.runs), found.hashed[found.word]
+        assert (np.diff(found.rooms.astype(object)) > 0).all() and (np.lexsort((at, room)) == np.arange(len(at))).all()
+        assert {(name[a], b): n for a, b, n in zip(room.tolist(), at.tolist(), found.count.tolist()) if n} == want
+        assert ((found.kinds == seating.SPLIT) == [name[a] in split for a in found.rooms.tolist()]).all()
+        pairs = [(number(a), number(b)) for t in own for a, b in zip(t[:-1], t[1:])]
+        assert [(name[int(room[i])], int(at[i])) for i in found.place] == pairs
