@@ -127,6 +127,12 @@ def long_floats(flat: np.ndarray) -> np.ndarray:
     return whole.reshape(-1).view("<f4").astype(np.float64)
 
 
+def different(values: np.ndarray) -> np.ndarray:
+    """In ascending order."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]][: len(values)]]
+
+
 def hash_order(hashed: np.ndarray) -> np.ndarray:
     """The places of different hashes in ascending order."""
     low = np.uint64((1 << len(hashed).bit_length()) - 1)
@@ -171,12 +177,12 @@ def _messages(df: DataFrame, function) -> DataFrame:
 
 
 def _gathered(df: DataFrame, function, schema: str = MESSAGE) -> DataFrame:
-    """The answers of all messages to a place together; function takes (place, (kind, origin) and body, in order)."""
+    """The answers of all messages to a place together; function takes (place, kind, origin and body of each, in order)."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds, origins, body = table.column("kind").to_pylist(), table.column("origin").to_pylist(), table.column("body")
         order = sorted(range(len(kinds)), key=lambda i: (kinds[i], origins[i]))
-        found = function(table.column("place")[0].as_py(), ((kinds[i], origins[i], body[i].as_py()) for i in order))
+        found = function(table.column("place")[0].as_py(), ((kinds[i], origins[i], body[i].as_buffer()) for i in order))
         release_memory()
         return found if isinstance(found, pa.Table) else pa.Table.from_batches([_batch(found)])
 
@@ -303,8 +309,7 @@ def _pairs(blocks: DataFrame, buckets: int, split: dict[int, int]) -> DataFrame:
         for b, i, j in ranges(own.rooms, buckets):
             pairs = slice(ends[i], ends[j])
             # the words once, then their places
-            words = np.sort(own.word[pairs])
-            words = words[np.r_[True, words[1:] != words[:-1]]]
+            words = different(own.word[pairs])
             number[words] = np.arange(len(words), dtype=np.uint32)
             place = number[own.word[pairs]]
             rows.append(message(b, PAIRS, block, own.rooms[i:j], own.kinds[i:j], own.runs[i:j], own.hashed[words], place, own.count[pairs]))
@@ -362,24 +367,26 @@ def _cells(pairs: DataFrame, buckets: int) -> DataFrame:
             parts.append(((np.cumsum(there, dtype=np.int32) - 1)[room], (np.cumsum(used, dtype=np.int32) - 1)[at[seen]], n[seen]))
         own, words = rooms, dishes
         rooms, first = np.unique(np.concatenate(own), return_index=True)
-        kinds, dishes = np.concatenate(kinds)[first], np.unique(np.concatenate(words))
-        width = max(1, len(dishes))
-        keys, counts = [], []
-        for a, w in zip(own, words):
-            room, dish, n = parts.pop(0)
-            keys.append(np.searchsorted(rooms, a)[room] * width + np.searchsorted(dishes, w)[dish])
-            counts.append(n)
-        key, order = seating.ordered(np.concatenate(keys), len(rooms) * width)
-        del keys, own, words
-        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-        total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), heads) if len(heads) else np.empty(0, np.int64)
-        del counts, order
-        room, dish = np.divmod(key[heads], width)
+        kinds, dishes = np.concatenate(kinds)[first], different(np.concatenate(words))
+        width, counts = max(1, len(dishes)), np.concatenate([n for _, _, n in parts])
+        key, end = np.empty(len(counts), np.int64), 0
+        for i, (a, w) in enumerate(zip(own, words)):
+            room, dish, n = parts[i]
+            parts[i], end = None, end + len(n)
+            key[end - len(n) : end] = np.searchsorted(rooms, a)[room] * width + np.searchsorted(dishes, w)[dish]
+        key, order = seating.ordered(key, len(rooms) * width)
+        head = np.ones(len(key), bool)
+        np.not_equal(key[1:], key[:-1], out=head[1:])
+        counts, heads, key = counts[order], np.flatnonzero(head), key[head]
+        del order, head
+        total = np.add.reduceat(counts, heads, dtype=np.int64) if len(heads) else np.empty(0, np.int64)
+        del counts, heads
+        room, dish = np.divmod(key, width)
         del key
         bodies = rooms, kinds, np.bincount(room, minlength=len(rooms)).astype(np.uint32), dishes, dish.astype(np.int32), total
         del room, dish
-        made = seating.Restaurants(_bucket(bodies, {}))
-        return [message(place, CELLS, 0, *bodies), *_tables(place, made, dishes, buckets)]
+        own = _bucket(bodies, {})
+        return [message(place, CELLS, 0, *bodies), *_tables(place, own, seating.first_tables(own), dishes, buckets)]
 
     return _gathered(pairs, run)
 
@@ -396,10 +403,9 @@ def _bucket(arrays: list[np.ndarray], whole: dict[int, tuple[int, int]]) -> seat
     return seating.Bucket(room, dish, count, kinds.astype(np.int64), customers, scale, len(dishes))
 
 
-def _tables(place: int, made: seating.Restaurants, dishes: np.ndarray, buckets: int) -> list[tuple]:
+def _tables(place: int, own: seating.Bucket, up: np.ndarray, dishes: np.ndarray, buckets: int) -> list[tuple]:
     """TABLES messages to the buckets of words; need: words that can move, whose probabilities are asked for."""
-    up = made.sent_up()
-    need = np.bincount(made.bucket.dish, made.bucket.count, len(dishes)) > 1
+    need = np.bincount(own.dish, own.count, len(dishes)) > 1
     return [message(b, TABLES, place, dishes[i:j], up[i:j], need[i:j], n=int(up[i:j].sum())) for b, i, j in ranges(dishes, buckets)]
 
 
@@ -484,7 +490,7 @@ def _resampled(messages: DataFrame, buckets: int, whole: dict) -> DataFrame:
         cells, prior, _ = _opened(messages)
         made = seating.Restaurants(_bucket(cells, whole))
         made.sweeps(prior, place)
-        return _tables(place, made, cells[3], buckets)
+        return _tables(place, made.bucket, made.sent_up(), cells[3], buckets)
 
     return _gathered(messages, run)
 
@@ -497,6 +503,8 @@ def _answers(messages: DataFrame, whole: dict) -> DataFrame:
         rooms, _, _, dishes, _, _ = cells
         made = seating.Restaurants(_bucket(cells, whole))
         kept = made.sweeps(prior, place + (1 << 40), seating.KEPT)
+        made.close()
+        release_memory()
         rows = []
         for origin, body in asked:
             own, kinds, runs, words, at, _ = unpacked(body)

@@ -193,6 +193,33 @@ class Samples:
     back1: list[np.ndarray] = field(default_factory=list)
 
 
+def class_cells(bucket: Bucket) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, the number of each context's class, cells of level 1, the place of each cell's parent among these); -1: none.
+
+    Level 1 has a cell for each class and dish that a context of the class has: the class's number * dishes + the dish.
+    """
+    number = np.full(len(bucket.class_of), -1)
+    classes, number[bucket.class_of != SPLIT] = np.unique(bucket.class_of[bucket.class_of != SPLIT], return_inverse=True)
+    key = number[bucket.room]
+    whole = (number >= 0).all()
+    inner = slice(None) if whole else np.flatnonzero(key >= 0)
+    key = key if whole else key[inner]
+    key *= bucket.dishes
+    key += bucket.dish[inner]
+    cells, where = distinct(key, len(classes) * bucket.dishes)
+    if whole:
+        return classes, number, cells, where
+    up = np.full(len(bucket.room), -1, np.int32)
+    up[inner] = where
+    return classes, number, cells, up
+
+
+def first_tables(bucket: Bucket) -> np.ndarray:
+    """sent_up() before any sweep, of one table a cell."""
+    _, _, cells, up = class_cells(bucket)
+    return np.bincount(cells % max(1, bucket.dishes), minlength=bucket.dishes) + np.bincount(bucket.dish[up < 0], minlength=bucket.dishes)
+
+
 class Restaurants:
     """Both levels of a bucket. Cells of one customer never move: their tables are counted once, and only the others
     (live, live1) have a state; c1, t1 and t2 are of all cells."""
@@ -204,24 +231,18 @@ class Restaurants:
         single = bucket.count == 1
         fixed = np.bincount(bucket.room[single], minlength=rooms).astype(float)
         self.two = Level(rooms, bucket.room[self.live].astype(np.intp), bucket.dish[self.live].astype(np.intp), discount(bucket.count), fixed, bucket.scale)
-        # cells of level 1: each class and dish that a context of the class has
-        self.classes, number = np.unique(bucket.class_of[bucket.class_of != SPLIT], return_inverse=True)
-        self.class_number = np.full(rooms, -1)
-        self.class_number[bucket.class_of != SPLIT] = number
-        inner = np.flatnonzero(self.class_number[bucket.room] >= 0)
-        self.cells, where = distinct(self.class_number[bucket.room[inner]] * bucket.dishes + bucket.dish[inner], len(self.classes) * bucket.dishes)
-        self.up = np.full(len(bucket.room), -1, np.int32)
-        self.up[inner] = where
-        del where
-        tokens = np.bincount(self.up[inner], bucket.count[inner], len(self.cells))
+        self.classes, self.class_number, self.cells, self.up = class_cells(bucket)
+        inner = slice(None) if (self.class_number >= 0).all() else np.flatnonzero(self.up >= 0)
+        above = self.up[inner]
+        tokens = np.bincount(above, bucket.count[inner], len(self.cells))
         self.live1 = np.flatnonzero(tokens > 1)
         lone = np.bincount(self.cells[tokens == 1] // max(1, bucket.dishes), minlength=len(self.classes)).astype(float)
         del tokens
         classes, dishes = np.divmod(self.cells[self.live1], max(1, bucket.dishes))
-        children = np.bincount(self.up[inner], minlength=len(self.cells))
+        children = np.bincount(above, minlength=len(self.cells))
         self.one = Level(len(self.classes), classes, dishes, discount(children), lone)
         del children
-        self.single1 = np.bincount(self.up[inner][single[inner]], minlength=len(self.cells))[self.live1]
+        self.single1 = np.bincount(above[single[inner]], minlength=len(self.cells))[self.live1]
         # what of the live cells of level 2 has a parent, and its place among the live ones of level 1
         parent = self.up[self.live]
         self.inner = np.flatnonzero(parent >= 0)
@@ -311,6 +332,10 @@ class Restaurants:
             up += np.bincount(self.bucket.dish[split], self.t2[split], dishes)
         return up.astype(np.int64)
 
+    def close(self) -> None:
+        """Lets the seatings go, of which shares() needs none."""
+        del self.two, self.one, self.live, self.live1, self.single1, self.inner, self.parent, self.class_of_live, self.up
+
     @functools.cached_property
     def _keys(self) -> np.ndarray:
         return self.bucket.room * np.int64(self.bucket.dishes) + self.bucket.dish
@@ -351,16 +376,18 @@ def _but_ones(n: int, live: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def ordered(keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys in order, their places before) of keys from 0 to top; equal keys stay in order."""
+    """(keys in order, their places before) of long keys from 0 to top; equal keys stay in order. The array is used up."""
     bits = len(keys).bit_length()
     if int(top).bit_length() + bits > 62:
         order = np.argsort(keys, kind="stable")
         return keys[order], order
     # the place stands below the key, so that a plain sort will do
-    both = keys.astype(np.int64) << bits
-    both |= np.arange(len(keys))
-    both.sort()
-    return both >> bits, both & ((1 << bits) - 1)
+    keys <<= bits
+    keys |= np.arange(len(keys))
+    keys.sort()
+    order = (keys & ((1 << bits) - 1)).astype(np.int32 if bits < 32 else np.int64)
+    keys >>= bits
+    return keys, order
 
 
 def distinct(keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
