@@ -57,7 +57,7 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def tokens(text: bytes) -> list[bytes]:
-    """bytes.lower() and split() treat A-Z and the bytes 0x20 and 0x09-0x0D only."""
+    """bytes.lower() and split() treat A-Z and the bytes 0x20 and 0x09-0x0D only; blocks get the same from split_words()."""
     return [*text.lower().split(), END]
 
 
@@ -291,9 +291,9 @@ class Pairs:
         self.runs = np.diff(np.r_[self.heads, len(word)])
         if len(own):
             runs = np.argsort(self.rooms)
-            self.rooms, self.kinds, self.runs, from_ = self.rooms[runs], self.kinds[runs], self.runs[runs], self.heads[runs]
+            self.rooms, self.kinds, self.runs, heads = self.rooms[runs], self.kinds[runs], self.runs[runs], self.heads[runs]
             self.heads = np.cumsum(self.runs) - self.runs
-            moved = moved[np.repeat(from_ - self.heads, self.runs) + np.arange(len(word))]
+            moved = moved[np.repeat(heads - self.heads, self.runs) + np.arange(len(word))]
             rank = np.empty(len(moved), np.int32)
             rank[moved] = np.arange(len(moved), dtype=np.int32)
             place, word, count = rank[place], word[moved], count[moved]
