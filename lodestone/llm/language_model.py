@@ -380,6 +380,7 @@ def _cells(pairs: DataFrame, buckets: int) -> DataFrame:
         counts, heads, key = counts[order], np.flatnonzero(head), key[head]
         del order, head
         total = np.add.reduceat(counts, heads, dtype=np.int64) if len(heads) else np.empty(0, np.int64)
+        total = total.astype(np.uint32) if total.max(initial=0) < 2**32 else total
         del counts, heads
         room, dish = np.divmod(key, width)
         del key
@@ -419,7 +420,7 @@ def _wholes(cells: DataFrame, split: dict[int, int]) -> dict[int, tuple[int, int
             for body in batch.column("body"):
                 rooms, kinds, runs, _, _, count = unpacked(body.as_py())
                 runs, own = runs.astype(np.int64), kinds == seating.SPLIT
-                customers = np.add.reduceat(count, np.cumsum(runs) - runs) if len(runs) else count
+                customers = np.add.reduceat(count, np.cumsum(runs) - runs, dtype=np.int64) if len(runs) else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(rooms[own].view(np.int64)), pa.array(customers[own]), pa.array(runs[own])], names=["room", "c", "cells"])
 
     found = {r.room & (2**64 - 1): (r.c, r.cells) for r in map_arrow(cells.select("body"), run, "room long, c long, cells long").collect()}

@@ -282,7 +282,7 @@ class Restaurants:
         """Sweeps until the tables have settled; then `keep` samples, as shares() takes them. prior: P(dish | root)."""
         rng = np.random.default_rng(seed)
         low, given = prior[self.one.dish], prior[self.two.dish]
-        self.two.begin(self.bucket.count[self.live], given, rng)
+        self.two.begin(self.bucket.count[self.live].astype(np.int64), given, rng)
         self.one.begin(self._customers(), low, rng)
         sweep, before, end = 0, None, None
         kept = Samples(np.zeros(len(self.up)), np.zeros(len(self.bucket.class_of))) if keep else Samples()
@@ -305,23 +305,25 @@ class Restaurants:
         two, whole = self.two, STRENGTH + self.bucket.customers
         own = (two.c - two.d * two.t) / whole[two.room]
         live1, back1, whole1 = self._class_share()
-        own1 = ((1 - self.one.d) / whole1)[self.cells // max(1, self.bucket.dishes)]
+        # classes follow each other in cells; a last 0 stands for a cell that isn't there
+        ends = np.searchsorted(self.cells, np.arange(1, len(whole1) + 1) * np.int64(self.bucket.dishes))
+        own1 = np.repeat(np.append((1 - self.one.d) / whole1, 0).astype(np.float32), np.append(np.diff(ends, prepend=0), 1))
         own1[self.live1] = live1
         return own, (STRENGTH + two.d * two.tables()) / whole, own1, back1
 
     def _add(self, kept: Samples, sample: tuple) -> None:
         own, back, own1, back1 = sample
         alone = (1 - self.two.d) / (STRENGTH + self.bucket.customers)
-        # 0 stands for a cell of level 1 that isn't there, 1 for the share that a context without a class passes on
-        above, passed = np.append(own1, 0), np.append(back1, 1)
+        # 1 stands for the share that a context without a class passes on
+        passed = np.append(back1, 1)
         for i in range(0, len(self.up), 32 * CHUNK):
             part = slice(i, i + 32 * CHUNK)
             room = self.bucket.room[part]
-            kept.seen[part] += back[room] * above[self.up[part]] + np.where(self.bucket.count[part] == 1, alone[room], 0)
+            kept.seen[part] += back[room] * own1[self.up[part]] + np.where(self.bucket.count[part] == 1, alone[room], 0)
         kept.seen[self.live] += own
         kept.rest += back * passed[self.class_number]
         kept.back.append(back)
-        kept.own1.append(own1.astype(np.float32))
+        kept.own1.append(own1)
         kept.back1.append(back1)
 
     def sent_up(self) -> np.ndarray:
