@@ -45,6 +45,8 @@ SKETCH_SHARE = 0.6
 #: Members, queries and shingles of either that one task compares in the last step.
 BLOCK, QUERIES, BLOCK_SHINGLES = 2000, 500, 4_000_000
 SALTS = 32
+#: Links that one task unites, and that are broadcast with the two components of each: a few MB.
+FEW = 65_536
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,8 +158,8 @@ def _open(members: DataFrame, links: DataFrame, found: DataFrame, space: Workspa
     """Members of the buckets that links don't connect yet: (key, id, component, degree, top: the one with most links)."""
     ends = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id")))
     degrees = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    placed = members.join(found.hint("merge"), "id", "left").join(degrees.hint("merge"), "id", "left")
-    placed = placed.select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    placed = members.join(found.hint("merge"), "id").join(degrees.hint("merge"), "id", "left")
+    placed = placed.select("key", "id", "component", F.coalesce("degree", F.lit(0)).alias("degree"))
     spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("degree", "id", "component")).alias("top"), F.count(F.lit(1)).alias("n"))
     # the star has compared the two members of a bucket of two
     return space.write(placed.join(spread.filter("low <> high AND n > 2").select("key", "top").hint("merge"), "key"), f"open{label}")
@@ -169,7 +171,7 @@ def _dealt(open_: DataFrame, sketches: DataFrame, space: Workspace) -> DataFrame
     Buckets that share members form a region. In a region, the members outside its largest component are a query set
     that is held against all members, a block of queries and a block of members a task.
     """
-    regions = components(open_.select(F.col("top.id").alias("a"), F.col("id").alias("b")), space, "regions").withColumnRenamed("component", "region")
+    regions = components(open_.select(F.col("top.id").alias("a"), F.col("id").alias("b")), space, "regions", FEW).withColumnRenamed("component", "region")
     nodes = open_.select("id", "component").distinct().join(regions.hint("merge"), "id").join(sketches.select("id", "size").hint("merge"), "id")
     nodes = space.write(nodes, "nodes")
     parts = nodes.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
@@ -235,14 +237,15 @@ def _block_links(near: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _extended(found: DataFrame, links: DataFrame, space: Workspace, label: str) -> DataFrame:
-    """The components found, joined by more links; only components that these touch are looked at."""
-    part = lambda end: found.select(F.col("id").alias(end), F.col("component").alias(f"part_{end}")).hint("merge")
-    ends = links.join(part("a"), "a", "left").join(part("b"), "b", "left")
-    joined = components(ends.select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")), space, label)
-    moved = joined.select(F.col("id").alias("component"), F.col("component").alias("onto")).hint("merge")
-    old = found.join(moved, "component", "left").select("id", F.coalesce("onto", "component").alias("component"))
-    new = joined.join(found.select("id").hint("merge"), "id", "left_anti")
-    return space.write(old.unionByName(new), f"{label}-all")
+    """The components found, of all ids, joined by more links."""
+    # what comes of few links is small: each has two ends, and these a component each
+    small = "broadcast" if links.count() <= FEW else "merge"
+    part = lambda end: found.select(F.col("id").alias(end), F.col("component").alias(f"part_{end}"))
+    ends = part("b").join(part("a").join(links.hint(small), "a").hint(small), "b")
+    joined = components(ends.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")), space, label, FEW)
+    moved = joined.select(F.col("id").alias("component"), F.col("component").alias("onto")).hint(small)
+    moved = found.join(moved, "component", "left").select("id", F.coalesce("onto", "component").alias("component"))
+    return space.write(moved, f"{label}-all")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -267,13 +270,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     tested = space.write(_promising(_ordered(members.select(F.col("hub").alias("a"), F.col("id").alias("b"))), sketches), "pairs1")
     links = space.write(_confirmed(tested, texts, percent), "links1")
-    found = space.write(components(links, space, "parts1"), "parts1-all")
+    found = _extended(sketches.select("id", F.col("id").alias("component")), links, space, "parts1")
     open_ = _open(members, links, found, space, "2")
     fresh = _ordered(open_.filter("component <> top.component").select(F.col("top.id").alias("a"), F.col("id").alias("b"))).join(tested.hint("merge"), ["a", "b"], "left_anti")
     fresh = space.write(_promising(fresh, sketches), "pairs2")
     more = space.write(_confirmed(fresh, texts, percent), "links2")
     found = _extended(found, more, space, "parts2")
-    dealt = _dealt(_open(members, links.unionByName(more), found, space, "3"), sketches, space)
+    # more links open no bucket
+    dealt = _dealt(_open(open_.select("key", "id"), links.unionByName(more), found, space, "3"), sketches, space)
     last = _block_links(space.write(_near_blocks(dealt, sketches), "near"), texts, percent)
     found = _extended(found, space.write(last, "links3"), space, "parts3")
     # every text of a class has its component, named by the smallest doc_id of all its classes

@@ -118,3 +118,32 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     found = components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "test"), "c").collect()
     assert {r.id: r.component for r in found} == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 140)}}
+
+
+def test_few_edges_in_one_task(spark):
+    """One task, rounds and one edge too many for a task agree, with repeated edges, loops and a long chain."""
+    rng = random.Random(5)
+    edges = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)]
+    edges += edges[:20] + [(3, 3)] + [(1000 + 7 * i % 301, 1000 + 7 * (i + 1) % 301) for i in range(250)]
+    given = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    kept = sum(a != b for a, b in edges)
+    ways = [{(r.id, r.component) for r in components(given, Workspace(spark, "test"), "c", few).collect()} for few in (kept, kept - 1, 0)]
+    assert ways[0] == ways[1] == ways[2] and len(ways[0]) == len({x for a, b in edges if a != b for x in (a, b)})
+    assert components(given.limit(0), Workspace(spark, "test"), "c", 10).collect() == []
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """Each graph of few links is written twice, and once with all texts; of many it takes rounds, with the same result."""
+    rng, text, rows, written, write = random.Random(3), [f"w{i}" for i in range(200)], [], [], Workspace.write
+    for i in range(30):
+        # each is near the ones right before it alone
+        for _ in range(2):
+            text[rng.randrange(200)] = f"n{rng.randrange(10**9)}"
+        rows.append((100 - i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: c for d, (_, c) in brute(rows).items()}
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name, *by: written.append(name) or write(self, df, name, *by))
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs).collect()} == want
+    assert all(sum(x.split("-")[0] == label for x in written) <= 3 for label in ("parts1", "parts2", "parts3", "regions"))
+    monkeypatch.setattr(near_dup, "FEW", 0)
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs).collect()} == want
