@@ -21,7 +21,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import clusters, metrics
 
 REGRESSORS = {"LINEAR_REG": LinearRegression, "RANDOM_FOREST_REGRESSOR": RandomForestRegressor, "BOOSTED_TREE_REGRESSOR": GBTRegressor}
 CLASSIFIERS = {"LOGISTIC_REG": LogisticRegression, "RANDOM_FOREST_CLASSIFIER": RandomForestClassifier, "BOOSTED_TREE_CLASSIFIER": GBTClassifier}
@@ -33,6 +33,8 @@ OPTIONS = {
 #: Classes of an input's values that trees choose thresholds from: an input of up to so many different values has a
 #: threshold between any two of them, as far as the learner's sample of BINS^2 rows has them.
 BINS = 256
+#: Centres times inputs for which all distances of a row fit generated code.
+UNROLLED = 512
 
 
 @dataclass
@@ -45,6 +47,8 @@ class Model:
     statistics: dict[str, tuple[float, float]] = field(default_factory=dict)
     options: dict = field(default_factory=dict)
     seconds: float = 0.0
+    #: Sum of the squared distances from the centres, where the learner's own summary does not have it.
+    cost: float | None = None
 
     @property
     def learner(self):
@@ -78,6 +82,11 @@ def _plain(df: DataFrame, inputs: Sequence[str]) -> bool:
     return all(kinds[n] != "string" and not kinds[n].startswith("array") for n in inputs)
 
 
+def _numbers(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
+    """Inputs that are numbers, of the rows that have them all."""
+    return df.dropna(subset=list(inputs)).select(*(F.col(f"`{n}`").cast("double").alias(f"{n}__number") for n in inputs))
+
+
 class Models:
     """The models of a session, by name."""
 
@@ -119,15 +128,24 @@ class Models:
                 stages += [PCA(inputCol="__features", outputCol="__components", **given)]
             elif kind != "TRANSFORM_ONLY":
                 raise ValueError(f"there is no model type {kind}")
+            numbers, counted, different = [c for c, t in rows.dtypes if c in inputs and t not in ("string",) and not t.startswith("array")], [], 0
+            if kind == "KMEANS" and _plain(whole, inputs):
+                counted = [F.approx_count_distinct(F.xxhash64(*inputs)).alias("__different")]
+            if numbers:
+                row = whole.agg(*(F.avg(c).alias(f"a_{c}") for c in numbers), *(F.stddev_samp(c).alias(f"s_{c}") for c in numbers), *counted).first()
+                made.statistics = {c: (row[f"a_{c}"], row[f"s_{c}"]) for c in numbers}
+                different = row["__different"] if counted else 0
             fitted = whole
-            if kind == "KMEANS":
+            if different > clusters.FEW:
+                # passes over all rows find the centres; the learner only takes them over, as they are
+                learner = stages[-1]
+                centres, made.cost = clusters.centres_of(_numbers(whole, inputs), learner.getK(), learner.getMaxIter(), learner.getTol(), learner.getSeed())
+                stages[-1] = learner.copy({learner.k: len(centres), learner.initMode: "random", learner.maxIter: 0})
+                fitted = self.spark.createDataFrame([(*map(float, v), 1.0) for v in centres], ", ".join(f"`{n}__number` double" for n in inputs) + ", __weight double")
+            elif kind == "KMEANS":
                 # the index of texts goes by their frequency in rows
                 fitted = _features(_weighted(whole, inputs), inputs)[2] if _plain(whole, inputs) else whole.withColumn("__weight", F.lit(1.0))
             made.stages = Pipeline(stages=stages).fit(fitted)
-            numbers = [c for c, t in rows.dtypes if c in inputs and t not in ("string",) and not t.startswith("array")]
-            if numbers:
-                row = whole.agg(*(F.avg(c).alias(f"a_{c}") for c in numbers), *(F.stddev_samp(c).alias(f"s_{c}") for c in numbers)).first()
-                made.statistics = {c: (row[f"a_{c}"], row[f"s_{c}"]) for c in numbers}
         made.seconds = time.time() - began
         self.known[name] = made
         return made
@@ -152,7 +170,7 @@ class Models:
     def load(self, name: str, path: str, like: str) -> None:
         """A model exported before; like: one with its inputs and labels."""
         old = self._model(like)
-        self.known[name] = Model(old.kind, old.inputs, old.label, PipelineModel.load(path), old.labels, old.statistics)
+        self.known[name] = Model(old.kind, old.inputs, old.label, PipelineModel.load(path), old.labels, old.statistics, cost=old.cost)
 
     def _applied(self, name: str, rows: DataFrame) -> DataFrame:
         model = self._model(name)
@@ -192,9 +210,13 @@ class Models:
             scored = self.predict(name, rows).filter(y.isNotNull() & ~F.isnan(p))
             return scored.agg(F.avg(F.abs(y - p)).alias("mean_absolute_error"), F.avg((y - p) ** 2).alias("mean_squared_error"), F.median(F.abs(y - p)).alias("median_absolute_error"), (1 - F.sum((y - p) ** 2) / (F.var_pop(y) * F.count(y))).alias("r2_score"))
         if model.kind == "KMEANS":
-            made = self._applied(name, _weighted(rows, model.inputs))
-            index = ClusteringEvaluator(featuresCol="__features", weightCol="__weight").evaluate(made)
-            return self.spark.createDataFrame([(float(index), float(model.learner.summary.trainingCost))], "silhouette double, training_cost double")
+            centres = [[*map(float, v)] for v in model.learner.clusterCenters()]
+            if _plain(rows, model.inputs) and len(centres) * len(model.inputs) <= UNROLLED:
+                index = clusters.silhouette(_numbers(rows, model.inputs), centres)
+            else:
+                index = ClusteringEvaluator(featuresCol="__features", weightCol="__weight").evaluate(self._applied(name, _weighted(rows, model.inputs)))
+            cost = model.learner.summary.trainingCost if model.cost is None else model.cost
+            return self.spark.createDataFrame([(float(index), float(cost))], "silhouette double, training_cost double")
         if model.kind == "PCA":
             return self.spark.createDataFrame([(float(sum(model.learner.explainedVariance)),)], "total_explained_variance_ratio double")
         raise ValueError(f"{model.kind} models can't be evaluated")
@@ -263,7 +285,7 @@ class Models:
             if model.kind == "KMEANS" and _plain(df, model.inputs):
                 # the nearest centroid's distance in generated code; a null counts as not a number
                 xs = [F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(float("nan"))) for n in model.inputs]
-                squares = [sum(((x - F.lit(float(v))) * (x - F.lit(float(v))) for x, v in zip(xs, c)), F.lit(0.0)) for c in model.learner.clusterCenters()]
+                squares = clusters.squares(xs, model.learner.clusterCenters())
                 return df.withColumn("distance", F.sqrt(F.least(*squares) if len(squares) > 1 else squares[0]))
             made = self._applied(name, df).withColumn("__x", vector_to_array("__features"))
             if model.kind == "KMEANS":
@@ -274,9 +296,8 @@ class Models:
             apart = F.sqrt(F.aggregate(F.zip_with("__x", near, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
             return made.withColumn("distance", apart).select(*df.columns, "distance")
 
-        each = scored(_weighted(rows, model.inputs)).groupBy("distance").agg(F.sum("__weight").cast("long").alias("n"))
-        bar = each.agg(F.percentile("distance", 1 - contamination, F.col("n")).alias("bar"))
-        return scored(rows).crossJoin(F.broadcast(bar)).withColumn("is_anomaly", F.col("distance") > F.col("bar")).drop("bar")
+        bar = clusters.percentile(scored(rows).select("distance"), 1 - contamination)
+        return scored(rows).withColumn("is_anomaly", F.col("distance") > F.lit(bar).cast("double"))
 
     def _rebuilt(self, model: Model):
         """What the kept components give back of a row."""

@@ -3,13 +3,16 @@
 import base64
 import random
 
+import numpy as np
 import pytest
 import __spark_entry__ as entry
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import functions as F
 
 from lodestone.functions import geography as G
 from lodestone.functions import library as L
 from lodestone.functions import texts as X
+from lodestone.operators import clusters
 from lodestone.operators.models import Models
 from oracle import DATA
 
@@ -110,3 +113,52 @@ def test_equal_rows_are_one_to_clusters_and_anomalies(spark):
     bar = sorted(near)[int((len(near) - 1) * 0.9)], sorted(near)[-(-(len(near) - 1) * 9 // 10)]
     assert len(marked) == rows.count() and all(abs(r.distance - d) < 1e-9 for r, d in zip(marked, near))
     assert all(r.is_anomaly for r in marked if r.distance > bar[1] + 1e-9) and not any(r.is_anomaly for r in marked if r.distance < bar[0] - 1e-9)
+
+
+def test_many_different_rows_are_clustered_in_passes_and_the_learner_holds_centres_only(spark):
+    n = clusters.FEW + 10_000
+    rows = spark.range(n).select((c("id") % 3 * 1000 + c("id") / n).alias("a"), (c("id") % 7).cast("int").alias("b")).withColumn("a", F.when(F.rand(1) < 0.001, F.lit(None)).otherwise(c("a"))).localCheckpoint()
+    models = Models(spark)
+    made = models.create("m", "KMEANS", rows, num_clusters=3, seed=5)
+    assert made.learner.summary.predictions.count() == 3
+    plain = rows.toPandas().dropna()
+    plain["kind"] = (plain.a // 1000).astype(int)
+    want = sorted(map(tuple, plain.groupby("kind")[["a", "b"]].mean().to_numpy()))
+    centres = sorted(tuple(map(float, v)) for v in made.learner.clusterCenters())
+    assert all(abs(x - y) < 1e-6 for g, w in zip(centres, want) for x, y in zip(g, w))
+    found = models.evaluate("m", rows).first()
+    cost = sum(((plain[plain.kind == k][["a", "b"]].to_numpy() - w) ** 2).sum() for k, w in enumerate(want))
+    index = ClusteringEvaluator(featuresCol="__features").evaluate(made.stages.transform(clusters_input(rows)))
+    assert abs(found.training_cost - cost) < 1e-6 * cost and abs(found.silhouette - index) < 1e-6
+    assert models.predict("m", rows.dropna()).groupBy("centroid_id").agg(F.min("a"), F.max("a")).filter("`max(a)` - `min(a)` > 2").count() == 0
+
+
+def clusters_input(rows):
+    return rows.dropna().select(*(c(n).cast("double").alias(f"{n}__number") for n in rows.columns))
+
+
+def test_silhouette_is_the_evaluators(spark):
+    rows = spark.createDataFrame([(float(v) ** 1.5 + far, float(v * 7 % 5)) for far in (0, 300, 1e6) for v in range(20)] + [(-5e5, 0.0)], "a double, b double")
+    centres = [[40.0, 2.0], [340.0, 2.0], [1e6, 2.0], [-5e5, 0.0]]
+    x = rows.toPandas().to_numpy()
+    apart = ((x[:, None] - x[None]) ** 2).sum(2)
+    at = ((x[:, None] - np.array(centres)[None]) ** 2).sum(2).argmin(1)
+    values = []
+    for i, k in enumerate(at):
+        if (at == k).sum() == 1:
+            values.append(0.0)
+            continue
+        own = apart[i, at == k].sum() / ((at == k).sum() - 1)
+        other = min(apart[i, at == j].mean() for j in set(at) - {k})
+        values.append((other - own) / max(own, other))
+    assert abs(clusters.silhouette(rows, centres) - np.mean(values)) < 1e-6
+
+
+@pytest.mark.parametrize("share", [0.0, 0.001, 0.3, 0.5, 0.9, 0.99, 1.0])
+def test_percentile_is_exact_where_values_are_many(spark, monkeypatch, share):
+    monkeypatch.setattr(clusters, "FEW", 50)
+    ids = spark.range(4001)
+    for values in (ids.select(F.rand(3).alias("distance")), ids.select(F.floor(F.rand(3) * 4).cast("double")), ids.select(F.exp(F.rand(3) * 600)), ids.select(F.when(c("id") % 2 == 0, 1.0).otherwise(c("id").cast("double"))), ids.select(F.when(c("id") % 3 > 0, c("id").cast("double")))):
+        values = values.toDF("v").localCheckpoint()
+        assert clusters.percentile(values, share) == values.agg(F.percentile("v", share).alias("p")).first().p
+    assert clusters.percentile(values.filter("v < 0"), share) is None
