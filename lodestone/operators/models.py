@@ -128,24 +128,22 @@ class Models:
                 stages += [PCA(inputCol="__features", outputCol="__components", **given)]
             elif kind != "TRANSFORM_ONLY":
                 raise ValueError(f"there is no model type {kind}")
-            numbers, counted, different = [c for c, t in rows.dtypes if c in inputs and t not in ("string",) and not t.startswith("array")], [], 0
-            if kind == "KMEANS" and _plain(whole, inputs):
-                counted = [F.approx_count_distinct(F.xxhash64(*inputs)).alias("__different")]
-            if numbers:
-                row = whole.agg(*(F.avg(c).alias(f"a_{c}") for c in numbers), *(F.stddev_samp(c).alias(f"s_{c}") for c in numbers), *counted).first()
-                made.statistics = {c: (row[f"a_{c}"], row[f"s_{c}"]) for c in numbers}
-                different = row["__different"] if counted else 0
             fitted = whole
-            if different > clusters.FEW:
+            if kind == "KMEANS" and _plain(whole, inputs) and clusters.many(_numbers(whole, inputs)):
                 # passes over all rows find the centres; the learner only takes them over, as they are
                 learner = stages[-1]
                 centres, made.cost = clusters.centres_of(_numbers(whole, inputs), learner.getK(), learner.getMaxIter(), learner.getTol(), learner.getSeed())
-                stages[-1] = learner.copy({learner.k: len(centres), learner.initMode: "random", learner.maxIter: 0})
-                fitted = self.spark.createDataFrame([(*map(float, v), 1.0) for v in centres], ", ".join(f"`{n}__number` double" for n in inputs) + ", __weight double")
+                stages[-1] = learner.copy({learner.k: len(centres), learner.initMode: "random", learner.maxIter: 0, learner.solver: "row"})
+                each = [F.struct(*(F.lit(float(x)).alias(f"{n}__number") for n, x in zip(inputs, v)), F.lit(1.0).alias("__weight")) for v in centres]
+                fitted = self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*each)))
             elif kind == "KMEANS":
                 # the index of texts goes by their frequency in rows
                 fitted = _features(_weighted(whole, inputs), inputs)[2] if _plain(whole, inputs) else whole.withColumn("__weight", F.lit(1.0))
             made.stages = Pipeline(stages=stages).fit(fitted)
+            numbers = [c for c, t in rows.dtypes if c in inputs and t not in ("string",) and not t.startswith("array")]
+            if numbers:
+                row = whole.agg(*(F.avg(c).alias(f"a_{c}") for c in numbers), *(F.stddev_samp(c).alias(f"s_{c}") for c in numbers)).first()
+                made.statistics = {c: (row[f"a_{c}"], row[f"s_{c}"]) for c in numbers}
         made.seconds = time.time() - began
         self.known[name] = made
         return made
