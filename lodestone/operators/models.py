@@ -129,10 +129,11 @@ class Models:
             elif kind != "TRANSFORM_ONLY":
                 raise ValueError(f"there is no model type {kind}")
             fitted = whole
-            if kind == "KMEANS" and _plain(whole, inputs) and clusters.many(_numbers(whole, inputs)):
+            many, grouped = clusters.repeats(_numbers(whole, inputs)) if kind == "KMEANS" and _plain(whole, inputs) else (False, False)
+            if many:
                 # passes over all rows find the centres; the learner only takes them over, as they are
                 learner = stages[-1]
-                centres, made.cost = clusters.centres_of(_numbers(whole, inputs), learner.getK(), learner.getMaxIter(), learner.getTol(), learner.getSeed())
+                centres, made.cost = clusters.centres_of(_numbers(whole, inputs), learner.getK(), learner.getMaxIter(), learner.getTol(), learner.getSeed(), grouped)
                 stages[-1] = learner.copy({learner.k: len(centres), learner.initMode: "random", learner.maxIter: 0, learner.solver: "row"})
                 each = [F.struct(*(F.lit(float(x)).alias(f"{n}__number") for n, x in zip(inputs, v)), F.lit(1.0).alias("__weight")) for v in centres]
                 fitted = self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*each)))

@@ -162,3 +162,10 @@ def test_percentile_is_exact_where_values_are_many(spark, monkeypatch, share):
         values = values.toDF("v").localCheckpoint()
         assert clusters.percentile(values, share) == values.agg(F.percentile("v", share).alias("p")).first().p
     assert clusters.percentile(values.filter("v < 0"), share) is None
+
+
+def test_united_rows_have_the_centres_of_all_rows(spark):
+    rows = spark.range(3000).select((c("id") % 3 * 100 + c("id") % 11).cast("double").alias("a"), (c("id") % 5).cast("double").alias("b"))
+    (one, cost), (other, same) = (clusters.centres_of(rows, 3, seed=5, grouped=g) for g in (True, False))
+    assert np.allclose(sorted(map(tuple, one)), sorted(map(tuple, other)), atol=1e-9) and abs(cost - same) < 1e-6 * cost
+    assert clusters.repeats(rows) == (False, True)
